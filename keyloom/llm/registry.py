@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, secret_scan
 
 
 def queries() -> dict:
-    return {"op10_exact_dedup": exact_dedup.op10_exact_dedup}
+    return {"op7_secret_scan": secret_scan.op7_secret_scan, "op10_exact_dedup": exact_dedup.op10_exact_dedup}
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": exact_dedup.SQL}
+    return {"op7_secret_scan": secret_scan.SQL, "op10_exact_dedup": exact_dedup.SQL}
