@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan
+from . import exact_dedup, media, packing, secret_scan
 
 
 def queries() -> dict:
-    return {"op7_secret_scan": secret_scan.op7_secret_scan, "op10_exact_dedup": exact_dedup.op10_exact_dedup}
+    return {
+        "op7_secret_scan": secret_scan.op7_secret_scan,
+        "op8_media": media.op8_media,
+        "op9_packing": packing.op9_packing,
+        "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict:

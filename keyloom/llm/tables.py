@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package's modules to the executors, once per application, so that
+    functions which run there find them wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_keyloom_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for path in sorted(top.rglob("*.py")):
+            out.writestr(zipfile.ZipInfo(f"{top.name}/{path.relative_to(top)}"), path.read_bytes())
+    data = packed.getvalue()
+    path = os.path.join(tempfile.mkdtemp(prefix="keyloom-"), f"keyloom-{hashlib.sha256(data).hexdigest()[:12]}.zip")
+    Path(path).write_bytes(data)
+    context.addPyFile(path)
+    context._keyloom_shipped = True
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package's modules at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 class Scratch:
     """Tables that one query writes to the shared folder.
 
