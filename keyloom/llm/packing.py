@@ -6,9 +6,10 @@ power of two, at most the window. Each piece is a sequence of its own: sequences
 of one length form a bucket, need no padding, and never cross documents.
 
 Tokens come from a public tokenizer file. It drops white space and looks at no
-context beyond it, so texts are cut at ASCII white space and the ids of each
-word are looked up in a bounded cache of the worker; words that it lacks are
-encoded together, batch by batch. That gives the ids of the whole text exactly.
+context beyond it, so texts are cut at ASCII white space (plain texts also where
+letters, digits and the rest meet) and the ids of each word are looked up in a
+bounded cache of the worker; words that it lacks are encoded together, batch by
+batch. That gives the ids of the whole text exactly.
 
 Scale: one map over the rows, no shuffle; memory is bounded by the Arrow batch,
 the cache and one document's ids. Ids of sequences are partition and counter, so
@@ -21,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
@@ -35,6 +37,12 @@ WINDOW = 2048
 END_ID = 1
 #: Words that a worker remembers, and the longest of them in characters.
 CACHED_WORDS, CACHED_CHARS = 300_000, 40
+#: Letters whose lower case is one letter and that no composition changes. In texts of
+#: these, digits, other ASCII (without the apostrophe, which joins some endings) and
+#: white space, the tokenizer takes runs of letters, digits, and runs of the rest apart.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"[\x20-\x26\x28-\x7e\n\t\r{_LETTERS}]*")
+_TOKENS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 #: Characters of a text that are split into words at once.
 PART_CHARS = 1 << 20
 
@@ -71,6 +79,8 @@ class WordEncoder:
 
 
 def _words(text: str) -> list[str]:
+    if "<|" not in text and _PLAIN.fullmatch(text):  # else perhaps a special token
+        return _TOKENS.findall(text.lower())
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
