@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, packing, secret_scan
+from . import exact_dedup, media, packing, secret_scan, toxicity
 
 
 def queries() -> dict:
     return {
+        "op4_toxicity": toxicity.op4_toxicity,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_media": media.op8_media,
         "op9_packing": packing.op9_packing,
