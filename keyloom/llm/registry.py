@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media, packing, secret_scan, toxicity
+from . import exact_dedup, media, packing, quality, secret_scan, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_media": media.op8_media,
