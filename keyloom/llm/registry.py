@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, media, packing, quality, secret_scan, toxicity
+from . import exact_dedup, html_extract, jaccard_join, media, packing, quality, secret_scan, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op3_html_extract": html_extract.op3_html_extract,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op7_secret_scan": secret_scan.op7_secret_scan,
