@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .labelled import fold, training_rows
 from .tables import map_arrow, read
@@ -180,19 +181,22 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Kept columns, doc_id and score (double) for every row. ``keep`` may not name doc_id or score."""
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None, score_col: str = "score") -> DataFrame:
+    """The kept columns (default: the id, as doc_id) and the score (double) of every row."""
+    kept = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(c) for c in keep]
+    rows = docs.select(*kept)
+    names = rows.columns
+    schema = StructType([*rows.schema.fields, StructField(score_col, DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                scores = scorer([t or "" for t in part.column(len(keep) + 1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep) + 1], pa.array(scores, pa.float64())], [*keep, "doc_id", "score"])
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                scores = scorer([t or "" for t in part.column(len(names)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(scores, pa.float64())], [*names, score_col])
 
-    rows = docs.select(*(F.col(c) for c in keep), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    return map_arrow(rows, score, rows.drop("_text").schema.add("score", "double"))
+    return map_arrow(docs.select(*kept, F.col(text_col).alias("_text")), score, schema)
 
 
 def trained(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "quality", limits: dict[int, int] = TRAIN_ROWS) -> Model:
