@@ -10,8 +10,11 @@ links, exactly. The join works in a metric space, from coarse to fine:
    (den + num); so with k = D + 1 cells at least one cell holds the same shingles in
    both. Sizes are banded (a set is also entered in the band of every smaller
    partner, the triangle inequality around the empty set), and a set enters the
-   region (band, cell, content of the cell). Regions whose content is at most one
-   shingle say little and are divided again by a second, independent division.
+   region (band, cell, content of the cell). Cells of at most one shingle say little
+   and would make large regions: with w cells more, a set may pass over up to w such
+   weak cells, for more than w cells of a linked pair are the same in both, and so
+   weak in both or in neither. Weak cells of a set that has more of them are divided
+   again by a second, independent division.
 2. Neighbourhoods. Sets that share a region are joined to its first member (a
    star, never all pairs); components of the stars are neighbourhoods. Every linked
    pair lies within one neighbourhood, and Jaccard distances within one are spread
@@ -83,10 +86,16 @@ class Rule:
     num: int = 90
     den: int = 100
 
-    def cells(self, largest: int) -> int:
-        """Cells that a band needs whose smaller sets have at most ``largest`` shingles: one more than may differ."""
+    def differ(self, largest: int) -> int:
+        """The shingles by which linked sets may differ, of which the smaller has at most ``largest``."""
         both = largest + largest * self.den // self.num
-        return both * (self.den - self.num) // (self.den + self.num) + 1
+        return both * (self.den - self.num) // (self.den + self.num)
+
+    def cells(self, largest: int) -> tuple[int, int]:
+        """(cells, spare ones among them) of the band whose smaller sets have at most ``largest`` shingles."""
+        differ = self.differ(largest)
+        spare = 1 + differ // 50
+        return differ + 1 + spare, spare
 
     def least_partner(self, size: int) -> int:
         return -(-size * self.num // self.den)
@@ -171,13 +180,14 @@ def region_keys(shingles: np.ndarray, rule: Rule, bands: np.ndarray) -> np.ndarr
     low, high = np.searchsorted(bands, [max(1, rule.least_partner(n)), n], "right") - 1
     keys, second = [], None
     for band in range(low, high + 1):
-        cells = rule.cells(int(bands[band + 1]) - 1)
-        if cells == 1:  # only equal sets link here, and those are one class
+        largest = int(bands[band + 1]) - 1
+        if not rule.differ(largest):  # only equal sets link here, and those are one class
             continue
+        cells, spare = rule.cells(largest)
         content, count = _cell_contents(shingles, cells)
         here = _mixed(_mixed(content + count.astype(U), 301) + np.arange(cells, dtype=U), 401 + band)
         keys.append(here[count > 1])
-        if (count <= 1).any():
+        if (count <= 1).sum() > spare:
             if second is None:
                 second = np.sort(_mixed(shingles, 501))
             content, others = _cell_contents(second, cells)
