@@ -401,7 +401,8 @@ def near_components(docs: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_c
 
     wanted = rows.select("rid", F.col("doc_id").alias("own_id"), "n", "c1", "c2").join(near, F.col("rid") == F.col("node"))
     wanted = scratch.cut(wanted.select("own_id", "node", "n", "c1", "c2"), "wanted-sets")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["own_id"])).select("node", "n", "c1", "c2", F.col("text").cast("binary").alias("text"))
+    # as many rows as there are sets with a neighbour: no bound, so never a broadcast
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["own_id"])).select("node", "n", "c1", "c2", F.col("text").cast("binary").alias("text"))
     sets = _with_sets(texts, rule).dropDuplicates(["node"])
     sets = scratch.cut(sets.join(near, "node").select(F.col("component").alias("region"), "node", "shingles"), "sets")
 
