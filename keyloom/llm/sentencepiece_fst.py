@@ -60,16 +60,18 @@ class Transducer:
         for byte, i in self.byte_ids.items():
             self.bytes[i] = bytes([byte])
         self.joined = {piece[k : k + 2] for piece in self.pieces for k in range(len(piece) - 1)}
-        # the lexicon: state 0 is its start; a state's entry None is the piece that ends there
-        self.lexicon: list[dict] = [{}]
+        # the lexicon: state 0 is its start; ends has the piece that ends in a state
+        self.lexicon: list[dict[str, int]] = [{}]
+        self.ends: list[str | None] = [None]
         for piece in self.pieces:
             state = 0
             for char in piece:
                 if char not in self.lexicon[state]:
                     self.lexicon[state][char] = len(self.lexicon)
                     self.lexicon.append({})
+                    self.ends.append(None)
                 state = self.lexicon[state][char]
-            self.lexicon[state][None] = piece
+            self.ends[state] = piece
         # runs may be cut by character class only if no piece spans two classes
         kind = lambda c: "_" if c == MARK else "L" if re.fullmatch(f"[{_LETTERS}]", c) else "N" if c in "0123456789" else "P"
         plain = [pair for pair in self.joined if _PLAIN.fullmatch(pair)]
@@ -82,16 +84,16 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that BPE leaves of a short text: the best-scored pair first, the leftmost of equals."""
-        symbols = list(text)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                found = self.scores.get(symbols[k] + symbols[k + 1])
-                if found is not None and (best is None or found > best):
-                    best, at = found, k
-            if best is None:
-                break
+        symbols, score = list(text), self.scores.get
+        pairs = [score(a + b, -_INFINITE) for a, b in zip(symbols, symbols[1:])]
+        while pairs and (best := max(pairs)) > -_INFINITE:
+            at = pairs.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(symbols[at - 1] + symbols[at], -_INFINITE)
+            if at < len(pairs):
+                pairs[at] = score(symbols[at] + symbols[at + 1], -_INFINITE)
         return symbols
 
     def weight(self, last: str, piece: str) -> float:
@@ -105,39 +107,35 @@ class Transducer:
             self.weights[last, piece] = found
         return found
 
-    def arcs(self, text: str, at: int) -> Iterator[tuple[int, str]]:
-        """(end, piece) of the lexicon's paths that read the text from ``at``; a lone unknown character is its own."""
-        state = 0
-        if text[at] not in self.pieces:
-            yield at + 1, text[at]
-        for end in range(at, len(text)):
-            state = self.lexicon[state].get(text[end])
-            if state is None:
-                return
-            if (piece := self.lexicon[state].get(None)) is not None:
-                yield end + 1, piece
-
     def shortest(self, text: str) -> list[str]:
-        """The pieces on the shortest path for one segment."""
-        states: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(text) + 1)]
-        states[0][""] = (0.0, "")
-        for at in range(len(text)):
-            here = states[at]
-            if not here:
+        """The pieces on the shortest path for one segment.
+
+        A finite path to a place is the encoding of the text before it, so each place
+        has one: it is relaxed once, and arcs to a place that was reached are skipped.
+        """
+        n, lexicon, ends, weights = len(text), self.lexicon, self.ends, self.weights
+        reached: list[str | None] = [None] * (n + 1)  # the last piece on the path to each place
+        reached[0] = ""
+        for at in range(n):
+            last = reached[at]
+            if last is None:
                 continue
-            for end, piece in self.arcs(text, at):
-                there = states[end]
-                for last, (cost, _) in here.items():
-                    total = cost + self.weight(last, piece)
-                    if total < there.get(piece, (_INFINITE, ""))[0]:
-                        there[piece] = (total, last)
-        at, piece = len(text), min(states[-1], key=lambda p: states[-1][p][0])
-        path = []
+            if text[at] not in self.pieces and reached[at + 1] is None and self.weight(last, text[at]) == 0.0:
+                reached[at + 1] = text[at]  # an unknown character, to be read by the byte arcs
+            state = 0
+            for end in range(at, n):
+                state = lexicon[state].get(text[end])
+                if state is None:
+                    break
+                piece = ends[state]
+                if piece is not None and reached[end + 1] is None:
+                    weight = weights.get((last, piece))
+                    if (self.weight(last, piece) if weight is None else weight) == 0.0:
+                        reached[end + 1] = piece
+        path, at = [], n
         while at:
-            path.append(piece)
-            last = states[at][piece][1]
-            at -= len(piece)
-            piece = last
+            path.append(reached[at])
+            at -= len(path[-1])
         return path[::-1]
 
     def segments(self, text: str) -> list[str]:
