@@ -86,9 +86,11 @@ TEXTS = (
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, letters and digits with single spaces."""
     text = F.lower(F.coalesce(text, F.lit("")))
-    text = F.regexp_replace(text, r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright|\(c\)|©)(?:[^\n]*)$", " ")
+    changed = F.regexp_replace(text, r"(?m)^[^\p{L}\p{N}\n(]*(?:copyright|\(c\)|©)(?:[^\n]*)$", " ")
     for spelling, one in EQUIVALENT.items():
-        text = F.regexp_replace(text, _whole(spelling), one)
+        changed = F.regexp_replace(changed, _whole(spelling), one)
+    # one pass tells whether any of the replacements can apply
+    text = F.when(text.rlike("|".join(["copyright", r"\(c\)", "©", *EQUIVALENT])), changed).otherwise(text)
     text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
     return F.regexp_replace(text, OPENINGS, "licensed under ")
 
@@ -113,15 +115,20 @@ def license_scan(docs: DataFrame, licenses: DataFrame, keep: tuple[str, ...] = (
     are a licence or notice) and licenses (their names, sorted, comma-joined). ``licenses`` as from ``known``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*keep, text.alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    units = rows.select(*keep, "_row", F.posexplode(F.concat(F.array("_text"), F.split("_text", "\n", -1))).alias("_at", "_unit"))
+    lines = F.split("_text", "\n", -1)
+    # a text of one line is looked up once, as its line
+    units = rows.select(*keep, "_row", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("_text"), lines)).otherwise(F.array(F.lit(None).cast("string"), F.col("_text")))).alias("_at", "_unit"))
     # a constant table
     found = units.withColumn("digest", digest(F.col("_unit"))).join(F.broadcast(licenses), "digest", "left")
     out = found.groupBy("_row", *keep).agg(
-        F.max(F.when(F.col("_at") == 0, F.col("license"))).alias("whole_license"),
+        F.max(F.when(F.col("_at") == 0, F.col("license"))).alias("_whole"),
+        F.max(F.when(F.col("_at") == 1, F.col("license"))).alias("_first"),
+        F.max("_at").alias("_last"),
         F.count(F.when(F.col("_at") > 0, F.col("license"))).alias("n_notices"),
         F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"),
     )
-    return out.select(*keep, "whole_license", "n_notices", "licenses")
+    whole = F.when(F.col("_last") == 1, F.col("_first")).otherwise(F.col("_whole"))
+    return out.select(*keep, whole.alias("whole_license"), "n_notices", "licenses")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
