@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import strings
+
+PLANS = {name: plan for module in (strings,) for name, plan in module.PLANS.items()}
+
 
 def queries() -> dict:
-    return {}
+    return {name: plan.run for name, plan in PLANS.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: plan.sql for name, plan in PLANS.items() if plan.sql}
