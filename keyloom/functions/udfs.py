@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # these functions travel by value, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -23,7 +24,7 @@ def _float_text(value: float) -> str:
     return f"{value:.17f}".rstrip("0").rstrip(".")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def float_text(values: pd.Series) -> pd.Series:
     """A number with 17 decimals, without the trailing zeros."""
     return values.map(lambda v: None if v is None or math.isnan(v) else _float_text(v))
@@ -51,7 +52,7 @@ def _lcs(a: bytes, b: bytes) -> str:
         return ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     """The longest common subsequence of the bytes; empty if it is no UTF-8."""
     return pd.Series([None if a is None or b is None else _lcs(a.encode(), b.encode()) for a, b in zip(left, right, strict=True)], dtype=object)
@@ -70,7 +71,7 @@ def _slot(text: str) -> tuple[int, int]:
     return h & (REGISTERS - 1), min(zeros, 50) + 1
 
 
-@F.pandas_udf("struct<idx: int, rho: int>")
+@F.pandas_udf(T.StructType().add("idx", T.IntegerType()).add("rho", T.IntegerType()))
 def hll_slot(values: pd.Series) -> pd.DataFrame:
     """The register that an element falls into, and the rank that it puts there."""
     return pd.DataFrame([_slot(v) for v in values], columns=["idx", "rho"]).astype(np.int32)
@@ -131,7 +132,7 @@ def _edited(doc: str | None, path: str, change) -> str | None:
 def json_edit(change):
     """An Arrow function (documents, paths, arguments) to edited documents; ``change`` returns whether it applied."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def edit(docs: pd.Series, paths: pd.Series, arguments: pd.Series) -> pd.Series:
         return pd.Series([_edited(d, p, lambda *at, a=a: change(*at, a)) for d, p, a in zip(docs, paths, arguments, strict=True)], dtype=object)
 

@@ -19,8 +19,8 @@ from .base import Plan
 
 
 def _doc(**columns):
-    """Columns computed from every document."""
-    return lambda s, d: C.documents(s, d).select("key", *(c.alias(n) for n, c in columns.items()))
+    """Columns computed from every document; given as functions, for there may be no session yet."""
+    return lambda s, d: C.documents(s, d).select("key", *(c().alias(n) for n, c in columns.items()))
 
 
 def _docs(select, **columns):
@@ -31,7 +31,10 @@ def _asks(spark, d):
     return C.table(spark, d, "orders").select(F.col("o_orderkey").alias("req"), F.concat(F.lit("ev:"), "o_orderkey").alias("key"))
 
 
-D = F.col("doc")
+
+
+def D():
+    return F.col("doc")
 
 
 def _rebuilt(a="json_extract_string(doc, '$.a.b')", b="json_extract(doc, '$.l')::VARCHAR", c="json_extract_string(doc, '$.s')", t="json_extract_string(doc, '$.t')", more="''", head="'\"id\":' || json_extract_string(doc, '$.id') || ','"):
@@ -48,36 +51,36 @@ _L1 = "json_extract_string(doc, '$.l[1]')"
 _OR_NULL = sql("SELECT req, q.key, json_extract_string(doc, '$.a.b') AS value FROM q LEFT JOIN json ON q.key = json.key", "json").replace("SELECT req", ", q AS (SELECT o_orderkey AS req, 'ev:' || o_orderkey AS key FROM orders) SELECT req")
 
 JSON_PLANS = {
-    "json_set": _edited(J.set_path(D, "$.a.b", "42"), a="'42'"),
-    "json_set_new": _edited(J.set_path(D, "$.z", '"new"'), more="',\"z\":\"new\"'"),
-    "json_set_root": _docs("'[1]' AS doc", doc=J.set_path(D, "$", "[1]")),
-    "json_set_missing": _docs("CAST(NULL AS VARCHAR) AS doc", doc=J.set_path(D, "$.no.where", "1")),
-    "json_get": _docs("json_extract(doc, '$.a')::VARCHAR AS a, json_extract(doc, '$.l[1]')::VARCHAR AS l1, CAST(NULL AS VARCHAR) AS none", a=J.get(D, "$.a"), l1=J.get(D, "$.l.[1]"), none=J.get(D, "$.none")),
-    "json_get_root": _docs("doc", doc=J.get(D)),
-    "json_get_many": _docs("""'{"$.a.b":' || json_extract_string(doc, '$.a.b') || ',"$.no":null,"s":"' || json_extract_string(doc, '$.s') || '"}' AS found""", found=J.get_many(D, ["$.a.b", "$.no", "s"])),
+    "json_set": _edited(lambda: J.set_path(D(), "$.a.b", "42"), a="'42'"),
+    "json_set_new": _edited(lambda: J.set_path(D(), "$.z", '"new"'), more="',\"z\":\"new\"'"),
+    "json_set_root": _docs("'[1]' AS doc", doc=lambda: J.set_path(D(), "$", "[1]")),
+    "json_set_missing": _docs("CAST(NULL AS VARCHAR) AS doc", doc=lambda: J.set_path(D(), "$.no.where", "1")),
+    "json_get": _docs("json_extract(doc, '$.a')::VARCHAR AS a, json_extract(doc, '$.l[1]')::VARCHAR AS l1, CAST(NULL AS VARCHAR) AS none", a=lambda: J.get(D(), "$.a"), l1=lambda: J.get(D(), "$.l.[1]"), none=lambda: J.get(D(), "$.none")),
+    "json_get_root": _docs("doc", doc=lambda: J.get(D())),
+    "json_get_many": _docs("""'{"$.a.b":' || json_extract_string(doc, '$.a.b') || ',"$.no":null,"s":"' || json_extract_string(doc, '$.s') || '"}' AS found""", found=lambda: J.get_many(D(), ["$.a.b", "$.no", "s"])),
     "json_mget": Plan(lambda s, d: J.mget(C.documents(s, d), _asks(s, d), "$.a.b"), _OR_NULL),
-    "json_resp": _docs("json_extract(doc, '$.s')::VARCHAR AS s", s=J.get(D, ".s")),
-    "json_del": _edited(J.delete_path(D, "$.id"), head="''"),
+    "json_resp": _docs("json_extract(doc, '$.s')::VARCHAR AS s", s=lambda: J.get(D(), ".s")),
+    "json_del": _edited(lambda: J.delete_path(D(), "$.id"), head="''"),
     "json_del_root": Plan(lambda s, d: C.documents(s, d).join(_asks(s, d).select("key"), "key", "left_anti").select("key"), sql("SELECT key FROM json WHERE key NOT IN (SELECT 'ev:' || o_orderkey FROM orders)", "json")),
-    "json_forget": _edited(J.delete_path(D, "$.id"), head="''"),
-    "json_type": _docs("'object' AS a, 'array' AS l, 'string' AS s, 'boolean' AS t, 'number' AS id, CAST(NULL AS VARCHAR) AS none", a=J.type_of(D, "$.a"), l=J.type_of(D, "$.l"), s=J.type_of(D, "$.s"), t=J.type_of(D, "$.t"), id=J.type_of(D, "$.id"), none=J.type_of(D, "$.none")),
-    "json_numincrby": _edited(J.increase(D, "$.a.b", 5), a=f"({_B} + 5)"),
-    "json_numincrby_reply": _docs(f"CAST({_B} + 5 AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS text", value=J.number(D, "$.a.b") + 5, text=J.number(D, "$.s")),
-    "json_nummultby": _edited(J.multiply(D, "$.a.b", 3), a=f"({_B} * 3)"),
-    "json_strappend": _edited(J.append_text(D, "$.s", '"-x"'), c="json_extract_string(doc, '$.s') || '-x'"),
-    "json_strlen": _docs("CAST(strlen(json_extract_string(doc, '$.s')) AS BIGINT) AS s, CAST(NULL AS BIGINT) AS l", s=J.strlen(D, "$.s"), l=J.strlen(D, "$.l")),
-    "json_arrappend": _edited(J.array_append(D, "$.l", "end"), b=f"'[1,' || {_L1} || ',3,\"end\"]'"),
-    "json_arrindex": _docs(f"CAST(CASE {_L1} WHEN '3' THEN 1 ELSE 2 END AS BIGINT) AS three, CAST(-1 AS BIGINT) AS nine, CAST(NULL AS BIGINT) AS s", three=J.arrindex(D, "$.l", 3), nine=J.arrindex(D, "$.l", 9), s=J.arrindex(D, "$.s", 1)),
-    "json_arrinsert": _edited(J.array_insert(D, "$.l", 1, 7), b=f"'[1,7,' || {_L1} || ',3]'"),
-    "json_arrlen": _docs("CAST(3 AS BIGINT) AS l, CAST(NULL AS BIGINT) AS s", l=J.arrlen(D, "$.l"), s=J.arrlen(D, "$.s")),
-    "json_arrpop": _edited(J.array_pop(D, "$.l"), b=f"'[1,' || {_L1} || ']'"),
-    "json_arrpop_reply": _docs(f"'3' AS last, {_L1} AS second", last=J.element(D, "$.l"), second=J.element(D, "$.l", 1)),
-    "json_arrtrim": _edited(J.array_trim(D, "$.l", 1, 1), b=f"'[' || {_L1} || ']'"),
-    "json_objkeys": Plan(lambda s, d: C.documents(s, d).select("key", F.posexplode(J.objkeys(D)).alias("pos", "name")).select("key", F.col("pos").cast("bigint").alias("pos"), "name"), sql("SELECT key, unnest(range(0, 5)) AS pos, unnest(['id', 'a', 'l', 's', 't']) AS name FROM json", "json")),
-    "json_objlen": _docs("CAST(5 AS BIGINT) AS root, CAST(1 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS l", root=F.array_size(J.objkeys(D)).cast("bigint"), a=F.array_size(J.objkeys(D, "$.a")).cast("bigint"), l=F.array_size(J.objkeys(D, "$.l")).cast("bigint")),
-    "json_toggle": _edited(J.toggle(D, "$.t"), t="CASE json_extract_string(doc, '$.t') WHEN 'true' THEN 'false' ELSE 'true' END"),
-    "json_clear": _edited(J.clear(D, "$.l"), b="'[]'"),
-    "json_clear_number": _edited(J.clear(D, "$.a.b"), a="'0'"),
+    "json_forget": _edited(lambda: J.delete_path(D(), "$.id"), head="''"),
+    "json_type": _docs("'object' AS a, 'array' AS l, 'string' AS s, 'boolean' AS t, 'number' AS id, CAST(NULL AS VARCHAR) AS none", a=lambda: J.type_of(D(), "$.a"), l=lambda: J.type_of(D(), "$.l"), s=lambda: J.type_of(D(), "$.s"), t=lambda: J.type_of(D(), "$.t"), id=lambda: J.type_of(D(), "$.id"), none=lambda: J.type_of(D(), "$.none")),
+    "json_numincrby": _edited(lambda: J.increase(D(), "$.a.b", 5), a=f"({_B} + 5)"),
+    "json_numincrby_reply": _docs(f"CAST({_B} + 5 AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS text", value=lambda: J.number(D(), "$.a.b") + 5, text=lambda: J.number(D(), "$.s")),
+    "json_nummultby": _edited(lambda: J.multiply(D(), "$.a.b", 3), a=f"({_B} * 3)"),
+    "json_strappend": _edited(lambda: J.append_text(D(), "$.s", '"-x"'), c="json_extract_string(doc, '$.s') || '-x'"),
+    "json_strlen": _docs("CAST(strlen(json_extract_string(doc, '$.s')) AS BIGINT) AS s, CAST(NULL AS BIGINT) AS l", s=lambda: J.strlen(D(), "$.s"), l=lambda: J.strlen(D(), "$.l")),
+    "json_arrappend": _edited(lambda: J.array_append(D(), "$.l", "end"), b=f"'[1,' || {_L1} || ',3,\"end\"]'"),
+    "json_arrindex": _docs(f"CAST(CASE {_L1} WHEN '3' THEN 1 ELSE 2 END AS BIGINT) AS three, CAST(-1 AS BIGINT) AS nine, CAST(NULL AS BIGINT) AS s", three=lambda: J.arrindex(D(), "$.l", 3), nine=lambda: J.arrindex(D(), "$.l", 9), s=lambda: J.arrindex(D(), "$.s", 1)),
+    "json_arrinsert": _edited(lambda: J.array_insert(D(), "$.l", 1, 7), b=f"'[1,7,' || {_L1} || ',3]'"),
+    "json_arrlen": _docs("CAST(3 AS BIGINT) AS l, CAST(NULL AS BIGINT) AS s", l=lambda: J.arrlen(D(), "$.l"), s=lambda: J.arrlen(D(), "$.s")),
+    "json_arrpop": _edited(lambda: J.array_pop(D(), "$.l"), b=f"'[1,' || {_L1} || ']'"),
+    "json_arrpop_reply": _docs(f"'3' AS last, {_L1} AS second", last=lambda: J.element(D(), "$.l"), second=lambda: J.element(D(), "$.l", 1)),
+    "json_arrtrim": _edited(lambda: J.array_trim(D(), "$.l", 1, 1), b=f"'[' || {_L1} || ']'"),
+    "json_objkeys": Plan(lambda s, d: C.documents(s, d).select("key", F.posexplode(J.objkeys(D())).alias("pos", "name")).select("key", F.col("pos").cast("bigint").alias("pos"), "name"), sql("SELECT key, unnest(range(0, 5)) AS pos, unnest(['id', 'a', 'l', 's', 't']) AS name FROM json", "json")),
+    "json_objlen": _docs("CAST(5 AS BIGINT) AS root, CAST(1 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS l", root=lambda: F.array_size(J.objkeys(D())).cast("bigint"), a=lambda: F.array_size(J.objkeys(D(), "$.a")).cast("bigint"), l=lambda: F.array_size(J.objkeys(D(), "$.l")).cast("bigint")),
+    "json_toggle": _edited(lambda: J.toggle(D(), "$.t"), t="CASE json_extract_string(doc, '$.t') WHEN 'true' THEN 'false' ELSE 'true' END"),
+    "json_clear": _edited(lambda: J.clear(D(), "$.l"), b="'[]'"),
+    "json_clear_number": _edited(lambda: J.clear(D(), "$.a.b"), a="'0'"),
 }
 
 # ---- streams

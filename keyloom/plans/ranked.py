@@ -58,7 +58,7 @@ SELECT key, rank, member, score FROM r WHERE rank BETWEEN least({low}, n - 1) AN
 
 def _by_range(inside, where, desc=False, offset=0, count=0):
     last = f" AND rn <= {offset + count}" if count else ""
-    return Plan(lambda s, d: Z.by_range(C.zsets(s, d), inside, desc, offset, count), sql(f""", r AS (SELECT *, row_number() OVER ({DOWN if desc else UP}) AS rn FROM zset WHERE {where})
+    return Plan(lambda s, d: Z.by_range(C.zsets(s, d), inside(), desc, offset, count), sql(f""", r AS (SELECT *, row_number() OVER ({DOWN if desc else UP}) AS rn FROM zset WHERE {where})
 SELECT key, rn - {offset + 1} AS rank, member, score FROM r WHERE rn > {offset}{last}""", "zset"))
 
 
@@ -81,7 +81,6 @@ def _merged(f, how, having, stored=False):
 
 _BOTH = " HAVING count(*) = 2"
 _ZDIFF = "SELECT req, member, max(score) AS score FROM pairs p JOIN zset z ON p.key = z.key GROUP BY req, member HAVING max(arg) = 0"
-_SCORE, _MEMBER = F.col("score"), F.col("member")
 _LOW, _HIGH = 2000.0, 30000.0
 
 # ---- bitmaps
@@ -208,14 +207,14 @@ PLANS = {
     "zmscore": Plan(lambda s, d: Z.score(C.zsets(s, d), _asks(s, d)).orderBy("req"), _ZSCORE),
     "zrank": _ranked(UP, False), "zrevrank": _ranked(DOWN, True),
     "zcard": Plan(lambda s, d: Z.cardinality(C.zsets(s, d)), sql("SELECT key, count(*) AS n FROM zset GROUP BY key", "zset")),
-    "zcount": Plan(lambda s, d: Z.count(C.zsets(s, d), Z.between(_SCORE, _LOW, _HIGH, open_low=True)), sql(f"SELECT key, count(*) FILTER (score > {_LOW} AND score <= {_HIGH}) AS n FROM zset GROUP BY key", "zset")),
-    "zlexcount": Plan(lambda s, d: Z.count(C.zsets(s, d), Z.between(_MEMBER, "10", "7", open_high=True)), sql("SELECT key, count(*) FILTER (member >= '10' AND member < '7') AS n FROM zset GROUP BY key", "zset")),
+    "zcount": Plan(lambda s, d: Z.count(C.zsets(s, d), Z.between(F.col("score"), _LOW, _HIGH, open_low=True)), sql(f"SELECT key, count(*) FILTER (score > {_LOW} AND score <= {_HIGH}) AS n FROM zset GROUP BY key", "zset")),
+    "zlexcount": Plan(lambda s, d: Z.count(C.zsets(s, d), Z.between(F.col("member"), "10", "7", open_high=True)), sql("SELECT key, count(*) FILTER (member >= '10' AND member < '7') AS n FROM zset GROUP BY key", "zset")),
     "zincrby": Plan(lambda s, d: Z.increase(C.zsets(s, d), _zlog(s, d).withColumnRenamed("score", "by")), sql(f"{_ZLOG}, b AS (SELECT key, member, sum(score) AS s FROM l GROUP BY 1, 2) SELECT b.key, b.member, coalesce(score, 0) + s AS score FROM b LEFT JOIN zset z ON b.key = z.key AND b.member = z.member", "zset")),
     "zrange": _by_rank(1, 4), "zrange_tail": _by_rank(-3, -1), "zrange_beyond": _by_rank(60, 90), "zrevrange": _by_rank(0, 4, True),
-    "zrangebyscore": _by_range(Z.between(_SCORE, _LOW, _HIGH), f"score BETWEEN {_LOW} AND {_HIGH}"),
-    "zrangebyscore_limit": _by_range(Z.between(_SCORE, _LOW), f"score >= {_LOW}", False, 1, 5),
-    "zrevrangebyscore": _by_range(Z.between(_SCORE, None, _HIGH), f"score <= {_HIGH}", True, 0, 4),
-    "zrangebylex": _by_range(Z.between(_MEMBER, "10", "3"), "member >= '10' AND member <= '3'", False, 0, 6),
+    "zrangebyscore": _by_range(lambda: Z.between(F.col("score"), _LOW, _HIGH), f"score BETWEEN {_LOW} AND {_HIGH}"),
+    "zrangebyscore_limit": _by_range(lambda: Z.between(F.col("score"), _LOW), f"score >= {_LOW}", False, 1, 5),
+    "zrevrangebyscore": _by_range(lambda: Z.between(F.col("score"), None, _HIGH), f"score <= {_HIGH}", True, 0, 4),
+    "zrangebylex": _by_range(lambda: Z.between(F.col("member"), "10", "3"), "member >= '10' AND member <= '3'", False, 0, 6),
     "zrangestore": Plan(lambda s, d: Z.by_rank(C.zsets(s, d), 0, 1).select(F.concat(F.lit("top:"), "key").alias("key"), "member", "score"), sql(f"SELECT 'top:' || key AS key, member, score FROM (SELECT *, row_number() OVER ({UP}) AS rn FROM zset) x WHERE rn <= 2", "zset")),
     "zpopmin": _popped(False), "zpopmax": _popped(True), "bzpopmin": _first(False), "bzpopmax": _first(True),
     "zunion": _merged(Z.union, "sum", ""), "zunion_min": _merged(Z.union, "min", ""), "zunion_max": _merged(Z.union, "max", ""),
@@ -225,7 +224,7 @@ PLANS = {
     "zdiffstore": Plan(lambda s, d: Z.stored(Z.difference(C.zsets(s, d), C.pairs(s, d)), "out:"), sql(f", x AS ({_ZDIFF}) SELECT 'out:' || req AS key, member, score FROM x", "pairs", "zset")),
     "zrandmember": Plan(lambda s, d: Z.random_members(C.zsets(s, d), 2).groupBy("key").agg(F.count("*").alias("n")), sql("SELECT key, least(count(*), 2) AS n FROM zset GROUP BY key", "zset")),
     "zscan": Plan(lambda s, d: Z.scan(C.zsets(s, d), "?1"), sql("SELECT key, member, score FROM zset WHERE member GLOB '?1'", "zset")),
-    "zremrangebyscore": Plan(lambda s, d: Z.remove_range(C.zsets(s, d), Z.between(_SCORE, _LOW, _HIGH)), sql(f"SELECT key, member, score FROM zset WHERE NOT score BETWEEN {_LOW} AND {_HIGH}", "zset")),
+    "zremrangebyscore": Plan(lambda s, d: Z.remove_range(C.zsets(s, d), Z.between(F.col("score"), _LOW, _HIGH)), sql(f"SELECT key, member, score FROM zset WHERE NOT score BETWEEN {_LOW} AND {_HIGH}", "zset")),
     "setbit": Plan(lambda s, d: B.setbit(_bit_log(s, d)), _BIT_LOG + "SELECT key, off FROM l GROUP BY key, off HAVING arg_max(bit, seq) = 1"),
     "setbit_replies": Plan(lambda s, d: B.setbit_replies(_bit_log(s, d)), _BIT_LOG + "SELECT seq, key, off, lag(bit, 1, 0) OVER (PARTITION BY key, off ORDER BY seq) AS old FROM l"),
     "getbit": Plan(lambda s, d: B.getbit(C.bits(s, d), _bit_asks(s, d)), sql(", q AS (SELECT event_id AS req, event_type || ':05' AS key, user_id AS off FROM events) SELECT req, q.key, q.off, CAST(b.off IS NOT NULL AS BIGINT) AS bit FROM q LEFT JOIN bits b ON q.key = b.key AND q.off = b.off", "bits")),

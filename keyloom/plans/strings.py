@@ -139,7 +139,7 @@ SELECT t.c_custkey, coalesce(part, '') AS part FROM t LEFT JOIN p ON t.c_custkey
 
 
 def _expire(until, sql_until):
-    return Plan(lambda s, d: K.expire(C.keyspace(s, d), NOW, until), sql(f"SELECT key, type, CAST({sql_until} AS BIGINT) AS expires_ms, CAST(CASE WHEN expires_ms = 0 THEN 1 ELSE 0 END AS BIGINT) AS reply FROM ks WHERE {LIVE}", "ks"))
+    return Plan(lambda s, d: K.expire(C.keyspace(s, d), NOW, until()), sql(f"SELECT key, type, CAST({sql_until} AS BIGINT) AS expires_ms, CAST(CASE WHEN expires_ms = 0 THEN 1 ELSE 0 END AS BIGINT) AS reply FROM ks WHERE {LIVE}", "ks"))
 
 
 def _ttl(unit):
@@ -196,9 +196,9 @@ PLANS = {
     "pttl": _ttl(1),
     "expiretime": _at(1000),
     "pexpiretime": _at(1),
-    "expire": _expire(F.lit(NOW + 60 * 1000), f"{NOW} + 60000"),
-    "pexpire": _expire(NOW + F.length("key") * 7, f"{NOW} + length(key) * 7"),
-    "expireat": _expire(F.lit(1_000_000), "1000000"),
+    "expire": _expire(lambda: F.lit(NOW + 60 * 1000), f"{NOW} + 60000"),
+    "pexpire": _expire(lambda: NOW + F.length("key") * 7, f"{NOW} + length(key) * 7"),
+    "expireat": _expire(lambda: F.lit(1_000_000), "1000000"),
     "persist": Plan(lambda s, d: K.persist(C.keyspace(s, d), NOW), sql(f"SELECT key, type, CAST(0 AS BIGINT) AS expires_ms, CAST(CASE WHEN expires_ms > 0 THEN 1 ELSE 0 END AS BIGINT) AS reply FROM ks WHERE {LIVE}", "ks")),
     "rename": Plan(lambda s, d: K.rename(C.keyspace(s, d), _moves(s, d), NOW), _RENAMED.format(extra="")),
     "renamenx": Plan(lambda s, d: K.rename(C.keyspace(s, d), _moves(s, d), NOW, True), _RENAMED.format(extra=" AND m.new NOT IN (SELECT key FROM ks)")),
