@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,9 @@ CACHED_WORDS, CACHED_CHARS = 300_000, 40
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\x20-\x26\x28-\x7e\n\t\r{_LETTERS}]*")
 _TOKENS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+_RUN = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Byte-level tokenizers show bytes that aren't printable in Latin-1 as the characters from 256 on, in order.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD))}
 #: Characters of a text that are split into words at once.
 PART_CHARS = 1 << 20
 
@@ -56,26 +60,31 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self._ids: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> dict[str, bytes]:
-        found = self._tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: b"".join(i.to_bytes(4, "little") for i in e.ids) for w, e in zip(words, found, strict=True)}
+        whole = [w for w in words if not _RUN.fullmatch(w)]
+        found = zip(whole, (e.ids for e in self._tokenizer.encode_batch_fast(whole, add_special_tokens=False)), strict=True)
+        # a lower-case run is one unit of the tokenizer, so its model is asked at once
+        runs = ((w, [t.id for t in self._model.tokenize(w.encode().decode("latin-1").translate(_SHOWN))]) for w in words if _RUN.fullmatch(w))
+        return {w: array("I", ids).tobytes() for w, ids in (*found, *runs)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Only ASCII white space cuts: other kinds are left to the tokenizer."""
         split = [_words(t) for t in texts]
         known = self._ids
-        missing = list({w for words in split for w in words if w not in known})
-        new = self._encode(missing) if missing else {}
-        for word, ids in new.items():
-            if len(known) >= CACHED_WORDS:
-                break
-            if len(word) <= CACHED_CHARS:
-                known[word] = ids
-        if new:
-            return [b"".join(known.get(w) or new.get(w, b"") for w in words) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        missing = set(chain.from_iterable(split)).difference(known)
+        if missing:
+            known.update(self._encode(list(missing)))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        room = CACHED_WORDS + len(missing) - len(known)
+        for word in missing:
+            if len(word) > CACHED_CHARS or room <= 0:
+                del known[word]
+            else:
+                room -= 1
+        return out
 
 
 def _words(text: str) -> list[str]:
