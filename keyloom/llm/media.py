@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from .tables import map_arrow, read
 
@@ -174,11 +175,8 @@ def features(samples: np.ndarray, tile: tuple[int, int] = TILE) -> tuple[bytes,
     return npy((small + 0.5).astype(np.uint8)), bits.tobytes().hex()
 
 
-TILES = "height int, width int, npy binary, dhash string"
-
-
 def tiles(images: DataFrame, image_col: str = "image", tile: tuple[int, int] = TILE) -> DataFrame:
-    """The images' other columns, and TILES; all null where the bytes are null or no image."""
+    """The images' other columns, and height, width, npy and dhash; those are null where the bytes are null or no image."""
     others = [c for c in images.columns if c != image_col]
     if clash := {"height", "width", "npy", "dhash"} & set(others):
         raise ValueError(f"columns that the result needs are taken: {sorted(clash)}")
@@ -198,9 +196,8 @@ def tiles(images: DataFrame, image_col: str = "image", tile: tuple[int, int] = T
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *made], [*others, "height", "width", "npy", "dhash"])
 
-    schema = images.select(*others).schema
-    for field in TILES.split(", "):
-        schema = schema.add(*field.split())
+    added = [StructField("height", IntegerType()), StructField("width", IntegerType()), StructField("npy", BinaryType()), StructField("dhash", StringType())]
+    schema = StructType([*images.select(*others).schema.fields, *added])
     return map_arrow(images.select(*others, image_col), make, schema)
 
 
