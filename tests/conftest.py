@@ -6,8 +6,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-DATA = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -18,9 +16,3 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
-
-
-def rows(df, *order):
-    """The rows as tuples, sorted by the given columns or by all."""
-    got = [tuple(r) for r in (df.select(*order) if order else df).collect()]
-    return sorted(got, key=lambda r: tuple((x is not None, x) for x in r))

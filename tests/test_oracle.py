@@ -4,7 +4,7 @@ import decimal
 
 import duckdb
 import pytest
-from conftest import DATA
+from helpers import DATA
 
 from keyloom.plans import registry
 

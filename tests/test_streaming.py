@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from conftest import rows
+from helpers import rows
 
 from keyloom.operators import streams as X
 from keyloom.streaming import live
