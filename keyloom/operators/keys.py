@@ -85,14 +85,14 @@ def scan_page(ks: DataFrame, now_ms: int, after: str = "", pattern: str = "*", c
 
 
 def sort_values(rows: DataFrame, alpha: bool = False, descending: bool = False, offset: int = 0, count: int = 0) -> DataFrame:
-    """SORT of (pos, value): numerically (what is no number is 0) and stable, or by bytes; count 0 is no limit.
+    """SORT of (pos, value): numerically (what is no number is 0) and stable, or by bytes; count 0 is no limit, and then no offset.
 
     A descending order is the ascending one reversed, equal values too.
     """
-    by = [F.col("value")] if alpha else [F.coalesce(F.when(F.col("value").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.col("value").try_cast("double")), F.lit(0.0))]
+    by = [F.col("value")] if alpha else [F.coalesce(F.when(F.col("value").rlike(r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"), F.col("value").try_cast("double")), F.lit(0.0))]
     by.append(F.col("pos"))
-    out = rows.orderBy(*[c.desc() if descending else c.asc() for c in by]).offset(offset)
-    return out.limit(count) if count else out
+    out = rows.orderBy(*[c.desc() if descending else c.asc() for c in by])
+    return out.offset(offset).limit(count) if count else out
 
 
 def encoding(sizes: DataFrame) -> DataFrame:

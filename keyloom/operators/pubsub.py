@@ -27,16 +27,22 @@ def _globs(subs: DataFrame) -> DataFrame:
     return subs.where("kind = 'glob'").select("subscriber", "pattern", F.concat(F.lit("(?s)^"), wild, F.lit("$")).alias("_regex"), fixed.alias("_fixed"))
 
 
+def matched(rows: DataFrame, globs: DataFrame) -> DataFrame:
+    """Rows with a channel joined to the globs that match it: each glob meets one beginning of a channel at most."""
+    begins = F.transform(F.sequence(F.lit(0), F.length("channel")), lambda n: F.substring("channel", F.lit(1), n))
+    return rows.withColumn("_fixed", F.explode(begins)).join(globs, "_fixed").where(F.expr("channel RLIKE _regex"))
+
+
 def publish(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """Deliveries (msg, channel, payload, subscriber, kind, pattern); one for each subscription that matches.
 
-    Exact names are an equi-join. Globs are matched once per distinct channel, not
-    per message, and only where the characters before the first wild one agree.
+    Exact names are an equi-join. Globs are matched once per distinct channel, not per
+    message, after an equi-join of the channel's beginnings with what stands before a
+    glob's first wild character.
     """
     exact = messages.join(subs.where("kind = 'exact'"), F.col("channel") == F.col("pattern")).select("msg", "channel", "payload", "subscriber", "kind", "pattern")
     globs = _globs(subs)
-    channels = messages.select("channel").distinct()
-    routes = channels.join(globs, F.col("channel").startswith(F.col("_fixed")) & F.expr("channel RLIKE _regex")).select("channel", "subscriber", F.lit("glob").alias("kind"), "pattern")
+    routes = matched(messages.select("channel").distinct(), globs).select("channel", "subscriber", F.lit("glob").alias("kind"), "pattern")
     return exact.unionByName(messages.join(routes, "channel").select("msg", "channel", "payload", "subscriber", "kind", "pattern"))
 
 

@@ -65,8 +65,8 @@ def set_all_absent(requests: DataFrame, strings: DataFrame) -> DataFrame:
     """MSETNX: all pairs (key, v), or none if any key exists or occurs twice."""
     taken = requests.join(strings.select("key").distinct(), "key", "left_semi").select("key")
     twice = requests.groupBy("key").count().where("count > 1").select("key")
-    clash = taken.unionByName(twice).agg(F.count("*").alias("clashes"))  # one row
-    return requests.join(F.broadcast(clash), F.lit(True)).where("clashes = 0").select(*requests.columns)
+    clash = taken.unionByName(twice).agg(F.count("*").alias("_clashes")).select(F.lit(0).alias("_one"), "_clashes")  # one row
+    return requests.withColumn("_one", F.lit(0)).join(clash.where("_clashes > 0"), "_one", "left_anti").select(*requests.columns)
 
 
 def increments(log: DataFrame, start: DataFrame | None = None) -> DataFrame:

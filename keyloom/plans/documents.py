@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import control
 from ..operators import json_docs as J
 from ..operators import pubsub as P
 from ..operators import streams as X
@@ -202,4 +203,42 @@ SERVER_PLANS = {
     "time": Plan(lambda s, d: C.table(s, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), (F.unix_micros(F.col("ts").cast("timestamp")) % 1_000_000).alias("us")), "SELECT event_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) % 1000000 AS us FROM events"),
 }
 
+_VERBS = ("PING", "QUIT", "RESET", "AUTH", "SELECT", "COMMAND", "HELLO", "CLIENT", "CONFIG", "SLOWLOG", "ACL", "MULTI", "DISCARD", "WATCH", "UNWATCH", "NOSUCH")
+_WORDS = ("", "0", "COUNT", "GET", "ID", "LEN", "WHOAMI", "3")
+
+
+def _requests(spark, d):
+    verbs, words = (F.array(*(F.lit(x) for x in xs)) for xs in (_VERBS, _WORDS))
+    k = F.col("o_orderkey")
+    rows = C.table(spark, d, "orders").select(k.alias("req"), F.get(verbs, (k % len(_VERBS)).cast("int")).alias("verb"), F.get(words, (F.floor(k / len(_VERBS)) % len(_WORDS)).cast("int")).alias("arg"))
+    return control.replies(spark, rows)
+
+
+def _quoted(text):
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+_KNOWN = ", ".join(f"({_quoted(v)}, {_quoted(a)}, {_quoted(r)})" for (v, a), r in control.REPLIES.items())
+_CONTROL = f"""
+WITH k AS (SELECT * FROM (VALUES {_KNOWN}) AS t(verb, a, r)),
+q AS (SELECT o_orderkey AS req, {list(_VERBS)}[CAST(o_orderkey % {len(_VERBS)} AS INT) + 1] AS verb, {list(_WORDS)}[CAST((o_orderkey // {len(_VERBS)}) % {len(_WORDS)} AS INT) + 1] AS arg FROM orders)
+SELECT req, q.verb, q.arg, CASE WHEN q.verb = 'PING' AND arg <> '' THEN arg WHEN e.verb IS NOT NULL THEN e.r WHEN o.verb IS NOT NULL THEN o.r ELSE 'ERR unknown command' END AS reply
+FROM q LEFT JOIN k e ON q.verb = e.verb AND q.arg = e.a LEFT JOIN (SELECT * FROM k WHERE a = '') o ON q.verb = o.verb
+"""
+
+
+def _transactions(spark, d):
+    verbs = F.array(*(F.lit(x) for x in ("MULTI", "SET", "INCR", "EXEC", "GET", "MULTI", "SET", "DISCARD")))
+    rows = C.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("note"), F.concat(F.lit("s"), F.floor(F.col("event_id") / 8)).alias("session"), F.get(verbs, (F.col("event_id") % 8).cast("int")).alias("verb"))
+    return control.transactions(rows).select("seq", "session", "verb", "batch")
+
+
+_TRANSACTIONS = """
+SELECT event_id AS seq, 's' || (event_id // 8) AS session, CASE event_id % 8 WHEN 1 THEN 'SET' WHEN 2 THEN 'INCR' ELSE 'GET' END AS verb,
+       CASE WHEN event_id % 8 < 3 THEN event_id // 8 * 8 END AS batch
+FROM events e WHERE event_id % 8 IN (1, 2, 4) AND (event_id % 8 = 4 OR EXISTS (SELECT 1 FROM events x WHERE x.event_id = e.event_id // 8 * 8 + 3))
+"""
+
+SERVER_PLANS |= {"control": Plan(_requests, _CONTROL), "multi_exec": Plan(_transactions, _TRANSACTIONS)}
+
 PLANS = JSON_PLANS | STREAM_PLANS | PUBSUB_PLANS | SERVER_PLANS

@@ -147,14 +147,14 @@ def _all(rows):
 
 def _pfmerge(spark, d):
     rows = _distinct(spark, d)
-    exact = rows.agg(F.countDistinct("member").alias("exact"))
-    return P.count(P.merge(P.registers(rows), _all(rows))).join(exact).select("key", "exact", _close(F.col("estimate"), F.col("exact")))
+    exact = rows.groupBy(F.lit("all").alias("key")).agg(F.countDistinct("member").alias("exact"))
+    return P.count(P.merge(P.registers(rows), _all(rows))).join(exact, "key").select("key", "exact", _close(F.col("estimate"), F.col("exact")))
 
 
 def _pf_sketch(spark, d):
     rows = _distinct(spark, d)
-    exact = rows.agg(F.countDistinct("member").alias("exact"))
-    return P.sketch_count(P.sketches(rows), _all(rows)).join(exact).select("req", "exact", _close(F.col("estimate"), F.col("exact")))
+    exact = rows.groupBy(F.lit("all").alias("req")).agg(F.countDistinct("member").alias("exact"))
+    return P.sketch_count(P.sketches(rows), _all(rows)).join(exact, "req").select("req", "exact", _close(F.col("estimate"), F.col("exact")))
 
 
 # ---- geo

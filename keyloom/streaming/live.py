@@ -9,16 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.pubsub import _globs
+from ..operators.pubsub import _globs, matched
 
 
 def route(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """PUBLISH of a stream (msg, channel, payload) against a static table of subscriptions: the deliveries."""
     columns = ["msg", "channel", "payload", "subscriber", "kind", "pattern"]
     exact = messages.join(subs.where("kind = 'exact'"), F.col("channel") == F.col("pattern")).select(*columns)
-    globs = _globs(subs)
-    found = messages.join(globs, F.col("channel").startswith(F.col("_fixed")) & F.expr("channel RLIKE _regex"))
-    return exact.unionByName(found.withColumn("kind", F.lit("glob")).select(*columns))
+    found = matched(messages, _globs(subs)).withColumn("kind", F.lit("glob"))
+    return exact.unionByName(found.select(*columns))
 
 
 def counters(log: DataFrame) -> DataFrame:
