@@ -54,6 +54,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,7 +118,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _powers[:] = [np.cumprod(np.concatenate([[U(1)], np.full(size - 1, U(b))]), dtype=U) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
@@ -198,15 +199,17 @@ def region_keys(shingles: np.ndarray, rule: Rule, bands: np.ndarray) -> np.ndarr
 
 def _slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """The batch in parts of about so many bytes of text, with the texts (null: empty)."""
-    texts = [t or b"" for t in batch.column(column).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     at = 0
-    while at < len(texts):
+    while at < len(sizes):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= most_bytes):
-            size += len(texts[end])
+        while end < len(sizes) and (end == at or size + sizes[end] <= most_bytes):
+            size += sizes[end]
             end += 1
-        yield batch.slice(at, end - at), texts[at:end]
+        part = batch.slice(at, end - at)
+        yield part, [t or b"" for t in part.column(column).to_pylist()]
         at = end
+    _powers.clear()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

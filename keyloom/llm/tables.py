@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import io
 import os
@@ -10,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
@@ -46,10 +49,22 @@ def ship(spark: SparkSession) -> None:
     context._keyloom_shipped = True
 
 
+def _give_back() -> None:
+    """Returns freed memory of this worker process, which later stages use again, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package's modules at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 class Scratch:
