@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import collections, documents, ranked, strings
+from . import collections, documents, live, ranked, strings
 
-PLANS = {name: plan for module in (strings, collections, ranked, documents) for name, plan in module.PLANS.items()}
+PLANS = {name: plan for module in (strings, collections, ranked, documents, live) for name, plan in module.PLANS.items()}
 
 
 def queries() -> dict:
