@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 # these functions travel by value, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: The start and factor of the 64-bit FNV-1a hash, the factors of a 64-bit finaliser, and the registers of a sketch.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 FINAL = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 REGISTERS = 1 << 14

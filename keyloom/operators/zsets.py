@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.ranges import clamp, glob
 
-#: A change of a score by no more than this is none.
+#: Fixed value: a change of a score by no more than this is none.
 EPSILON = 2.220446049250313e-16
 
 
@@ -76,10 +76,13 @@ def by_rank(zsets: DataFrame, start: int, stop: int, descending: bool = False) -
     """ZRANGE, ZREVRANGE: (key, rank, member, score); a start beyond the end is the last member."""
     if 0 <= start and 0 <= stop:  # Spark keeps only the first rows of each key while it ranks
         top = zsets.withColumn("rn", F.row_number().over(_order(descending))).where(F.col("rn") <= stop + 1).where(F.col("rn") > start)
+        top = top.select("key", (F.col("rn") - 1).cast("bigint").alias("rank"), "member", "score")
+        if not start:
+            return top
         whole = zsets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= start)
         last = zsets.join(whole, "key").withColumn("rn", F.row_number().over(_order(not descending))).where("rn = 1")
         late = last.select("key", (F.col("n") - 1).cast("bigint").alias("rank"), "member", "score")
-        return top.select("key", (F.col("rn") - 1).cast("bigint").alias("rank"), "member", "score").unionByName(late)
+        return top.unionByName(late)
     rows = zsets.withColumns({"rn": F.row_number().over(_order(descending)) - 1, "n": F.count("*").over(Window.partitionBy("key"))})
     low, high = clamp(start, stop, F.col("n"))
     return rows.where(F.col("rn").between(F.least(low, F.col("n") - 1), high)).select("key", F.col("rn").cast("bigint").alias("rank"), "member", "score")

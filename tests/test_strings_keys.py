@@ -21,7 +21,7 @@ def test_getrange(spark, value, start, stop, want):
 
 def test_setrange(spark):
     get = lambda v, at, new: bytes(text(spark, v).select(S.setrange(F.col("v"), at, F.lit(new))).first()[0])
-    assert get("hello world", 6, "Redis") == b"hello Redis"
+    assert get("hello world", 6, "Spark") == b"hello Spark"
     assert get("", 3, "hi") == b"\0\0\0hi"
 
 
