@@ -70,7 +70,7 @@ class Model:
     bias: float
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def fit(rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Model:
     n = len(rows)
     y = np.array([label for _, label in rows], np.float64)
     ones = int(y.sum())
