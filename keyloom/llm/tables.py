@@ -56,9 +56,17 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Rows of an Arrow batch: texts are long, and each task holds a batch twice in the JVM and in Python.
+BATCH_ROWS = 2000
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package's modules at hand on the executors."""
+    """``mapInArrow`` with this package's modules at hand on the executors, in batches of at most
+    BATCH_ROWS rows (a larger limit of the session is lowered, for the frame runs later)."""
     ship(df.sparkSession)
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(limit)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(limit, str(BATCH_ROWS))
 
     def run(batches):
         yield from function(batches)
