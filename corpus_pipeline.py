@@ -51,13 +51,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.unionByName(rows.select(*docs.columns))
 
 
+#: Near copies of the corpus; the query op5_jaccard_join has a contract of its own (three words, 0.9).
+NEAR = jaccard_join.Rule(words=5, num=80, den=100)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the smallest doc_id.
+    """Of each component of documents linked by NEAR, the one with the smallest doc_id.
 
     Rows of one doc_id stay or go together; rows without an id stay.
     """
     scratch = Scratch(spark, "pipeline-near")
-    found = jaccard_join.near_components(docs, scratch)
+    found = jaccard_join.near_components(docs, scratch, NEAR)
     return _without(docs, found.where(F.col("doc_id") > F.col("component_id")), scratch)
 
 
