@@ -111,10 +111,16 @@ def ownership(matches: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses"))
 
 
-def judged(matches: DataFrame, scratch: Scratch, wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """The matches with owners, repos, uses and verdict (live, example or weak)."""
+def judged(matches: DataFrame, scratch: Scratch, wide_owners: int = WIDE_OWNERS, every: bool = False) -> DataFrame:
+    """The matches with owners, repos, uses and verdict (live, example or weak).
+
+    ``every``: all live-looking values that are no example are live, whoever else holds them; otherwise, as
+    in the query's SQL, only those of a single owner. Repositories don't make an example: one owner may use
+    a key in many.
+    """
     held = scratch.cut(ownership(matches), "ownership")
-    verdict = F.when(F.col("owners") >= wide_owners, "example").when((F.col("owners") == 1) & F.col("random"), "live").otherwise("weak")
+    live = F.col("random") if every else (F.col("owners") == 1) & F.col("random")
+    verdict = F.when(F.col("owners") >= wide_owners, "example").when(live, "live").otherwise("weak")
     return matches.join(held, "value_hash").withColumn("verdict", verdict)
 
 
@@ -123,13 +129,13 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner: Column | None = None, repo: Column | None = None, keep: tuple[str, ...] = ("doc_id",), wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner: Column | None = None, repo: Column | None = None, keep: tuple[str, ...] = ("doc_id",), wide_owners: int = WIDE_OWNERS, every: bool = False) -> DataFrame:
     """Per input row: the kept columns, ``base`` and ``spans``, arrays of (start, kind, end) by start, then kind.
 
-    Kinds 0 to 2 are KINDS; those from 3 are VERDICTS, spans over a value.
+    Kinds 0 to 2 are KINDS; those from 3 are VERDICTS, spans over a value. ``every`` as in ``judged``.
     """
     rows, matches = scan(docs, scratch, text_col, owner, repo, keep)
-    at = judged(matches, scratch, wide_owners)
+    at = judged(matches, scratch, wide_owners, every)
     order = F.when(F.col("verdict") == "live", len(KINDS)).when(F.col("verdict") == "example", len(KINDS) + 1)
     per_row = at.groupBy("rid").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("base"),
@@ -156,7 +162,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame, scratch: Scratch, columns: list[str], owner: Column, repo: Column, mask: str = "[credential removed]", text_col: str = "text", wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """The documents with every live credential's value replaced by ``mask``; other texts pass unchanged.
+    """The documents with every live credential's value replaced by ``mask``; other texts pass unchanged. Here
+    every live-looking value of fewer than ``wide_owners`` owners is live.
 
     Texts without any match go straight through. The rest are joined to their spans
     by a row id that is written with them, and rebuilt from the parts between the spans.
@@ -164,7 +171,7 @@ def redacted(docs: DataFrame, scratch: Scratch, columns: list[str], owner: Colum
     text = F.coalesce(F.col(text_col), F.lit(""))
     hit = text.rlike(KINDS[0].need) | text.rlike(KINDS[1].need) | text.rlike(KINDS[2].need)
     suspects = scratch.cut(docs.where(hit).select(*columns).withColumn("_row", F.monotonically_increasing_id()), "suspects")
-    spans = secret_scan(suspects, scratch, text_col, owner, repo, keep=("_row",), wide_owners=wide_owners)
+    spans = secret_scan(suspects, scratch, text_col, owner, repo, keep=("_row",), wide_owners=wide_owners, every=True)
     live = spans.select("_row", F.filter("spans", lambda s: s["kind"] == len(KINDS)).alias("live")).where(F.size("live") > 0)
     # overlapping spans: a span that starts inside what is already masked only extends it
     merged = F.aggregate(

@@ -1,0 +1,15 @@
+from pyspark.sql import functions as F
+
+from keyloom.llm import secret_scan
+
+
+def redacted(spark, scratch, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return {r.doc_id: r.text for r in secret_scan.redacted(docs, scratch, docs.columns, F.col("source"), F.col("source"), mask="#").collect()}
+
+
+def test_values_of_two_owners_are_masked(spark, scratch):
+    two, three = "0123456789abcdef" * 2 + "01234567", "fedcba9876543210" * 2 + "01234567"
+    rows = [(i, f"key: {two} end", f"o{i}") for i in range(2)] + [(10 + i, f"token={three}", f"o{i}") for i in range(3)]
+    clean = redacted(spark, scratch, rows)
+    assert clean[0] == clean[1] == "key: # end" and clean[10] == f"token={three}"
