@@ -61,6 +61,8 @@ VERDICTS = ("live", "example")
 WIDE_OWNERS = 3
 #: A live-looking value has at least so many characters, with letters and digits.
 LIVE_LENGTH = 16
+#: Assigned values that stand for a credential, in lower case; so do runs of one character.
+PLACEHOLDERS = r"^(?:(.)\1*|changeme|change[_-]me|change[_-]?this|(?:your|my|the|some|new|old|insert)[_-]?(?:password|passwd|secret|token|api[_-]?key|key)(?:[_-]?here)?|password|placeholder|redacted|undefined|required|optional)$"
 
 
 def _found(text: Column, order: int, kind: Kind) -> Column:
@@ -78,7 +80,7 @@ def _found(text: Column, order: int, kind: Kind) -> Column:
 
 def scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner: Column | None = None, repo: Column | None = None, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """(rows, matches): rows has ``rid`` and the kept columns of every document; matches has
-    rid, kind, start, end, value_start, value_hash, long, mixed and the owner and repository."""
+    rid, kind, start, end, value_start, value_hash, random, likely and the owner and repository."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.concat(*(_found(text, k, kind) for k, kind in enumerate(KINDS)))
     rows = docs.select(
@@ -99,6 +101,8 @@ def scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner: Colum
             (F.col("end") - F.length("value")).alias("value_start"),
             F.sha2("value", 256).alias("value_hash"),
             ((F.length("value") >= LIVE_LENGTH) & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")).alias("random"),
+            # an access id or hex run is live-looking as such
+            ((F.col("kind") > 0) | ~F.lower("value").rlike(PLACEHOLDERS)).alias("likely"),
         )
     )
     return rows, scratch.cut(matches, "matches")
@@ -114,12 +118,12 @@ def ownership(matches: DataFrame) -> DataFrame:
 def judged(matches: DataFrame, scratch: Scratch, wide_owners: int = WIDE_OWNERS, every: bool = False) -> DataFrame:
     """The matches with owners, repos, uses and verdict (live, example or weak).
 
-    ``every``: all live-looking values that are no example are live, whoever else holds them; otherwise, as
-    in the query's SQL, only those of a single owner. Repositories don't make an example: one owner may use
+    ``every``: all values but examples and placeholders are live, whoever else holds them; otherwise, as
+    in the query's SQL, only random ones of a single owner. Repositories don't make an example: one owner may use
     a key in many.
     """
     held = scratch.cut(ownership(matches), "ownership")
-    live = F.col("random") if every else (F.col("owners") == 1) & F.col("random")
+    live = F.col("likely") if every else (F.col("owners") == 1) & F.col("random")
     verdict = F.when(F.col("owners") >= wide_owners, "example").when(live, "live").otherwise("weak")
     return matches.join(held, "value_hash").withColumn("verdict", verdict)
 
@@ -163,7 +167,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redacted(docs: DataFrame, scratch: Scratch, columns: list[str], owner: Column, repo: Column, mask: str = "[credential removed]", text_col: str = "text", wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """The documents with every live credential's value replaced by ``mask``; other texts pass unchanged. Here
-    every live-looking value of fewer than ``wide_owners`` owners is live.
+    every value of fewer than ``wide_owners`` owners that is no placeholder is live.
 
     Texts without any match go straight through. The rest are joined to their spans
     by a row id that is written with them, and rebuilt from the parts between the spans.
