@@ -52,7 +52,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Near copies of the corpus; the query op5_jaccard_join has a contract of its own (three words, 0.9).
-NEAR = jaccard_join.Rule(words=5, num=80, den=100)
+#: With few shingles a cell, many cells are weak: more spare ones and narrow bands keep keys in proportion to shingles.
+NEAR = jaccard_join.Rule(words=5, num=80, den=100, growth=1.1, spare=64)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

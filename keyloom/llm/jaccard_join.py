@@ -86,6 +86,9 @@ class Rule:
     words: int = 3
     num: int = 90
     den: int = 100
+    #: Only for speed: how far a band reaches, and hundredths of the differing shingles by which cells are spared.
+    growth: float = GROWTH
+    spare: int = 2
 
     def differ(self, largest: int) -> int:
         """The shingles by which linked sets may differ, of which the smaller has at most ``largest``."""
@@ -95,17 +98,17 @@ class Rule:
     def cells(self, largest: int) -> tuple[int, int]:
         """(cells, spare ones among them) of the band whose smaller sets have at most ``largest`` shingles."""
         differ = self.differ(largest)
-        spare = 1 + differ // 50
+        spare = 1 + differ * self.spare // 100
         return differ + 1 + spare, spare
 
     def least_partner(self, size: int) -> int:
         return -(-size * self.num // self.den)
 
 
-def _bands(most: int) -> np.ndarray:
+def _bands(most: int, growth: float = GROWTH) -> np.ndarray:
     bounds = [1]
     while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * GROWTH)))
+        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * growth)))
     return np.array(bounds)
 
 
@@ -222,12 +225,12 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n, c1, c2 (the class of equal sets) and the keys of the regions, per row (doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = _bands(1 << 20)
+        bands = _bands(1 << 20, rule.growth)
         for batch in batches:
             for part, texts in _slices(batch, 1):
                 sets = shingle_sets(texts, rule.words)
                 while max(map(len, sets)) >= bands[-2]:
-                    bands = _bands(int(bands[-1]) * 4)
+                    bands = _bands(int(bands[-1]) * 4, rule.growth)
                 classes = [set_identity(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), _lists([region_keys(s, rule, bands) for s in sets])],
