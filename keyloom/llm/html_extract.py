@@ -16,8 +16,9 @@ Spark broadcasts only below its size threshold and AQE splits where one host is
 hot. Parsing is one linear scan of the page.
 
 Defined results: null or empty html gives an empty text; a null url is no host. Repeated
-pages are extracted each (and vote each). If class words would drop all text of a
-page, they are disregarded for that page. Extra columns are ignored.
+pages are extracted each (and vote each). Class words and forms drop no element that
+holds the article (``_spared``), and nothing if they would drop all text of a page.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 BLOCKS = CONTAINERS | frozenset("address aside dd details dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li nav ol p pre table tbody thead tfoot tr th ul caption summary".split())
-DROPPED = frozenset("head nav header footer aside form button select option menu dialog object svg canvas audio video".split()) | RAW
+DROPPED = frozenset("head nav header footer aside button select option menu dialog object svg canvas audio video".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 #: A class or id with one of these words names no article text.
 DROPPED_WORDS = frozenset(
@@ -51,6 +52,8 @@ DROPPED_WORDS = frozenset(
 )
 #: Never dropped for a class: they hold the article.
 KEPT = frozenset("html body article main".split())
+#: Elements that tell where the article is.
+TELLING = ("article", "main", "h1")
 #: An element that opens closes these, unless one of their holders opened since.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -65,10 +68,22 @@ class Container:
     score: float = 0.0
 
 
+@dataclass
+class Mark:
+    """An element that its class words, or being a form, would drop; the first stands for the page."""
+
+    start: int
+    parent: int  # -1: none
+    within: int  # so many articles and mains
+    chars: int = 0  # unlinked
+    holds: list[int] = field(default_factory=lambda: [0] * len(TELLING))
+
+
 @dataclass
 class Page:
     containers: list[Container] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # container, text, linked characters
+    marks: list[Mark] = field(default_factory=lambda: [Mark(-1, -1, 0)])
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -78,6 +93,8 @@ def _attributes(text: str) -> dict[str, str]:
 def _drops(name: str, attributes: dict[str, str], by_class: bool) -> bool:
     if name in DROPPED:
         return True
+    if name == "form" and by_class:
+        return True
     if name in KEPT or not attributes:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in DROPPED_ROLES:
@@ -97,10 +114,11 @@ class _Open:
     dropped: bool
     linked: bool
     container: int
+    mark: int = 0
 
 
-def parse(html: str, by_class: bool = True) -> Page:
-    """The page's containers and kept blocks of text, in page order."""
+def parse(html: str, by_class: bool = True, spared: frozenset[int] = frozenset()) -> Page:
+    """The page's containers and kept blocks of text, in page order. ``spared``: starts of marks to keep."""
     page = Page([Container("", -1)])
     stack = [_Open("", False, False, 0)]
     buffer: list[str] = []
@@ -132,6 +150,8 @@ def parse(html: str, by_class: bool = True) -> Page:
                 buffer.append(text)
                 if top.linked:
                     linked += len(text)
+                else:
+                    page.marks[top.mark].chars += len("".join(text.split()))
             continue
         name = name.lower()
         if token[1] or token[4]:  # an end tag
@@ -168,7 +188,13 @@ def parse(html: str, by_class: bool = True) -> Page:
         if rest.endswith("/") and name not in BLOCKS:
             continue
         attributes = _attributes(rest) if rest.strip(" /") else {}
-        dropped = top.dropped or _drops(name, attributes, by_class)
+        dropped, mark = top.dropped or _drops(name, attributes, False), top.mark
+        if not dropped and _drops(name, attributes, True):
+            page.marks.append(Mark(pos, mark, sum(o.name in ("article", "main") for o in stack)))
+            mark = len(page.marks) - 1
+            dropped = by_class and pos not in spared
+        if name in TELLING and not dropped:
+            page.marks[mark].holds[TELLING.index(name)] += 1
         container = top.container
         if name in BLOCKS:
             flush(top.container)
@@ -179,7 +205,7 @@ def parse(html: str, by_class: bool = True) -> Page:
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
             pos = stop.end() if stop else end
             continue
-        stack.append(_Open(name, dropped, top.linked or name == "a", container))
+        stack.append(_Open(name, dropped, top.linked or name == "a", container, mark))
     close_to(1)
     flush(0)
     return page
@@ -194,8 +220,27 @@ def score(page: Page) -> None:
             at = page.containers[at].parent
 
 
+def _spared(marks: list[Mark]) -> frozenset[int]:
+    """Starts of the marks that hold the article: all the page's h1; outside of any article or main, all of
+    those; or more than half of the unlinked text, with no article or main elsewhere on the page."""
+    for mark in reversed(marks[1:]):  # parents come first
+        above = marks[mark.parent]
+        above.chars += mark.chars
+        above.holds = [a + b for a, b in zip(above.holds, mark.holds, strict=True)]
+    page = marks[0]
+
+    def keeps(mark: Mark) -> bool:
+        every = [n > 0 and n == of for n, of in zip(mark.holds, page.holds, strict=True)]
+        alone = sum(page.holds[:2]) == sum(mark.holds[:2]) + mark.within
+        return alone and 2 * mark.chars > page.chars or every[2] or not mark.within and any(every)
+
+    return frozenset(m.start for m in marks[1:] if keeps(m))
+
+
 def _parsed(html: str) -> Page:
     page = parse(html)
+    if len(page.marks) > 1 and (spared := _spared(parse(html, by_class=False).marks)):
+        page = parse(html, spared=spared)
     if not page.blocks:
         page = parse(html, by_class=False)
     score(page)
