@@ -7,7 +7,7 @@ and so on. Containers are named by their generalised path of tags and classes
 (digits removed, ids ignored), and every page votes for its paths with their
 shares of its score. Spark adds the votes up per host and path and keeps each
 host's winner. The second pass extracts the containers on the winning path of the
-page's host, in page order; a page that lacks it (or whose host is unknown) uses
+page's host, widened to the nearest article or main around them, in page order; a page that lacks it (or whose host is unknown) uses
 its own best container.
 
 Scale: votes are summed within map tasks, so a host with a third of all pages
@@ -65,6 +65,7 @@ CLOSES = {
 class Container:
     path: str
     parent: int  # -1: none
+    name: str = ""
     score: float = 0.0
 
 
@@ -199,7 +200,7 @@ def parse(html: str, by_class: bool = True, spared: frozenset[int] = frozenset()
         if name in BLOCKS:
             flush(top.container)
             if name in CONTAINERS and not dropped:
-                page.containers.append(Container(f"{page.containers[container].path}>{_step(name, attributes)}", container))
+                page.containers.append(Container(f"{page.containers[container].path}>{_step(name, attributes)}", container, name))
                 container = len(page.containers) - 1
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
@@ -257,13 +258,23 @@ def votes(html: str) -> list[tuple[str, float]]:
     return [(path, value / total) for path, value in found.items()]
 
 
+def _whole(page: Page, at: int) -> int:
+    """The nearest article or main that the container is or stands in, or else the container."""
+    up = at
+    while up >= 0 and page.containers[up].name not in ("article", "main"):
+        up = page.containers[up].parent
+    return up if up >= 0 else at
+
+
 def extract(html: str, path: str | None) -> str:
-    """The text of the containers on the path, or else of the page's best container."""
+    """The text of the containers on the path, or else of the page's best container, each widened to its article or main."""
     page = _parsed(html)
     inside = [path is not None and c.path == path for c in page.containers]
     if not any(inside):
         best = max(range(len(page.containers)), key=lambda i: (page.containers[i].score, -i))
         inside = [i == best for i in range(len(page.containers))]
+    for i in [i for i, chosen in enumerate(inside) if chosen]:
+        inside[_whole(page, i)] = True
     for i, c in enumerate(page.containers):  # parents come first
         inside[i] = inside[i] or c.parent >= 0 and inside[c.parent]
     return " ".join(text for at, text, _ in page.blocks if inside[at])

@@ -14,3 +14,14 @@ def test_wrappers_keep_the_article():
     assert H.extract(f"<body>{beside}</body>", None) == TEXT
     ad = "<div class=ad>" + "buy this " * 99 + "</div>"  # longer than the article beside it
     assert H.extract(f"<body>{ad}{STORY}</body>", None) == TEXT
+
+
+def test_the_whole_article_around_the_winner():
+    for part in ("section", "div class=body", "blockquote"):
+        close = part.split()[0]
+        page = f"<body><nav>n</nav><article><h1>Title</h1><p>intro</p>{f'<{part}>{"long text " * 100}</{close}>' * 2}<p>outro</p></article><div>else</div></body>"
+        path = max(H.votes(page), key=lambda v: v[1])[0]
+        assert path.split(">")[-1].split(".")[0] == close
+        for given in (path, None):
+            got = H.extract(page, given)
+            assert got.startswith("Title intro long text") and got.endswith("long text outro") and got.count("long") == 200
