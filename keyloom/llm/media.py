@@ -14,7 +14,7 @@ stored bytes again and takes all else from what was read back.
 Scale: one map over the rows, no shuffle; memory is one Arrow batch and one
 image. Defined results: null counts as empty; an empty text is one row of zero
 bytes; repeated rows give equal values; bytes that are no image give null
-columns in ``tiles``. Extra columns are ignored.
+columns in ``tiles``; of BMP, only uncompressed 8, 24 and 32 bit forms with a header of 40 bytes or more are images. Extra columns are ignored.
 """
 
 from __future__ import annotations
