@@ -19,27 +19,32 @@ links, exactly. The join works in a metric space, from coarse to fine:
    star, never all pairs); components of the stars are neighbourhoods. Every linked
    pair lies within one neighbourhood, and Jaccard distances within one are spread
    out, where those between unrelated documents are all 1.
-3. Voronoi regions. In a neighbourhood above REGION_SETS sets or REGION_SHINGLES
-   shingles, pivot documents are drawn and every set's Jaccard distance to each of
-   them is taken. Sets within the threshold link to the pivot at once; the largest
-   component of these links is the neighbourhood's main one, and only sets outside
-   it (the core) have links left to find. The next pivots are drawn from the core.
-   Then each core set belongs to its nearest pivot's region and, by distance, to one
-   shell of it as thick as the threshold; by the triangle inequality its links lie in
-   that shell and the two beside it, so sets of the region's neighbours are
-   replicated to the shells they can reach, and to no others. Shells that are still
-   too large are divided into blocks of core sets against blocks of the rest.
+3. Voronoi regions. A neighbourhood above REGION_SETS sets or REGION_SHINGLES
+   shingles draws pivot documents, as many as its size asks for, and each set's
+   Jaccard distance to each of them is taken. Sets within the threshold link to the
+   pivot at once; a group that hangs together by such links needs no further look
+   inside it (its main sets). Each core set, one whose links are still sought,
+   belongs to its nearest pivot's region and, by distance, to one shell of it as thick
+   as the threshold. By the triangle inequality its links lie in that shell and the two
+   beside it, and no partner is farther from that pivot than from its own nearest one
+   by more than two thresholds; so sets near a boundary are replicated to the shells
+   they can reach, and to no others. The shells are regions again and join
+   recursively, with new pivots, as long as that halves the pairs left to look at.
+   Regions that distance doesn't divide (all sets alike far from all) are joined in
+   blocks of core sets against blocks of all.
 4. Each part is joined exactly by an inverted index in one task, which returns a
    spanning forest of its links; components of all forests are the result.
 
 Equal sets are one class from the start, so copies cost nothing. Shingles are
 64-bit hashes and classes 128-bit sums of them: a false link takes a collision of
-64-bit hashes within a pair of documents.
+64-bit hashes within a pair of documents. A word's hash is a sum of random values of
+its bytes and places, so no text is made to collide by its form.
 
 Scale: the text is read twice and moves only to fetch the sets of step 3; regions
 are counted with map-side partial aggregation; hot regions, classes and pivots
 are joined as written tables, which AQE splits. No task holds more than a region,
-and no step lists the pairs of a group.
+and no step lists the pairs of a group. Only regions that distance doesn't divide copy
+their sets in proportion to their size. Tables that no result reads are removed.
 
 Defined results: null or word-free text is an empty set, linked with nothing, its
 own component. Rows that repeat a doc_id are all returned and link like any
@@ -58,13 +63,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .components import components
+from .components import components, roots
 from .tables import Scratch, map_arrow, read, ship
 
 REGION_SETS, REGION_SHINGLES = 512, 2_000_000
-#: Pivots that a large region draws each time, and how often it draws.
-PIVOTS, DRAWS = 16, 2
+#: A divided region draws four pivots for each REGION_SETS sets, and at most so many.
+PIVOTS = 30
 GROWTH = 1.4
 
 U = np.uint64
@@ -90,6 +96,11 @@ class Rule:
     growth: float = GROWTH
     spare: int = 2
 
+    @property
+    def threshold(self) -> float:
+        """The Jaccard distance of linked sets at most."""
+        return 1 - self.num / self.den
+
     def differ(self, largest: int) -> int:
         """The shingles by which linked sets may differ, of which the smaller has at most ``largest``."""
         both = largest + largest * self.den // self.num
@@ -112,18 +123,10 @@ def _bands(most: int, growth: float = GROWTH) -> np.ndarray:
     return np.array(bounds)
 
 
-# Word hashes are polynomials in an odd number over random values of the bytes.
-_BYTE = _mixed(np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(U), 11)
+# A word's hash is the sum of a random value for each of its bytes and their places, mixed: nothing in it repeats
+# from place to place, as the powers of a polynomial modulo 2^64 do.
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(U)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate([[U(1)], np.full(size - 1, U(b))]), dtype=U) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +136,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = ~_SPACE[raw]
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _power_tables(len(raw) + 1)
+    begin = np.zeros(len(raw), np.int64)
+    begin[start] = start
+    place = np.arange(len(raw)) - np.maximum.accumulate(begin)
     total = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTE[raw] * power[: len(raw)], out=total[1:])
-    return _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(U)), start
+    np.cumsum(_mixed(_LOWER[raw] | place.astype(U) << U(8), 11), out=total[1:])
+    return _mixed(total[end] - total[start] + (end - start).astype(U)), start
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -212,7 +217,6 @@ def _slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> It
         part = batch.slice(at, end - at)
         yield part, [t or b"" for t in part.column(column).to_pylist()]
         at = end
-    _powers.clear()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -295,105 +299,193 @@ def linked_forest(sets: list[np.ndarray], rule: Rule, group: np.ndarray | None =
     return forest
 
 
-def _distances(own: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
-    out = np.empty(len(pivots))
-    for i, pivot in enumerate(pivots):
-        common = len(np.intersect1d(own, pivot, assume_unique=True))
-        out[i] = 1 - common / (len(own) + len(pivot) - common)
-    return out
-
-
-def _pivot_distances(rows: DataFrame) -> DataFrame:
-    """Rows (region, node, shingles, pivot_nodes, pivot_sets) to one (region, node, pivot, distance) per pivot."""
+#: Roles of a set in a region: links of core sets are sought here, those of others in another region; main sets hang together already.
+MAIN, OTHER, CORE = 0, 1, 2
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(4)
-            ends = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False))])
-            pivot_sets, pivots = _column_sets(held.flatten()), batch.column(3).flatten().to_numpy()
-            count = np.diff(ends)
-            away = [_distances(own, pivot_sets[ends[i] : ends[i + 1]]) for i, own in enumerate(_column_sets(batch.column(2)))]
-            regions, nodes = (np.repeat(batch.column(i).to_numpy(), count) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (regions, nodes, pivots, np.concatenate(away) if away else np.zeros(0))], ["region", "node", "pivot", "distance"])
 
-    return map_arrow(rows, make, "region bigint, node bigint, pivot bigint, distance double")
+def _common(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set has in common with each of at most 62 pivots."""
+    every = np.unique(np.concatenate(pivots))
+    holders = np.zeros(len(every), U)
+    for i, pivot in enumerate(pivots):
+        holders[np.searchsorted(every, pivot)] |= U(1 << i)
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(every, flat), len(every) - 1)
+    held = np.where(every[at] == flat, holders[at], U(0))
+    begin = np.cumsum([0] + [len(s) for s in sets])[:-1]
+    return np.stack([np.add.reduceat((held >> U(i)) & U(1), begin) for i in range(len(pivots))], 1).astype(np.int64)
 
 
-def _parted(rows: DataFrame, rule: Rule, scratch: Scratch, region_sets: int, region_shingles: int) -> tuple[DataFrame, DataFrame]:
-    """Large regions, rows (region, node, shingles): (parts to join, edges already found).
+def _against_pivots(members: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
+    """Members (region, bucket, node, weight, role, label, shingles) measured against the pivots (region, bucket, node, shingles).
 
-    Parts are rows (region, node, shingles, component, core); links left to find have a core end.
+    Adds ``ties`` (the pivots a member links to), ``linked`` (the same as numbers from 1, and 0 for
+    main sets), ``home`` (nearest pivot and shell) and ``reach`` (where its links can be at home).
+    Pivots have seen all sets, so they are at home nowhere: home is -1.
     """
-    threshold = 1 - rule.num / rule.den
-    nodes = rows.select("region", "node", F.size("shingles").alias("weight"))
-    state = nodes.select("region", "node", "weight", F.col("node").alias("component"), F.lit(True).alias("core"))
-    edges = None
-    for draw in range(DRAWS):
-        drawn = state.where("core").groupBy("region", F.pmod(F.xxhash64("node", F.lit(draw)), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("node"))
-        drawn = scratch.cut(drawn.select("region", "node"), "pivots")
-        # PIVOTS sets a region at most
-        pivots = rows.join(drawn, ["region", "node"]).groupBy("region").agg(F.collect_list(F.struct("node", "shingles")).alias("p"))
-        pivots = scratch.cut(pivots.select("region", F.col("p.node").alias("pivot_nodes"), F.col("p.shingles").alias("pivot_sets")), "pivot-sets")
-        away = scratch.cut(_pivot_distances(rows.join(pivots, "region").select("region", "node", "shingles", "pivot_nodes", "pivot_sets")), "distances")
-        close = away.where((F.col("distance") <= threshold + 1e-9) & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        edges = close if edges is None else edges.unionByName(close)
-        found = components(edges, scratch, f"draw-{draw}")
-        placed = scratch.cut(nodes.join(found, "node", "left").select("region", "node", "weight", F.coalesce("component", "node").alias("component")), "placed")
-        counted = placed.groupBy("region", "component").agg(F.count("*").alias("sets"))
-        main = scratch.cut(counted.groupBy("region").agg(F.max_by("component", F.struct("sets", "component")).alias("main")), "main")
-        state = scratch.cut(placed.join(main, "region").select("region", "node", "weight", "component", (F.col("component") != F.col("main")).alias("core")), "state")
-        if not state.where("core").head(1):
-            break
-    wide = threshold + 1e-6
-    away = away.withColumn("shell", F.floor(F.col("distance") / wide))
-    homes = away.join(state.where("core").select("region", "node"), ["region", "node"], "left_semi")
-    homes = homes.groupBy("region", "node").agg(F.min(F.struct("distance", "pivot", "shell")).alias("home")).select("region", "node", "home.pivot", "home.shell")
-    homes = scratch.cut(homes, "homes")
-    reach = away.select("region", "node", "pivot", F.explode(F.array(*(F.col("shell") + k for k in (-1, 0, 1)))).alias("shell"))
-    cells = scratch.cut(homes.groupBy("region", "pivot", "shell").agg(F.count("*").alias("cores")), "cells")
-    members = scratch.cut(reach.join(cells.select("region", "pivot", "shell"), ["region", "pivot", "shell"]), "members")
-    sized = members.join(nodes, ["region", "node"]).groupBy("region", "pivot", "shell").agg(F.count("*").alias("sets"), F.sum("weight").alias("heavy"))
-    half = max(1, region_sets // 2)
-    blocks = lambda n, w: F.greatest(F.lit(1).cast("bigint"), F.ceil(n / half), F.least(n, F.ceil(2 * w / region_shingles)))
-    plan = cells.join(sized, ["region", "pivot", "shell"]).select(
-        "region", "pivot", "shell", blocks(F.col("cores"), F.col("heavy") * F.col("cores") / F.col("sets")).alias("core_blocks"), blocks(F.col("sets"), F.col("heavy")).alias("blocks")
+    wide = rule.threshold + 1e-6
+
+    def measure(one: pa.Table, other: pa.Table) -> pa.Table:
+        if not one.num_rows:
+            return pa.table({f: [] for f in MEASURED.names}, to_arrow_schema(MEASURED))
+        drawn = np.argsort(other.column("pivot").to_numpy())
+        names = other.column("pivot").to_numpy()[drawn]
+        pivot_sets = _column_sets(other.column("held"))
+        pivot_sets = [pivot_sets[i] for i in drawn]
+        own = _column_sets(one.column("shingles"))
+        common = _common(own, pivot_sets)
+        union = np.array([len(s) for s in own])[:, None] + np.array([len(s) for s in pivot_sets])[None, :] - common
+        near = rule.den * common >= rule.num * union
+        away = 1 - common / union
+        shell = np.floor(away / wide).astype(np.int64)
+        code = np.arange(len(names)) * SHELLS + shell + 1
+        least = away.argmin(1)
+        within = away <= away.min(1)[:, None] + 2 * rule.threshold + 1e-9
+        nodes, roles = one.column("node").to_numpy(), one.column("role").to_numpy()
+        pivot = np.isin(nodes, names)
+        rows = range(len(nodes))
+        ties = [names[near[i] & (names != nodes[i])].tolist() for i in rows]
+        linked = [[0] * int(roles[i] == MAIN) + (np.flatnonzero(near[i]) + 1).tolist() for i in rows]
+        home = np.where(pivot, -1, code[np.arange(len(nodes)), least])
+        reach = [[] if pivot[i] else (code[i, within[i]][:, None] + np.arange(-1, 2)).ravel().tolist() for i in rows]
+        out = [one.column(c) for c in ("region", "node", "weight", "role", "label")]
+        return pa.table([*out, pa.array(ties, pa.list_(pa.int64())), pa.array(linked, pa.list_(pa.int32())), pa.array(home, pa.int32()), pa.array(reach, pa.list_(pa.int32()))], names=MEASURED.names)
+
+    ship(members.sparkSession)
+    pivots = pivots.select(F.col("region").alias("of"), F.col("bucket").alias("part"), F.col("node").alias("pivot"), F.col("shingles").alias("held"))
+    return members.groupBy("region", "bucket").cogroup(pivots.groupBy("of", "part")).applyInArrow(measure, MEASURED)
+
+
+#: Codes of a pivot's shells: those of the next pivot begin so much higher.
+SHELLS = 1 << 16
+MEASURED = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("region", "node", "weight")]
+    + [T.StructField("role", T.IntegerType()), T.StructField("label", T.LongType()), T.StructField("ties", T.ArrayType(T.LongType()))]
+    + [T.StructField("linked", T.ArrayType(T.IntegerType())), T.StructField("home", T.IntegerType()), T.StructField("reach", T.ArrayType(T.IntegerType()))]
+)
+
+
+def _main_sets(measured: DataFrame, others: DataFrame) -> DataFrame:
+    """region, comps (the group of each pivot's number, by links through any set) and main (the group to leave out, or -1).
+
+    Core sets of the main group have only links left that others of the region find: sets of
+    the group are known to hang together, and whoever sought links elsewhere and isn't of the
+    group seeks them here instead. That pays where the group has more core sets than there
+    are such others. Where main sets are here already, their group is the only choice.
+    """
+    ties = measured.where("size(linked) > 0").select(
+        "region", F.get("linked", F.lit(0)).alias("low"), F.explode("linked").alias("to"),
+        (F.col("role") == CORE).cast("bigint").alias("cores"), (F.col("role") == OTHER).cast("bigint").alias("others"),
     )
-    plan = scratch.cut(plan, "blocks")
-    cell, every = ["region", "pivot", "shell"], lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    # at most PIVOTS + 1 squared rows a region
+    counted = ties.groupBy("region", "low", "to").agg(F.sum("cores").alias("cores"), F.sum("others").alias("others"))
+    counted = counted.groupBy("region").agg(F.collect_list(F.struct("low", "to", "cores", "others")).alias("ties")).join(others, "region")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            comps, mains = [], []
+            for found, elsewhere in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                up = roots((t["low"], t["to"]) for t in found)
+                worth: dict[int, int] = {}
+                for t in found:
+                    if t["low"] == t["to"]:
+                        at = up[t["low"]]
+                        worth[at] = worth.get(at, -elsewhere) + t["cores"] + t["others"]
+                best = 0 if 0 in worth else max(worth, key=lambda c: (worth[c], -c))
+                comps.append([up.get(i, i) for i in range(max(up) + 1)])
+                mains.append(best if worth[best] > 0 else -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(comps, pa.list_(pa.int32())), pa.array(mains, pa.int32())], ["region", "comps", "main"])
+
+    return map_arrow(counted.select("region", "ties", "others"), make, "region bigint, comps array<int>, main int")
+
+
+def _divided(members: DataFrame, large: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, level: int, most_sets: int, most_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Large regions of the members: (members of the next level's regions, parts of those that distance doesn't divide, edges)."""
+    fill = f"greatest(sets / {most_sets}, weight / {most_shingles})"
+    large = large.select("region", "sets", "others", F.expr(f"CAST(greatest(1, ceil({fill})) AS bigint)").alias("buckets"), F.expr(f"CAST(greatest(2, least({PIVOTS}, ceil(4 * {fill}), floor({most_shingles} * sets / weight))) AS bigint)").alias("pivots"))
+    drawn = members.where(F.col("role") == CORE).join(large, "region").groupBy("region", "buckets", F.pmod(F.xxhash64("node", F.lit(level)), F.col("pivots")).alias("slot")).agg(F.min("node").alias("node"))
+    drawn = drawn.select("region", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("buckets") - 1)).alias("bucket"))
+    bucket = F.pmod(F.xxhash64("node", F.lit(7)), F.col("buckets")).alias("bucket")
+    every = members.join(large, "region").select("region", bucket, "node", "weight", "role", "label")
+    measured = scratch.cut(_against_pivots(every.join(sets, "node"), drawn.join(sets, "node"), rule), "measured")
+    edges = measured.select(F.explode("ties").alias("a"), F.col("node").alias("b"))
+
+    chosen = scratch.cut(_main_sets(measured, large.select("region", "others")), "main-sets")
+    comp = F.when(F.size("linked") > 0, F.get("comps", F.get("linked", F.lit(0))))
+    state = measured.where("home >= 0").join(chosen, "region", "left").withColumn("comp", comp)
+    in_main = (F.col("main") >= 0) & F.col("comp").eqNullSafe(F.col("main"))
+    role = F.when(in_main, MAIN).when((F.col("main") >= 0) & (F.col("role") == OTHER), CORE).otherwise(F.col("role"))
+    label = F.when(role == MAIN, F.lit(-1).cast("bigint")).when(F.col("comp").isNotNull(), F.xxhash64("region", "comp")).otherwise(F.col("label"))
+    state = scratch.cut(state.select("region", "node", "weight", label.alias("label"), role.alias("role"), "home", "reach"), "state")
+
+    cells = state.where(F.col("role") == CORE).groupBy("region", F.col("home").alias("cell")).agg(F.count("*").alias("cores"))
+    reached = state.select("region", "node", "weight", "label", "role", "home", F.explode("reach").alias("cell")).join(cells.select("region", "cell"), ["region", "cell"])
+    there = F.when((F.col("role") == CORE) & (F.col("home") != F.col("cell")), OTHER).otherwise(F.col("role")).cast("int")
+    reached = scratch.cut(reached.select("region", "cell", "node", "weight", there.alias("role"), "label"), "reached")
+    work = reached.groupBy("region", "cell").agg(F.count("*").alias("sets"), F.sum((F.col("role") == CORE).cast("bigint")).alias("cores"))
+    work = work.groupBy("region").agg(F.sum("cores").alias("cores"), F.sum(F.col("cores").cast("double") * F.col("sets")).alias("work"))
+    # a region goes on only if the pairs left to look at are halved, so levels end
+    plan = scratch.cut(work.join(large.select("region", "sets"), "region").select("region", "cores", (2 * F.col("work") <= F.col("cores").cast("double") * F.col("sets")).alias("divides")), "divides")
+    onward = reached.join(plan.where("divides").select("region"), "region").select(F.xxhash64("region", "cell").alias("region"), "node", "weight", "role", "label")
+
+    half = max(1, most_sets // 2)
+    blocks = lambda n, w: F.greatest(F.lit(1).cast("bigint"), F.ceil(n / half), F.least(n, F.ceil(2 * w / most_shingles)))
+    whole = state.join(plan.where("NOT divides").select("region"), "region")
+    is_core = F.col("role") == CORE
+    sized = whole.groupBy("region").agg(*(x.alias(a) for x, a in ((F.count("*"), "n"), (F.sum("weight"), "w"), (F.sum(is_core.cast("bigint")), "cn"), (F.sum(F.when(is_core, F.col("weight")).otherwise(0)), "cw"))))
+    sized = sized.select("region", blocks(F.col("cn"), F.col("cw")).alias("xs"), blocks(F.col("n"), F.col("w")).alias("ys"))
     own = lambda n: F.pmod(F.xxhash64("node", F.lit(99)), F.col(n))
-    part = F.xxhash64(*cell, "x", "y").alias("part")
-    cores = homes.join(plan, cell).withColumn("x", own("core_blocks")).withColumn("y", every("blocks")).select("region", "node", part, F.lit(True).alias("core"))
-    rest = members.join(plan, cell).withColumn("y", own("blocks")).withColumn("x", every("core_blocks")).select("region", "node", part, F.lit(False).alias("core"))
-    dealt = scratch.cut(cores.unionByName(rest).groupBy("region", "node", "part").agg(F.max("core").alias("core")), "dealt")
-    parts = dealt.join(state.select("region", "node", "component"), ["region", "node"]).join(rows, ["region", "node"])
-    return parts.select(F.col("part").alias("region"), "node", "shingles", "component", "core"), edges
-
-
-def region_links(rows: DataFrame, rule: Rule, scratch: Scratch, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
-    """Edges (a, b) that span the links within each region of rows (region, node, shingles)."""
-    sizes = rows.groupBy("region").agg(F.count("*").alias("sets"), F.sum(F.size("shingles")).alias("weight"))
-    large = F.expr(f"sets > 2 AND (sets > {region_sets} OR weight > {region_shingles})")
-    sizes = scratch.cut(sizes.withColumn("large", large), "region-sizes")
-    parts = rows.join(sizes.where("NOT large").select("region"), "region").select("region", "node", "shingles", F.col("node").alias("component"), F.lit(True).alias("core"))
-    edges = None
-    if sizes.where("large").head(1):
-        wide = scratch.cut(rows.join(sizes.where("large").select("region"), "region"), "large-regions")
-        more, edges = _parted(wide, rule, scratch, region_sets, region_shingles)
-        parts = parts.unionByName(more)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    part = F.xxhash64("region", "x", "y").alias("region")
+    seek = whole.where(is_core).join(sized, "region").withColumn("x", own("xs")).withColumn("y", all_of("ys")).select(part, "node", "label", F.lit(True).alias("core"))
+    rest = whole.join(sized, "region").withColumn("y", own("ys")).withColumn("x", all_of("xs")).select(part, "node", "label", F.lit(False).alias("core"))
+    return onward, seek.unionByName(rest).groupBy("region", "node", "label").agg(F.max("core").alias("core")), edges
+
+
+def region_links(sets: DataFrame, rule: Rule, scratch: Scratch, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """Edges (a, b) that span the links within each region of the written table sets (region, node, shingles; a node in one region)."""
 
     def join(table: pa.Table) -> pa.Table:
-        nodes, group, core = (table.column(c).to_numpy() for c in ("node", "component", "core"))
+        nodes, group, core = (table.column(c).to_numpy() for c in ("node", "label", "core"))
         forest = linked_forest(_column_sets(table.column("shingles")), rule, group, core)
         return pa.table({"a": pa.array([int(nodes[x]) for x, _ in forest], pa.int64()), "b": pa.array([int(nodes[y]) for _, y in forest], pa.int64())})
 
-    ship(rows.sparkSession)
-    out = parts.groupBy("region").applyInArrow(join, "a bigint, b bigint")
-    return out if edges is None else out.unionByName(edges)
+    ship(sets.sparkSession)
+    shingles = sets.select("node", "shingles")
+    members = sets.select("region", "node", F.size("shingles").cast("bigint").alias("weight"), F.lit(CORE).alias("role"), F.col("node").alias("label"))
+    edges, parts, level = [], [], 0
+    while True:
+        core, other = ((F.col("role") == r).cast("bigint") for r in (CORE, OTHER))
+        sizes = members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("weight").alias("weight"), F.sum(core).alias("cores"), F.sum(other).alias("others")).where("sets > 1 AND cores > 0")
+        large = F.expr(f"sets > 2 AND (sets > {region_sets} OR weight > {region_shingles})")
+        sizes = scratch.cut(sizes.withColumn("large", large), "region-sizes")
+        small = sizes.where("NOT large").select("region")
+        if level == 0:
+            whole = sets.join(small, "region").select("region", "node", "shingles", F.col("node").alias("label"), F.lit(True).alias("core"))
+            edges.append(whole.groupBy("region").applyInArrow(join, "a bigint, b bigint"))
+        else:
+            parts.append(members.join(small, "region").select("region", "node", "label", (F.col("role") == CORE).alias("core")))
+        if not sizes.where("large").head(1):
+            break
+        onward, blocks, found = _divided(members, sizes.where("large"), shingles, rule, scratch, level, region_sets, region_shingles)
+        members = scratch.cut(onward, "members")
+        edges.append(found)
+        parts.append(blocks)
+        level += 1
+    if parts:
+        every = parts[0]
+        for more in parts[1:]:
+            every = every.unionByName(more)
+        edges.append(every.join(shingles, "node").groupBy("region").applyInArrow(join, "a bigint, b bigint"))
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def near_components(docs: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:  # noqa: B008
     """Per row: doc_id, n_shingles and component_id. See the module for defined results."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs, before = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scratch.written
     rows = scratch.cut(features(docs, rule).withColumn("rid", F.monotonically_increasing_id()), "features")
     classes = rows.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"))
     classes = scratch.cut(classes, "classes")
@@ -417,6 +509,7 @@ def near_components(docs: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_c
     linked = scratch.cut(linked.select("n", "c1", "c2", "least_id", "component"), "linked")
     least = scratch.cut(linked.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-ids")
     placed = scratch.cut(linked.join(least, "component").select("n", "c1", "c2", "component_id"), "placed")
+    scratch.drop_since(before, rows, placed)
     full = rows.where("n > 0").select("doc_id", "n", "c1", "c2").join(placed, ["n", "c1", "c2"])
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)

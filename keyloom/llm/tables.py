@@ -89,20 +89,28 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
-        self._n = 0
+        self._tables: list[DataFrame] = []
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
+        path = f"{self.root}/{len(self._tables) + 1:03d}-{name}"
         df.write.parquet(path)
         table = self.spark.read.parquet(path)
         self._paths[id(table)] = path
-        self._keep = [*getattr(self, "_keep", []), table]
+        self._tables.append(table)
         return table
 
     def path(self, table: DataFrame) -> str:
         return self._paths[id(table)]
 
+    def drop_since(self, number: int, *kept: DataFrame) -> None:
+        """Removes what was written after the table of that number (see ``written``), but for the kept."""
+        stay = {id(t) for t in kept}
+        self.drop(*(t for t in self._tables[number:] if id(t) in self._paths and id(t) not in stay))
+
+    @property
+    def written(self) -> int:
+        return len(self._tables)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for table in tables:

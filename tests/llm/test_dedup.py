@@ -88,6 +88,97 @@ def test_jaccard_join_of_a_cluster(spark, scratch):
         assert collections.Counter(tuple(r) for r in J.near_components(df, scratch, **limits).collect()) == want
 
 
+def clusters(rng, groups, per_group, words, changes):
+    docs = []
+    for group in range(groups):
+        base = [f"g{group}w{i}" for i in range(words)]
+        for _ in range(per_group):
+            own = list(base)
+            for at in rng.sample(range(words), rng.choice(changes)):
+                own[at] = f"x{rng.randrange(10_000)}"
+            docs.append((len(docs), " ".join(own)))
+    return docs
+
+
+def links(sets, rule):
+    return {(x, y) for x in range(len(sets)) for y in range(x) if rule.den * len(a := sets[x] & sets[y]) >= rule.num * (len(sets[x]) + len(sets[y]) - len(a))}
+
+
+def partition(n, edges):
+    root = list(range(n))
+    for _ in range(n):
+        before = list(root)
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+        root = [root[r] for r in root]
+        if root == before:
+            return root
+    return root
+
+
+@pytest.mark.parametrize("rule", [J.Rule(), J.Rule(words=5, num=80)])
+def test_regions_join_recursively(spark, scratch, rule):
+    """One region of several clusters and of sets between them, divided over more than one level, against all pairs."""
+    import random
+
+    rng = random.Random(11)
+    sets = []
+    for group in range(4):
+        base = rng.sample(range(10_000 * group, 10_000 * (group + 1)), 120)
+        sets += [set(base[k:]) | set(rng.sample(range(10**6), c)) for k in range(0, 60, 2) for c in (0, 3, 9)]
+    region = [(7, x, sorted(s)) for x, s in enumerate(sets)] + [(8, len(sets), [1]), (9, len(sets) + 1, [1, 2])]
+    df = scratch.cut(spark.createDataFrame(region, "region long, node long, shingles array<long>"), "one-region")
+    before = scratch.written
+    found = {tuple(sorted(r, reverse=True)) for r in J.region_links(df, rule, scratch, region_sets=6).collect()}
+    names = [scratch.path(t).rsplit("-", 2)[1:] for t in scratch._tables[before:] if id(t) in scratch._paths]
+    assert sum(n[-1] == "measured" for n in names) >= 2
+    want = links(sets, rule)
+    assert found <= want and partition(len(sets), found) == partition(len(sets), want)
+
+
+def test_region_that_distance_does_not_divide(spark, scratch):
+    """Many sets, all alike far from each other but for a few pairs: copies stay those of the blocks."""
+    import random
+
+    rng, n = random.Random(4), 5000
+    sets = [set(rng.sample(range(200), 160)) | set(range(1000 * (x + 1), 1000 * (x + 1) + 10)) for x in range(n)]
+    for x in range(0, n, 500):
+        sets[x + 1] = (sets[x] - {min(sets[x])}) | {10**7 + x}
+    df = scratch.cut(spark.createDataFrame([(1, x, sorted(s)) for x, s in enumerate(sets)], "region long, node long, shingles array<long>"), "equidistant")
+    found = {tuple(sorted(r)) for r in J.region_links(df, J.Rule(), scratch).collect()}
+    assert found >= {(x, x + 1) for x in range(0, n, 500)}
+    assert all(100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y]) for x, y in found)
+
+
+def test_words_made_to_collide(spark, scratch):
+    """A Thue-Morse word and its complement have equal hashes under any polynomial modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    docs = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in J.near_components(df, scratch).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_only_what_is_read_stays(spark, scratch):
+    import os
+
+    before = scratch.written
+    df = J.near_components(spark.createDataFrame(clusters(__import__("random").Random(2), 2, 6, 50, (0, 1, 2)), "doc_id long, text string"), scratch)
+    held = [scratch._paths[id(t)] for t in scratch._tables[before:] if id(t) in scratch._paths]
+    assert [p.rsplit("/", 1)[1][4:] for p in held] == ["features", "placed"] and df.count() == 12
+    assert all(os.path.isdir(p.removeprefix("file://")) for p in held)
+
+
+@pytest.mark.parametrize("last_edges", [0, 20])
+def test_components_in_rounds(spark, scratch, last_edges):
+    """A long sorted path, a star and single pairs, without and with a last task."""
+    edges = [(i, i + 1) for i in range(1000, 1100)] + [(1, i) for i in range(2, 200)] + [(5000 + 2 * i, 5001 + 2 * i) for i in range(30)]
+    got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), scratch, "r", last_edges).collect())
+    groups = collections.defaultdict(set)
+    for node, c in got.items():
+        groups[c].add(node)
+    assert sorted(map(sorted, groups.values())) == sorted([list(range(1000, 1101)), list(range(1, 200)), *([5000 + 2 * i, 5001 + 2 * i] for i in range(30))])
+
+
 def test_set_identity_and_words():
     import numpy as np
 
