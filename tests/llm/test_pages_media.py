@@ -33,15 +33,36 @@ def test_consensus(spark, scratch):
     assert H.extracted(df, scratch).count() == 12 and H.extracted(df.where("false"), scratch).collect() == []
 
 
-def test_stored_texts(documents, none):
-    got = M.stored_texts(documents).collect()
+def feature_by_loops(full):
+    """The feature of a payload 64 samples wide, area by area."""
+    from fractions import Fraction
+    import io
+
+    height, width = len(full) // 64, 64
+
+    def resized(rows, columns):
+        spans = lambda n, parts: [[(k, min(k + 1, Fraction(n * (i + 1), parts)) - max(k, Fraction(n * i, parts))) for k in range(n * i // parts, -(-n * (i + 1) // parts))] for i in range(parts)]
+        cell = Fraction(height, rows) * Fraction(width, columns)
+        down = [[sum(full[y * width + x] * part for y, part in ys) for x in range(width)] for ys in spans(height, rows)]
+        return [[sum(line[x] * part for x, part in xs) / cell for xs in spans(width, columns)] for line in down]
+
+    small = np.array([[int(float(v) + 0.5) for v in line] for line in resized(*M.TILE)], np.uint8)
+    out = io.BytesIO()
+    np.lib.format.write_array(out, small, version=(1, 0))
+    bits = "".join("01"[float(b) > float(a) + 1e-6] for line in resized(8, 9) for a, b in zip(line, line[1:]))
+    return f"{int(bits, 2):016x}:{zlib.crc32(out.getvalue()):08x}"
+
+
+def test_stored_texts(documents, none, scratch):
+    got = M.stored_texts(documents, scratch).collect()
     want = collections.Counter()
     for r in documents.select("doc_id", "text").collect():
         raw = (r.text or "").encode()
         full = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
-        want[r.doc_id, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])] += 1
-    assert collections.Counter(tuple(r)[:5] for r in got) == want
-    assert len({r.feature for r in got if r.doc_id in (3, 4)}) == 1 and M.stored_texts(none).collect() == []
+        media = b"P5\n64 %d\n255\n" % (len(full) // 64) + full
+        want[r.doc_id, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_by_loops(full)] += 1
+    assert collections.Counter(tuple(r) for r in got) == want
+    assert len({r.feature for r in got if r.doc_id in (3, 4)}) == 1 and M.stored_texts(none, scratch).collect() == []
 
 
 @pytest.mark.parametrize(("height", "width"), [(1, 64), (5, 64), (40, 7), (8, 9), (3, 3), (9000, 64)])
@@ -70,3 +91,67 @@ def test_decoding(spark):
     assert tile.shape == M.TILE and len(got[0].dhash) == 16
     with pytest.raises(ValueError):
         M.tiles(df.withColumnRenamed("id", "width"))
+
+
+def bmp(depth, body, width, height, table=b"", packing=0, size=40, colours=0, masks=b""):
+    import struct
+
+    if size == 12:
+        head = struct.pack("<IHHHH", 12, width, height, 1, depth)
+    else:
+        head = struct.pack("<IiiHHIIiiII", 40, width, height, 1, depth, packing, len(body), 0, 0, colours, 0) + masks
+    offset = 14 + len(head) + len(table)
+    return struct.pack("<2sIHHI", b"BM", offset + len(body), 0, 0, offset) + head + table + body
+
+
+def test_forms_of_bmp():
+    grey = b"".join(bytes([v, v, v, 0]) for v in (10, 20, 30, 40))
+    two = [[10, 20, 10], [20, 20, 10]]  # first row first
+    assert M.decode(bmp(1, b"\xc0\0\0\0\x40\0\0\0", 3, 2, grey[:8])).tolist() == two
+    assert M.decode(bmp(4, b"\x11\0\0\0\x01\0\0\0", 3, 2, grey)).tolist() == two
+    assert M.decode(bmp(8, b"\1\1\0\0\0\1\0\0", 3, 2, grey, colours=4)).tolist() == two
+    assert M.decode(bmp(8, b"\0\1\0\0\1\1\0\0", 3, -2, grey, colours=4)).tolist() == two
+    small = b"".join(bytes([v] * 3) for v in (10, 20)) + bytes(254 * 3)
+    assert M.decode(bmp(8, b"\1\1\0\0\0\1\0\0", 3, 2, small, size=12)).tolist() == two
+    # runs, samples as they are, a move, ends of row and image
+    assert M.decode(bmp(8, b"\2\1\1\0\0\0" b"\0\3\0\1\0\0\0\1", 3, 2, grey, packing=1, colours=4)).tolist() == two
+    assert M.decode(bmp(8, b"\0\2\1\1\2\1\0\1", 3, 2, grey, packing=1, colours=4)).tolist() == [[10, 20, 20], [10, 10, 10]]
+    assert M.decode(bmp(4, b"\3\x01\0\0\0\3\x11\0\0\1", 3, 2, grey, packing=2)).tolist() == [[20, 20, 10], [10, 20, 10]]
+    red, green = [255, 0, 0], [0, 255, 0]
+    assert M.decode(bmp(16, b"\0\x7c\xe0\3", 2, 1)).tolist() == [[red, green]]
+    masks = b"\0\xf8\0\0\xe0\7\0\0\x1f\0\0\0"
+    assert M.decode(bmp(16, b"\0\xf8\xe0\7", 2, 1, packing=3, masks=masks)).tolist() == [[red, green]]
+    assert M.decode(bmp(24, b"\0\0\xff\0\xff\0\0\0", 2, 1)).tolist() == [[red, green]]
+    assert M.decode(bmp(32, b"\0\0\xff\0\0\xff\0\0", 2, 1)).tolist() == [[red, green]]
+
+
+def test_hostile_images(spark):
+    """Bytes that are no image give nulls, in linear time and without a crash."""
+    import random
+    import time
+
+    began = time.time()
+    bad = [
+        b"P5" + b" " * 100_000 + b"x", b"P5 " + b"#\n" * 50_000, b"P5\n#" + b"x" * 100_000, b"P2\n2 1\n9\n1 x\n", b"P2\n1 1\n9\n300\n", b"P2\n1 1\n9\n1_0\n", b"P2\n2 1\n9\n-1 2\n",
+        b"P5\n1 1\n9\n\xff", b"P5\n99999999999999999999 1\n255\n", b"P5\n999999999 999999999\n255\n", b"P1\n999999999 999999999\n1", b"P1\n2 1\n1 7\n", b"P4\n9 9\n", b"P6\n1 1", b"P6\n1 1\n0\nabc",
+        b"P5\n1 1\n99999\nab", b"P7\n1 1\n1\na", b"P", b"BM", bmp(8, b"\0" * 3, 3, 2), bmp(3, b"\0" * 64, 3, 2), bmp(8, b"\1", 30_000, 30_000, packing=1), bmp(24, b"\0" * 64, -3, 2), bmp(8, b"\0" * 64, 3, 0), bmp(16, b"\0\0", 1, 1, packing=3),
+    ]
+    for data in bad:
+        with pytest.raises(M.NotAnImage):
+            M.decode(data)
+    rng = random.Random(6)
+    whole = [M.encode_bmp(np.arange(30, dtype=np.uint8).reshape(5, 6)), bmp(8, b"\2\1\1\0\0\0\0\3\0\1\0\0\0\1", 3, 2, b"\0" * 16, packing=1, colours=4), b"P2 # note\n3 1\n9\n0 9 3\n", b"P6\n1 1\n255\n\x01\x02\x03"]
+    for _ in range(3000):  # a few bytes changed, or the end cut
+        data = bytearray(rng.choice(whole))
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        del data[rng.randint(1, 2 * len(data)) :]
+        try:
+            assert M.decode(bytes(data)).size
+        except M.NotAnImage:
+            bad.append(bytes(data))
+    assert time.time() - began < 30
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(bad[:40])], "id int, image binary")
+    assert all(r.npy is None and r.height is None for r in M.tiles(df).collect())
+    # a palette shorter than its colours: those it lacks are black
+    assert M.decode(bmp(8, b"\0\1\0\0", 2, 1, b"\7\7\7\0", colours=200)[:-4] + b"\0\5\0\0").shape[:2] == (1, 2)
