@@ -9,8 +9,9 @@ The first layer is a table of responses by byte and filter, so a response is a
 sum of four lookups; for scoring, tables of byte pairs halve the lookups.
 
 Training is backpropagation with Adam on the driver, on a bounded sample
-(TRAIN_ROWS of each label, texts of at most TRAIN_CHARS, and SPANS short spans of
-good texts, so that shortness alone counts for nothing). Scoring is one map over
+(TRAIN_ROWS of each label; of texts above TRAIN_CHARS so many characters, in windows
+over the whole text; and SPANS short spans of good texts, so that shortness alone counts
+for nothing). Scoring is one map over
 all rows with no shuffle; memory is bounded by parts of PART_BYTES.
 
 Defined results: null counts as empty, which is scored as padding only. Without

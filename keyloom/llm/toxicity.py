@@ -5,8 +5,8 @@ form, hashed to buckets. From labelled texts come each bucket's log-count ratio
 between the classes; buckets whose ratio or count is small are dropped; logistic
 regression is then fitted on the presence of each bucket times its ratio.
 
-Training uses a bounded sample (TRAIN_ROWS of each label, texts of at most
-TRAIN_CHARS), on the driver. Scoring is one map over all rows with no shuffle:
+Training uses a bounded sample (TRAIN_ROWS of each label; of texts above
+TRAIN_CHARS so many characters, in windows over the whole text), on the driver. Scoring is one map over all rows with no shuffle:
 whole texts, hashed in numpy for many documents at once, in parts of PART_CHARS
 characters that overlap so that no n-gram is lost.
 

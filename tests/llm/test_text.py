@@ -186,3 +186,78 @@ def test_licenses(documents, none, spark):
     one = spark.createDataFrame([(1, text), (2, "licensed under the Apache Licence, Version 2.0!"), (3, text + " not")], "doc_id long, text string")
     got = {r.doc_id: r.whole_license for r in license_scan.license_scan(one, known).collect()}
     assert got == {1: "MIT", 2: "Apache-2.0", 3: None}
+
+
+# ---- brute force of the classifiers
+
+def quality_by_loops(model, text):
+    """One text's score, place by place."""
+    import math
+
+    data = list((text or "").encode("utf-8", "replace")) + [0] * quality.WIDTH
+    places = len(data) - quality.WIDTH + 1
+    blocks = [[max(sum(float(model.table[k][data[p + k]][f]) for k in range(quality.WIDTH)) for p in range(a, min(a + quality.BLOCK, places))) for f in range(quality.FILTERS)] for a in range(0, places, quality.BLOCK)]
+    chunks = [[max(x, y) for x, y in zip(a, b)] for a, b in zip(blocks, blocks[1:])] or blocks
+    hidden = [[max(0.0, x + float(o)) for x, o in zip(c, model.offset)] for c in chunks]
+    vector = [max(c[f] for c in hidden) for f in range(quality.FILTERS)] + [sum(c[f] for c in hidden) / len(hidden) for f in range(quality.FILTERS)]
+    return 1 / (1 + math.exp(-(sum(v * float(w) for v, w in zip(vector, model.weights)) + model.bias)))
+
+
+def toxicity_by_loops(model, text):
+    """One text's score, n-gram by n-gram."""
+    import math
+
+    word, codes, found = (1 << 32) - 1, [ord(c) for c in (text or "").lower()], set()
+    for n in toxicity.LENGTHS:
+        for at in range(len(codes) - n + 1):
+            state = codes[at] * 0x9E3779B1 & word
+            for c in codes[at + 1 : at + n]:
+                state ^= c
+                state = (state ^ state >> 15) * 0x85EBCA77 & word
+            found.add((state * 0xC2B2AE3D & word) >> 32 - toxicity.BUCKET_BITS)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+    return 1 / (1 + math.exp(-(sum(weights.get(b, 0.0) for b in found) + model.bias)))
+
+
+def labelled_rows(n=160):
+    import random
+
+    rng = random.Random(1)
+    good, bad = ["calm", "river", "garden", "evening", "paper"], ["vile", "filth", "rage", "spite", "grime"]
+    return [(" ".join(rng.choice(bad if i % 2 else good) for _ in range(rng.randint(3, 200))), i % 2) for i in range(n)]
+
+
+def test_classifiers_equal_loops(spark, documents, monkeypatch):
+    rows = labelled_rows()
+    texts = [t for t, _ in rows[:20]] + ["", "a", "abc", "ABCdé", "ü" * 700, "x" * 2000]
+    for module, brute, parts in ((quality, quality_by_loops, "PART_BYTES"), (toxicity, toxicity_by_loops, "PART_CHARS")):
+        model = module.fit(rows)
+        want = [brute(model, t) for t in texts]
+        assert np.allclose(module.Scorer(model)(texts), want, atol=1e-4)
+        monkeypatch.setattr(module, parts, 2 * quality.BLOCK)  # long texts in parts
+        assert np.allclose(module.Scorer(model)(texts), want, atol=1e-4)
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "doc_id long, text string")
+        got = {r.doc_id: r.score for r in module.scored(df, model).collect()}
+        assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-4) and abs(got[-1] - brute(model, None)) < 1e-4
+        assert (np.array(want[:20]) > 0.5).tolist() == [bool(y) for _, y in rows[:20]]
+
+
+@pytest.mark.parametrize(("name", "folds", "held"), [("op1_quality", 5, 0), ("op4_toxicity", 4, 2)])
+def test_query_columns_follow_the_contract(spark, name, folds, held):
+    from helpers import DATA
+
+    from keyloom.llm import registry
+
+    got = registry.queries()[name](spark, DATA).collect()
+    assert got and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == held) for r in got)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
+def test_long_texts_are_learned_from(spark):
+    docs = spark.createDataFrame([(1, "a" * 90 + "b" * 10), (2, "short"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, "toxic", F.lit(True), {0: 5, 1: 5}, 32)
+    assert [y for _, y in rows] == [1, 0, 0] and [t for t, _ in rows[1:]] == ["short", ""]
+    long = rows[0][0]
+    assert len(long.replace("\n", "")) == 32 and long.startswith("aa") and long.endswith("bb") and long.count("\n") == 15
+    assert training_rows(docs, labels, "toxic", F.lit(True), {0: 5, 1: 5}, 100)[0][0] == "a" * 90 + "b" * 10
