@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import math
 import sys
+from collections.abc import Iterator
+from itertools import islice
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,12 +17,6 @@ from pyspark.sql import types as T
 # these functions travel by value, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: The start and factor of the 64-bit FNV-1a hash, the factors of a 64-bit finaliser, and the registers of a sketch.
-FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
-FINAL = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
-REGISTERS = 1 << 14
-
-
 def _float_text(value: float) -> str:
     return f"{value:.17f}".rstrip("0").rstrip(".")
 
@@ -31,24 +27,52 @@ def float_text(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None or math.isnan(v) else _float_text(v))
 
 
-def _lcs(a: bytes, b: bytes) -> str:
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        rows.append(row)
+def _lcs_rows(a: bytes, b: bytes, first: int, start: int) -> Iterator[int]:
+    """Row by row of the table of common lengths, from row ``first`` of which ``start`` is the state: bits that are 0 where a row rises."""
+    every = (1 << len(b)) - 1
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    state = start
+    for x in a[first:]:
+        same = state & places.get(x, 0)
+        state = (state + same | state - same) & every
+        yield state
+
+
+def _lcs_length(a: bytes, b: bytes) -> int:
+    state = every = (1 << len(b)) - 1
+    for state in _lcs_rows(a, b, 0, every):
+        pass
+    return len(b) - state.bit_count()
+
+
+def _lcs(a: bytes, b: bytes) -> bytes:
+    """Every step-th row is kept and the rows between are made again on the way back, so memory grows with the square root of a."""
+    every, step = (1 << len(b)) - 1, math.isqrt(len(a)) + 1
+    kept, state = [every], every
+    for i, state in enumerate(_lcs_rows(a, b, 0, every), 1):
+        if i % step == 0:
+            kept.append(state)
     out, i, j = bytearray(), len(a), len(b)
+    rows, base = [], len(a) + 1
     while i and j:
+        if i <= base:
+            base = (i - 1) // step * step
+            rows = [kept[base // step], *islice(_lcs_rows(a, b, base, kept[base // step]), step)]
         if a[i - 1] == b[j - 1]:
             out.append(a[i - 1])
             i, j = i - 1, j - 1
-        elif rows[i - 1][j] > rows[i][j - 1]:
-            i -= 1
-        else:
+        elif rows[i - base] >> (j - 1) & 1:  # the row doesn't rise here: as much is common without b's last byte
             j -= 1
+        else:
+            i -= 1
+    return bytes(reversed(out))
+
+
+def _utf8(data: bytes) -> str:
     try:
-        return bytes(reversed(out)).decode()
+        return data.decode()
     except UnicodeDecodeError:
         return ""
 
@@ -56,26 +80,27 @@ def _lcs(a: bytes, b: bytes) -> str:
 @F.pandas_udf(T.StringType())
 def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     """The longest common subsequence of the bytes; empty if it is no UTF-8."""
-    return pd.Series([None if a is None or b is None else _lcs(a.encode(), b.encode()) for a, b in zip(left, right, strict=True)], dtype=object)
+    return pd.Series([None if a is None or b is None else _utf8(_lcs(a.encode(), b.encode())) for a, b in zip(left, right, strict=True)], dtype=object)
 
 
-def _slot(text: str) -> tuple[int, int]:
-    h = FNV_START
-    for byte in text.encode():
-        h = (h ^ byte) * FNV_PRIME % (1 << 64)
-    h ^= h >> 33
-    for factor in FINAL:
-        h = h * factor % (1 << 64)
-        h ^= h >> 33
-    rest = h >> 14
-    zeros = (rest & -rest).bit_length() - 1 if rest else 50
-    return h & (REGISTERS - 1), min(zeros, 50) + 1
+@F.pandas_udf(T.LongType())
+def lcs_bytes(left: pd.Series, right: pd.Series) -> pd.Series:
+    """How many bytes the longest common subsequence has."""
+    return pd.Series([None if a is None or b is None else _lcs_length(a.encode(), b.encode()) for a, b in zip(left, right, strict=True)], dtype="Int64")
 
 
-@F.pandas_udf(T.StructType().add("idx", T.IntegerType()).add("rho", T.IntegerType()))
-def hll_slot(values: pd.Series) -> pd.DataFrame:
-    """The register that an element falls into, and the rank that it puts there."""
-    return pd.DataFrame([_slot(v) for v in values], columns=["idx", "rho"]).astype(np.int32)
+def counter_steps(table: pa.Table) -> pa.Table:
+    """One counter's steps (seq, key, n, _start) in order: seq, key, value, status."""
+    table = table.sort_by("seq")
+    values, states = [], []
+    held = None
+    for n, start in zip(table.column("n").to_pylist(), table.column("_start").to_pylist(), strict=True):
+        held = start if held is None else held
+        ok = -(1 << 63) <= held + n < 1 << 63
+        held += n * ok
+        values.append(held if ok else None)
+        states.append("ok" if ok else "overflow")
+    return pa.table({"seq": table.column("seq"), "key": table.column("key"), "value": pa.array(values, pa.int64()), "status": pa.array(states, pa.string())})
 
 
 def _steps(path: str) -> list[str]:
@@ -228,3 +253,47 @@ def _clear(holder, step, found, value, argument):
 json_set, json_del, json_add, json_times = json_edit(_set), json_edit(_delete), json_edit(_add), json_edit(_times)
 json_append_text, json_append, json_insert = json_edit(_append_text), json_edit(_append), json_edit(_insert)
 json_pop, json_trim, json_toggle, json_clear = json_edit(_pop), json_edit(_trim), json_edit(_toggle), json_edit(_clear)
+
+REQUESTS = "path string, n bigint, words array<string>"
+
+
+def _requests(data: bytes) -> Iterator[list[str]]:
+    at = 0
+
+    def line() -> bytes:
+        nonlocal at
+        end = data.index(b"\n", at)
+        found, at = data[at:end].rstrip(b"\r"), end + 1
+        return found
+
+    try:
+        while at < len(data):
+            head = line()
+            if not head:
+                continue
+            if head[:1] != b"*":
+                raise ValueError(head)
+            words = []
+            for _ in range(int(head[1:])):
+                size = line()
+                if size[:1] != b"$":
+                    raise ValueError(size)
+                stop = at + int(size[1:])
+                if not at <= stop <= len(data) or data[stop : stop + 1] not in (b"\r", b"\n"):
+                    raise ValueError("a wrong length")
+                words.append(data[at:stop].decode("utf-8", "replace"))
+                at = stop
+                line()
+            yield words
+    except ValueError:
+        yield ["ERROR"]
+
+
+def parsed_requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) to the requests of each file, numbered, in batches."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found, first = _requests(content.as_py()), 0
+            while words := list(islice(found, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(words)), pa.array(range(first, first + len(words)), pa.int64()), pa.array(words, pa.list_(pa.string()))], ["path", "n", "words"])
+                first += len(words)

@@ -89,13 +89,49 @@ def fit(value: Column, width: int, signed: bool, overflow: str = "wrap") -> Colu
 
 def set_field(bits: DataFrame, width: int, offset: int, value: Column) -> DataFrame:
     """BITFIELD SET, INCRBY: the bits with the field of every key replaced by ``value``, an expression on (key, value)."""
-    new = field(bits, width, offset).withColumn("value", value)
+    return _with_field(bits, field(bits, width, offset).withColumn("value", value), width, offset)
+
+
+def _with_field(bits: DataFrame, new: DataFrame, width: int, offset: int) -> DataFrame:
     made = new.select("key", F.col("value"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i"))
     bit = F.call_function("shiftright", F.col("value"), (width - 1 - F.col("i")).cast("int")).bitwiseAND(1) == 1
     rest = bits.where(~F.col("off").between(offset, offset + width - 1))
     return rest.unionByName(made.where(bit).select("key", (F.col("i") + offset).cast("bigint").alias("off")))
 
 
+def indexed(index: int, width: int) -> int:
+    """The offset of field ``#index``: so many fields of the width from the start."""
+    return index * width
+
+
+def fields(bits: DataFrame, ops: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """BITFIELD with several operations in order: (the bits afterwards, replies (key, i, value) of every key).
+
+    Operations are ('get', width, offset, signed), ('set', width, offset, signed, value), whose reply is the
+    old value, and ('incrby', width, offset, signed, by, overflow), whose reply is the new one, null where
+    'fail' stopped it. Widths go up to 62 bits; ``indexed`` gives the offset of a field by number.
+    """
+    keys, replies = bits.select("key").distinct(), None
+    for i, (op, width, offset, signed, *more) in enumerate(ops):
+        if op not in ("get", "set", "incrby") or not 0 < width <= 62:
+            raise ValueError(f"no operation {op!r} on {width} bits")
+        size = 1 << width
+        raw = keys.join(field(bits, width, offset), "key", "left").select("key", F.coalesce("value", F.lit(0)).alias("_raw"))
+        held = F.when(F.col("_raw") >= size >> 1, F.col("_raw") - size).otherwise(F.col("_raw")) if signed else F.col("_raw")
+        reply, new = held, None
+        if op == "set":
+            new = F.lit(more[0] % size).cast("bigint")
+        elif op == "incrby":
+            total = (held.cast("decimal(38,0)") + F.lit(more[0]))
+            reply = fit(total, width, signed, more[1] if len(more) > 1 else "wrap").cast("bigint")
+            new = F.coalesce(F.pmod(reply, F.lit(size).cast("bigint")), F.col("_raw"))
+        answered = raw.select("key", F.lit(i).alias("i"), reply.cast("bigint").alias("value"))
+        replies = answered if replies is None else replies.unionByName(answered)
+        if new is not None:
+            bits = _with_field(bits, raw.select("key", new.alias("value")), width, offset)
+    return bits, replies
+
+
 def to_binary(bits: DataFrame) -> DataFrame:
     """(key, data): the bytes, for export."""
     worth = F.call_function("shiftleft", F.lit(1), (7 - F.col("off") % 8).cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,10 +49,23 @@ def latitude(h: Column) -> Column:
     return (_gather(h) + 0.5) / CELLS * (2 * LATITUDE) - LATITUDE
 
 
-def add(places: DataFrame) -> DataFrame:
-    """GEOADD of (key, member, lon, lat) in range: the first position of a member stays."""
+def add(places: DataFrame, seq: str | None = None) -> DataFrame:
+    """GEOADD of (key, member, lon, lat) in range: the first position of a member stays, by the column ``seq``, or else its lowest cell."""
     inside = F.col("lon").between(-180, 180) & F.col("lat").between(-LATITUDE, LATITUDE)
-    return places.where(inside).select("key", "member", encode(F.col("lon"), F.col("lat")).alias("h")).groupBy("key", "member").agg(F.first("h").alias("h"))
+    cells = places.where(inside).select("key", "member", encode(F.col("lon"), F.col("lat")).alias("h"), *([seq] if seq else []))
+    return cells.groupBy("key", "member").agg((F.min_by("h", seq) if seq else F.min("h")).alias("h"))
+
+
+def add_to(geo: DataFrame, places: DataFrame, mode: str = "", seq: str | None = None) -> DataFrame:
+    """GEOADD to a geo set that is there, mode '', 'nx' (new members only) or 'xx' (known ones only): the
+    relation afterwards, with ``added`` and ``changed`` (their sum is the reply of CH)."""
+    if mode not in ("", "nx", "xx"):
+        raise ValueError(f"no mode {mode!r}")
+    both = geo.select("key", "member", F.col("h").alias("_old")).join(add(places, seq).withColumnRenamed("h", "_new"), ["key", "member"], "full")
+    old, new = F.col("_old"), F.col("_new")
+    cell = F.coalesce(old, new) if mode == "nx" else F.coalesce(new, old)
+    out = both.select("key", "member", cell.alias("h"), old.isNull().alias("added"), (old.isNotNull() & (cell != old)).alias("changed"))
+    return out.where("NOT added") if mode == "xx" else out
 
 
 def positions(geo: DataFrame) -> DataFrame:
@@ -78,15 +93,54 @@ def distance(geo: DataFrame, pairs: DataFrame, unit: str = "m") -> DataFrame:
     return both.select("req", "key", "a", "b", (haversine(*(F.col(c) for c in ("lon1", "lat1", "lon2", "lat2"))) / UNITS[unit]).alias("dist"))
 
 
+def _reach(lat: float, height_m: float, width_m: float, circle: bool) -> tuple[float, float]:
+    """Degrees of latitude and longitude around a point within which everything lies that a search finds; 360 is all the way round."""
+    up = math.degrees(height_m / RADIUS) + 1e-6
+    if circle:
+        edge = abs(lat) + up
+        side = 360.0 if edge >= 89.9 else math.degrees(math.asin(min(1.0, math.sin(min(height_m / RADIUS, math.pi / 2)) / math.cos(math.radians(lat)))))
+    else:
+        across = math.sin(min(width_m / (2 * RADIUS), math.pi / 2)) / math.cos(math.radians(lat))
+        side = 360.0 if across >= 1 else 2 * math.degrees(math.asin(across))
+    return up, min(360.0, side + 1e-6)
+
+
+def cover(lon: float, lat: float, up: float, side: float, most: int = 6) -> list[tuple[int, int]]:
+    """Ranges of cells, both ends inclusive, that hold every place within the degrees around a point: of the finest
+    grid whose blocks are at most ``most`` in either direction."""
+    low, high = max(-LATITUDE, lat - up), min(LATITUDE, lat + up)
+    for level in range(26, -1, -1):
+        blocks = 1 << level
+        at = lambda v: min(blocks - 1, max(0, int((v + LATITUDE) / (2 * LATITUDE) * blocks)))
+        rows = range(at(low), at(high) + 1)
+        west = math.floor((lon - side + 180) / 360 * blocks)
+        east = math.floor((lon + side + 180) / 360 * blocks)
+        columns = sorted({c % blocks for c in range(west, min(east, west + blocks - 1) + 1)}) if east - west < max(most, 2) or level < 2 else None
+        if columns is not None and len(rows) <= most:
+            break
+    spread = lambda v: sum((v >> i & 1) << 2 * i for i in range(26))
+    wide = 2 * (26 - level)
+    starts = sorted((spread(x) << 1 | spread(y)) << wide for x in columns for y in rows)
+    out: list[tuple[int, int]] = []
+    for s in starts:
+        if out and out[-1][1] + 1 == s:
+            out[-1] = (out[-1][0], s + (1 << wide) - 1)
+        else:
+            out.append((s, s + (1 << wide) - 1))
+    return out
+
+
 def search(geo: DataFrame, lon: float, lat: float, radius: float | None = None, box: tuple[float, float] | None = None, unit: str = "m", descending: bool = False, count: int = 0) -> DataFrame:
     """GEOSEARCH around a point, by radius or by (width, height): per key, members by distance; count 0 is no limit.
 
-    A band of latitudes is compared before any trigonometry is.
+    Ranges of cells around the point are compared first, which a scan can use; only what lies in them is decoded.
     """
-    at = positions(geo)
     reach = (radius if box is None else box[1] / 2) * UNITS[unit]
-    band = reach / RADIUS * 57.29577951308232 + 1e-6
-    at = at.where(F.col("lat").between(lat - band, lat + band))
+    ranges = cover(lon, lat, *_reach(lat, reach, reach if box is None else box[0] / 2 * UNITS[unit], box is None))
+    inside = F.lit(False)
+    for low, high in ranges:
+        inside = inside | F.col("h").between(low, high)
+    at = positions(geo.where(inside))
     x, y = F.lit(lon), F.lit(lat)
     at = at.withColumn("meters", haversine(x, y, F.col("lon"), F.col("lat")))
     if box is None:
@@ -99,6 +153,31 @@ def search(geo: DataFrame, lon: float, lat: float, radius: float | None = None,
     return at.select("key", (F.col("rn") - 1).cast("bigint").alias("rank"), "member", (F.col("meters") / UNITS[unit]).alias("dist"), "lon", "lat", "h")
 
 
+def search_members(geo: DataFrame, asked: DataFrame, radius: float, unit: str = "m") -> DataFrame:
+    """GEOSEARCH FROMMEMBER by radius, around many members (req, key, member) at once: req, key, member, near, dist.
+
+    A join by blocks of the grid: blocks are at least as high as the radius, so what is near a
+    member lies in its row or the two beside it, and in the columns that the radius spans at
+    the row farthest from the equator. A missing member finds nothing.
+    """
+    reach = radius * UNITS[unit]
+    up = math.degrees(reach / RADIUS) + 1e-6
+    blocks = 1 << max(0, min(26, int(math.log2(2 * LATITUDE / up)))) if up < 2 * LATITUDE else 1
+    places = positions(geo)
+    row = lambda v: F.least(F.greatest(F.floor((v + LATITUDE) / (2 * LATITUDE) * blocks), F.lit(0)), F.lit(blocks - 1))
+    column = lambda v: F.floor((v + 180.0) / 360.0 * blocks)
+    of = asked.join(places.select("key", "member", F.col("lon").alias("lon1"), F.col("lat").alias("lat1")), ["key", "member"])
+    edge = F.abs(F.col("lat1")) + up
+    side = F.when(edge >= 89.9, 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(reach / RADIUS, math.pi / 2))) / F.cos(F.radians("lat1"))))) + 1e-6)
+    west = column(F.col("lon1") - side)
+    columns = F.sequence(west, F.least(column(F.col("lon1") + side), west + blocks - 1))
+    of = of.withColumn("y", F.explode(F.sequence(row(F.col("lat1") - up), row(F.col("lat1") + up)))).withColumn("x", F.explode(columns))
+    of = of.withColumn("x", F.pmod("x", F.lit(blocks)))
+    near = places.select("key", F.col("member").alias("near"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), row(F.col("lat")).alias("y"), F.pmod(column(F.col("lon")), F.lit(blocks)).alias("x"))
+    both = of.join(near, ["key", "x", "y"]).withColumn("_m", haversine(*(F.col(c) for c in ("lon1", "lat1", "lon2", "lat2"))))
+    return both.where(F.col("_m") <= reach).select("req", "key", "member", "near", (F.col("_m") / UNITS[unit]).alias("dist"))
+
+
 def stored(found: DataFrame, dst: str, distances: bool = False) -> DataFrame:
     """GEOSEARCHSTORE: a geo set, or a sorted set of distances."""
     return found.select(F.lit(dst).alias("key"), "member", F.col("dist").alias("score") if distances else F.col("h"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranges import glob, integer
+from ..functions.ranges import decimal_number, drawn, glob, integer
 
 
 def hset(hashes: DataFrame, log: DataFrame) -> DataFrame:
@@ -44,11 +44,11 @@ def hlen(hashes: DataFrame) -> DataFrame:
 
 
 def hincrby(hashes: DataFrame, log: DataFrame) -> DataFrame:
-    """Sums of a log (key, field, n) on stored integers (missing: 0), with status ok, not_int or overflow."""
-    by = log.groupBy("key", "field").agg(F.sum("n").alias("n"))
+    """Sums of a log (key, field, n) on stored integers (missing: 0), with status ok, not_int or overflow; an overflow is that field's alone."""
+    by = log.groupBy("key", "field").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
     both = by.join(hashes.select("key", "field", F.col("value").alias("_old")), ["key", "field"], "left")
     held = F.when(F.col("_old").isNull(), F.lit(0).cast("bigint")).otherwise(integer(F.col("_old")))
-    total = F.try_add(held, F.col("n"))
+    total = (held.cast("decimal(38,0)") + F.col("n")).try_cast("bigint")
     return both.select("key", "field", total.alias("value"), F.when(held.isNull(), "not_int").when(total.isNull(), "overflow").otherwise("ok").alias("status"))
 
 
@@ -56,7 +56,7 @@ def hincrbyfloat(hashes: DataFrame, log: DataFrame) -> DataFrame:
     """As ``hincrby`` in doubles; status not_float where the stored text is no number."""
     by = log.groupBy("key", "field").agg(F.sum("x").alias("x"))
     both = by.join(hashes.select("key", "field", F.col("value").alias("_old")), ["key", "field"], "left")
-    held = F.when(F.col("_old").isNull(), F.lit(0.0)).otherwise(F.col("_old").try_cast("double"))
+    held = F.when(F.col("_old").isNull(), F.lit(0.0)).otherwise(decimal_number(F.col("_old")))
     return both.select("key", "field", (held + F.col("x")).alias("value"), F.when(held.isNull(), "not_float").otherwise("ok").alias("status"))
 
 
@@ -66,5 +66,10 @@ def hrandfield(hashes: DataFrame, count: int) -> DataFrame:
     return hashes.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= count).drop("rn")
 
 
+def hrandfield_repeated(hashes: DataFrame, times: int, seed: int = 0) -> DataFrame:
+    """HRANDFIELD with a negative count: so many fields of every hash, with repeats and their values (key, draw, field, value)."""
+    return drawn(hashes.select("key", "field", "value"), ["field"], times, seed)
+
+
 def hscan(hashes: DataFrame, pattern: str) -> DataFrame:
     return hashes.where(glob(F.col("field"), pattern))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ranges import glob, integer, live
 
@@ -63,9 +64,25 @@ def rename(ks: DataFrame, moves: DataFrame, now_ms: int, only_absent: bool = Fal
 def copy(ks: DataFrame, moves: DataFrame, now_ms: int, replace: bool = False) -> DataFrame:
     """COPY by moves (old, new): the key space afterwards."""
     made = _live(ks, now_ms).join(moves, F.col("key") == F.col("old")).select(F.col("new").alias("key"), "type", "expires_ms")
-    if replace:
-        return ks.join(made.select("key"), "key", "left_anti").unionByName(made)
-    return ks.unionByName(made.join(_live(ks, now_ms).select("key"), "key", "left_anti"))
+    if not replace:  # a target past its deadline is no key, and gives way
+        made = made.join(_live(ks, now_ms).select("key"), "key", "left_anti")
+    return ks.join(made.select("key"), "key", "left_anti").unionByName(made)
+
+
+def copy_replies(ks: DataFrame, moves: DataFrame, now_ms: int, replace: bool = False) -> DataFrame:
+    """COPY: 1 for each move (old, new) that copies, and 0 where the source is missing or the target is taken."""
+    held = _live(ks, now_ms).select("key", F.lit(1).alias("_there"))
+    found = moves.join(held.select(F.col("key").alias("old"), F.col("_there").alias("_source")), "old", "left")
+    found = found.join(held.select(F.col("key").alias("new"), F.col("_there").alias("_target")), "new", "left")
+    done = F.col("_source").isNotNull() & (F.lit(replace) | F.col("_target").isNull())
+    return found.select("old", "new", done.cast("bigint").alias("reply"))
+
+
+def rename_replies(ks: DataFrame, moves: DataFrame, now_ms: int) -> DataFrame:
+    """RENAMENX: 1 for each move that renames, 0 where the target exists (a key past its deadline does until it is swept), null where the source is missing."""
+    found = moves.join(_live(ks, now_ms).select(F.col("key").alias("old"), F.lit(1).alias("_source")), "old", "left")
+    found = found.join(ks.select(F.col("key").alias("new"), F.lit(1).alias("_target")), "new", "left")
+    return found.select("old", "new", F.when(F.col("_source").isNotNull(), F.col("_target").isNull().cast("bigint")).alias("reply"))
 
 
 def random_key(ks: DataFrame, now_ms: int, seed: int = 0) -> DataFrame:
@@ -95,6 +112,24 @@ def sort_values(rows: DataFrame, alpha: bool = False, descending: bool = False,
     return out.offset(offset).limit(count) if count else out
 
 
+def sort_store(rows: DataFrame, dst: str, **how) -> DataFrame:
+    """SORT ... STORE: the sorted values as a list (key, pos, value)."""
+    found = sort_values(rows, **how)
+    # the place in the order is a window over the whole result: SORT is of one collection
+    w = Window.orderBy("_at")
+    placed = found.withColumn("_at", F.monotonically_increasing_id())
+    return placed.select(F.lit(dst).alias("key"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), "value")
+
+
+#: What OBJECT answers for a key that is there, but for its encoding.
+OBJECT_REPLIES = {"REFCOUNT": 1, "IDLETIME": 0, "FREQ": 0}
+
+
+def object_replies(ks: DataFrame, requests: DataFrame, now_ms: int) -> DataFrame:
+    """OBJECT REFCOUNT, IDLETIME and FREQ: req, key and a reply for each, whether or not the key is there."""
+    return requests.select("req", "key", *(F.lit(v).cast("bigint").alias(k.lower()) for k, v in OBJECT_REPLIES.items()))
+
+
 def encoding(sizes: DataFrame) -> DataFrame:
     """OBJECT ENCODING of (key, type, size, v): by type, number of elements, and whether a string is an integer."""
     small = F.col("size") <= 128
@@ -106,6 +141,12 @@ def encoding(sizes: DataFrame) -> DataFrame:
     return sizes.select("key", "type", named.alias("encoding"))
 
 
+def sweep_slice(ks: DataFrame, now_ms: int, slot: int, slots: int) -> DataFrame:
+    """The incremental sweep: as ``sweep``, but only of the keys in one of so many slots; sweeping every slot in turn sweeps all."""
+    here = F.pmod(F.xxhash64("key"), F.lit(slots)) == slot
+    return ks.where(~here | live(F.col("expires_ms"), now_ms))
+
+
 def sweep(ks: DataFrame, now_ms: int) -> DataFrame:
     """The key space without what is past its deadline."""
     return _live(ks, now_ms)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ranges import glob
+from ..functions.ranges import drawn, glob
 
 
 def add(sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -39,6 +39,11 @@ def first_members(sets: DataFrame, count: int) -> DataFrame:
     return sets.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= count).drop("rn")
 
 
+def repeated_members(sets: DataFrame, times: int, seed: int = 0) -> DataFrame:
+    """SRANDMEMBER with a negative count: so many members of every set, with repeats (key, draw, member)."""
+    return drawn(sets.select("key", "member"), ["member"], times, seed)
+
+
 def pop(sets: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     gone = first_members(sets, count)
     return gone, sets.join(gone, ["key", "member"], "left_anti")

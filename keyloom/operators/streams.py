@@ -22,6 +22,14 @@ def add(rows: DataFrame, tie: str) -> DataFrame:
     return rows.withColumn("seq", seq.cast("bigint"))
 
 
+def add_at(streams: DataFrame, rows: DataFrame, arrival: str) -> DataFrame:
+    """XADD with explicit ids (key, ms, seq, ...): the stream afterwards, ordered by id however they arrive.
+    An id that is there already is written over, and of entries with one id the last to arrive stays."""
+    columns = streams.columns
+    last = rows.groupBy("key", "ms", "seq").agg(*(F.max_by(c, arrival).alias(c) for c in columns if c not in ("key", "ms", "seq"))).select(*columns)
+    return streams.join(last.select("key", "ms", "seq"), ["key", "ms", "seq"], "left_anti").select(*columns).unionByName(last)
+
+
 def length(streams: DataFrame) -> DataFrame:
     return streams.groupBy("key").agg(F.count("*").alias("n"))
 
@@ -87,6 +95,13 @@ def acknowledge(pending: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFram
     return pending.join(ids.select(*on), on, "left_anti"), pending.join(ids.select(*on), on, "left_semi")
 
 
+def group_info(groups: DataFrame, pending: DataFrame) -> DataFrame:
+    """XINFO GROUPS: the groups (key, grp, last_ms, last_seq) with their last id and entries not yet acknowledged."""
+    waiting = pending.groupBy("key", "grp").agg(F.count("*").alias("_n"))
+    found = groups.join(waiting, ["key", "grp"], "left")
+    return found.select("key", "grp", F.coalesce("_n", F.lit(0)).alias("pending"), entry_id(F.col("last_ms"), F.col("last_seq")).alias("last_id"))
+
+
 def info(streams: DataFrame, groups: DataFrame) -> DataFrame:
     """XINFO STREAM: length, first and last id, and the number of groups."""
     size = streams.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("ms", "seq")).alias("a"), F.max(F.struct("ms", "seq")).alias("b"))

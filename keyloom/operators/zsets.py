@@ -149,6 +149,19 @@ def scan(zsets: DataFrame, pattern: str) -> DataFrame:
     return zsets.where(glob(F.col("member"), pattern))
 
 
+def remove_by_rank(zsets: DataFrame, start: int, stop: int) -> DataFrame:
+    """Range removal by rank, inclusive, negatives from the end: what stays of each key."""
+    w = Window.partitionBy("key")
+    placed = zsets.withColumns({"_at": F.row_number().over(_order()) - 1, "_n": F.count("*").over(w)})
+    low, high = clamp(start, stop, F.col("_n"))
+    return placed.where(~F.col("_at").between(low, high)).drop("_at", "_n")
+
+
+def add_replies(added: DataFrame) -> DataFrame:
+    """ZADD's replies of what ``add`` gives: per key the new members, and those new or changed (CH)."""
+    return added.groupBy("key").agg(F.count_if("added").alias("added"), F.count_if(F.col("added") | F.col("changed")).alias("touched"))
+
+
 def remove_range(zsets: DataFrame, inside: Column) -> DataFrame:
     """Range removal by score or member: what stays."""
     return zsets.where(~inside)

@@ -181,6 +181,11 @@ SELECT key, member FROM sets WHERE NOT starts_with(key, 'view:') UNION SELECT ds
 _FIRST = "SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY CAST(member AS BIGINT)) AS rn FROM sets"
 _LEN = "SELECT key, count(*) AS n FROM {0} GROUP BY key"
 
+def _held(draws, rows, *columns):
+    """How many draws of each key are rows of it."""
+    return draws.join(rows.select("key", *columns), ["key", *columns], "left_semi").groupBy("key").agg(F.countDistinct("draw").alias("draws"))
+
+
 PLANS = {
     "hset": Plan(_hset, _HSET),
     "hmset": Plan(lambda s, d: _hset(s, d).select("key", "field", "value"), f"SELECT key, field, value FROM ({_HSET}) x"),
@@ -197,6 +202,7 @@ PLANS = {
     "hincrby": Plan(lambda s, d: H.hincrby(C.hashes(s, d), _counter_log(s, d, "nation")), _incr_sql("nation", "CAST(coalesce(CAST(h.value AS BIGINT), 0) + b.n AS BIGINT)", "'ok'")),
     "hincrby_text": Plan(lambda s, d: H.hincrby(C.hashes(s, d), _counter_log(s, d, "name")), _incr_sql("name", "CASE WHEN h.value IS NULL THEN CAST(b.n AS BIGINT) END", "CASE WHEN h.value IS NULL THEN 'ok' ELSE 'not_int' END")),
     "hincrbyfloat": Plan(lambda s, d: H.hincrbyfloat(C.hashes(s, d), _counter_log(s, d, "nation")), _incr_sql("nation", "coalesce(CAST(h.value AS DOUBLE), 0) + CAST(b.n AS DOUBLE) / 8", "'ok'")),
+    "hrandfield_repeated": Plan(lambda s, d: _held(H.hrandfield_repeated(C.hashes(s, d), 4), C.hashes(s, d), "field", "value"), sql("SELECT DISTINCT key, CAST(4 AS BIGINT) AS draws FROM hash", "hash")),
     "hrandfield": Plan(lambda s, d: H.hrandfield(C.hashes(s, d), 2), sql("SELECT key, field, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY field) AS rn FROM hash) x WHERE rn <= 2", "hash")),
     "hscan": Plan(lambda s, d: H.hscan(C.hashes(s, d), "n*"), sql("SELECT key, field, value FROM hash WHERE field GLOB 'n*'", "hash")),
     "lpush": _pushed(True), "rpush": _pushed(False), "lpop": _popped(True), "rpop": _popped(False),
@@ -217,6 +223,7 @@ PLANS = {
     "smembers": Plan(lambda s, d: S.members(C.sets(s, d), C.pairs(s, d)), sql("SELECT key, member FROM sets WHERE key IN (SELECT key FROM pairs)", "pairs", "sets")),
     "scard": Plan(lambda s, d: S.cardinality(C.sets(s, d)), sql(_LEN.format("sets"), "sets")),
     "spop": Plan(lambda s, d: S.pop(C.sets(s, d), 4)[1], sql(f"SELECT key, member FROM ({_FIRST}) x WHERE rn > 4", "sets")),
+    "srandmember_repeated": Plan(lambda s, d: _held(S.repeated_members(C.sets(s, d), 5), C.sets(s, d), "member"), sql("SELECT DISTINCT key, CAST(5 AS BIGINT) AS draws FROM sets", "sets")),
     "srandmember": Plan(lambda s, d: S.first_members(C.sets(s, d), 3), sql(f"SELECT key, member FROM ({_FIRST}) x WHERE rn <= 3", "sets")),
     "smove": Plan(lambda s, d: S.move(C.sets(s, d), _set_moves(s, d)), _SMOVE),
     "sunion": _algebra("sunion"), "sinter": _algebra("sinter"), "sdiff": _algebra("sdiff"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,8 +11,8 @@ from ..operators import json_docs as J
 from ..operators import pubsub as P
 from ..operators import streams as X
 from ..sources import collections as C
-from ..sources import snapshot
-from ..sources.collections import NOW, sql
+from ..sources import oplog, snapshot
+from ..sources.collections import NOW, shared_folder, sql
 from .base import Plan
 
 # ---- JSON
@@ -121,6 +120,13 @@ def _pending(spark, d):
     return C.streams(spark, d).select("key", F.lit("g").alias("grp"), "ms", "seq")
 
 
+def _explicit(spark, d):
+    """Entries that write over every click and come before the others of their ms."""
+    rows = C.streams(spark, d)
+    old = rows.where("kind = 'click'").withColumn("kind", F.lit("over"))
+    return old.unionByName(rows.where("kind = 'view'").withColumn("ms", F.col("ms") - 1).withColumn("seq", F.col("seq") + 100)).withColumn("n", F.xxhash64("key", "ms", "seq"))
+
+
 def _xadd(spark, d):
     e = C.table(spark, d, "events").select(F.concat(F.lit("type:"), "event_type").alias("key"), (F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.col("ts").cast("timestamp")) % 3_600_000).alias("ms"), "event_id")
     return X.add(e, "event_id").select("key", X.entry_id(F.col("ms"), F.col("seq")).alias("id"), "event_id")
@@ -128,6 +134,8 @@ def _xadd(spark, d):
 
 STREAM_PLANS = {
     "xadd": Plan(_xadd, "WITH e AS (SELECT 'type:' || event_type AS key, (epoch_us(ts) // 1000) // 3600000 * 3600000 AS ms, event_id FROM events) SELECT key, ms || '-' || (row_number() OVER (PARTITION BY key, ms ORDER BY event_id) - 1) AS id, event_id FROM e"),
+    "xadd_ids": Plan(lambda s, d: X.add_at(C.streams(s, d), _explicit(s, d), "n"), sql("SELECT key, ms, seq, CASE kind WHEN 'click' THEN 'over' ELSE kind END AS kind, props FROM stream UNION ALL SELECT key, ms - 1, seq + 100, kind, props FROM stream WHERE kind = 'view'", "stream")),
+    "xinfo_groups": Plan(lambda s, d: X.group_info(X.create_groups(C.streams(s, d), "g"), _clicks(s, d)), sql("SELECT key, 'g' AS grp, count(*) FILTER (kind = 'click') AS pending, max(ms) || '-' || arg_max(seq, (ms, seq)) AS last_id FROM stream GROUP BY key", "stream")),
     "xadd_maxlen": _trimmed(20),
     "xlen": Plan(lambda s, d: X.length(C.streams(s, d)), sql("SELECT key, count(*) AS n FROM stream GROUP BY key", "stream")),
     "xrange": _between(f"{_START}-0", f"{_START + 800_000_000}", f"ms >= {_START} AND (ms < {_START + 800_000_000} OR ms = {_START + 800_000_000} AND seq <= 0)"),
@@ -174,16 +182,47 @@ PUBSUB_PLANS = {
 # ---- snapshots and the server's figures
 
 
-def _shared(spark):
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="keyloom-")
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _saved(spark, d):
-    path = f"{_shared(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    path = _folder(spark, "snapshot")
     snapshot.save({"ks": C.keyspace(spark, d), "str": C.strings(spark, d)}, path)
     return snapshot.load(spark, path, "str", NOW)
 
 
+def _saved_twice(spark, d):
+    """The second version counts, and brings the consumer groups back."""
+    path = _folder(spark, "snapshot")
+    for at_end in (False, True):
+        snapshot.save({"stream": C.streams(spark, d), "groups": X.create_groups(C.streams(spark, d), "workers", at_end)}, path, keep=1)
+    return snapshot.load(spark, path, "groups", NOW)
+
+
+def _last_saved(spark, d):
+    path = _folder(spark, "snapshot")
+    snapshot.save({"ks": C.keyspace(spark, d)}, path)
+    at = snapshot.last_saved(spark, path)
+    return at.select(F.col("at").between(F.unix_timestamp() - 3600, F.unix_timestamp() + 3600).alias("recent"))
+
+
+def _logged(framed):
+    """The log of writes as a file of requests, read again."""
+
+    def run(spark, d):
+        path, rows = _folder(spark, "oplog"), C.log(spark, d).withColumn("v", F.concat("v", F.lit(' "é"')))
+        if framed:
+            bulk = lambda c: F.concat(F.lit("$"), F.octet_length(c), F.lit("\r\n"), c, F.lit("\r\n"))
+            line = F.rtrim(F.concat(F.lit("*3\r\n"), bulk(F.lit("set")), bulk(F.col("key")), bulk(F.col("v"))), F.lit("\n"))
+        else:
+            line = F.concat(F.lit("set "), "key", F.lit(' "'), F.replace("v", F.lit('"'), F.lit('\\"')), F.lit('"'))
+        rows.select(line.alias("value")).write.text(path)
+        return (oplog.framed if framed else oplog.inline)(spark, path).select("op", "key", F.get("args", F.lit(0)).alias("v"), F.size("args").cast("bigint").alias("n"))
+
+    return Plan(run, sql("SELECT 'SET' AS op, key, v || ' \"é\"' AS v, CAST(1 AS BIGINT) AS n FROM log", "log"))
+
+
 def _flushed(spark, d):
     return snapshot.flush(C.keyspace(spark, d))
 
@@ -195,6 +234,9 @@ _SAVED = sql(f"SELECT key, v, expires_ms FROM str WHERE {_LIVE}", "str")
 SERVER_PLANS = {
     "save": Plan(_saved, _SAVED),
     "bgsave": Plan(_saved, _SAVED),
+    "save_groups": Plan(_saved_twice, sql("SELECT key, 'workers' AS grp, max(ms) AS last_ms, arg_max(seq, (ms, seq)) AS last_seq FROM stream GROUP BY key", "stream")),
+    "lastsave": Plan(_last_saved, "SELECT true AS recent"),
+    "oplog_inline": _logged(False), "oplog_framed": _logged(True),
     "dbsize": Plan(lambda s, d: snapshot.size(C.keyspace(s, d)), sql("SELECT count(*) AS n FROM ks", "ks")),
     "info": Plan(lambda s, d: snapshot.info(C.keyspace(s, d), NOW), sql(f"SELECT type, count(*) AS keys, count(*) FILTER (expires_ms > 0) AS expires, count(*) FILTER (NOT {_LIVE}) AS expired FROM ks GROUP BY type", "ks")),
     "flushall": Plan(_flushed, _EMPTY),

@@ -135,7 +135,7 @@ def _distinct(spark, d):
 def _pfcount(spark, d):
     rows = _distinct(spark, d)
     exact = rows.groupBy("key").agg(F.countDistinct("member").alias("exact"))
-    return P.count(P.registers(rows)).join(exact, "key").select("key", "exact", _close(F.col("estimate"), F.col("exact")))
+    return P.count(P.sketches(rows)).join(exact, "key").select("key", "exact", _close(F.col("estimate"), F.col("exact")))
 
 
 _PF = "SELECT o_orderpriority AS key, count(DISTINCT o_custkey) AS exact, true AS close FROM orders GROUP BY 1"
@@ -148,13 +148,22 @@ def _all(rows):
 def _pfmerge(spark, d):
     rows = _distinct(spark, d)
     exact = rows.groupBy(F.lit("all").alias("key")).agg(F.countDistinct("member").alias("exact"))
-    return P.count(P.merge(P.registers(rows), _all(rows))).join(exact, "key").select("key", "exact", _close(F.col("estimate"), F.col("exact")))
+    return P.count(P.merge(P.sketches(rows), _all(rows))).join(exact, "key").select("key", "exact", _close(F.col("estimate"), F.col("exact")))
 
 
 def _pf_sketch(spark, d):
     rows = _distinct(spark, d)
     exact = rows.groupBy(F.lit("all").alias("req")).agg(F.countDistinct("member").alias("exact"))
-    return P.sketch_count(P.sketches(rows), _all(rows)).join(exact, "req").select("req", "exact", _close(F.col("estimate"), F.col("exact")))
+    found = P.count(P.merge(P.sketches(rows), _all(rows))).withColumnRenamed("key", "req")
+    return found.join(exact, "req").select("req", "exact", _close(F.col("estimate"), F.col("exact")))
+
+
+def _pfadd(spark, d):
+    """Half of the keys are there already, and of those half get only members that they have."""
+    rows = _distinct(spark, d)
+    number = F.substring("key", 1, 1).cast("int")
+    held = P.sketches(rows.where(number <= 3))
+    return P.add(held, rows.where(number != 1)).select("key", "changed")
 
 
 # ---- geo
@@ -184,9 +193,8 @@ _NEAR = sql(f""", {GRID.strip()}, q AS (SELECT c_custkey AS req, c_mktsegment AS
 SELECT req, q.key, q.a, q.b, round({_hav('u.lon', 'u.lat', 'v.lon', 'v.lat')} / 1000, 3) AS dist FROM q LEFT JOIN h u ON u.key = q.key AND u.member = q.a LEFT JOIN h v ON v.key = q.key AND v.member = q.b""", "geo")
 
 
-def _searched(where, order="ASC", count=0, **how):
+def _searched(where, order="ASC", count=0, lon=15.0, lat=37.0, **how):
     cut = f" WHERE rn <= {count}" if count else ""
-    lon, lat = 15.0, 37.0
     text = sql(f""", {GRID.strip()}, s AS (SELECT key, member, {_hav(lon, lat, 'lon', 'lat')} AS m, lon, lat FROM h), w AS (SELECT * FROM s WHERE {where(lon, lat)}),
 k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY m {order}, member) AS rn FROM w)
 SELECT key, rn - 1 AS rank, member, round(m / 1000, 3) AS dist FROM k{cut}""", "geo")
@@ -197,6 +205,45 @@ def _boxed(lon, lat):
     return f"{_hav(lon, lat, 'lon', lat)} <= 2000000 AND {_hav(lon, lat, lon, 'lat')} <= 1500000"
 
 
+def _from_members(spark, d):
+    geo = _geo(spark, d)
+    asked = geo.where("CAST(substring(member, 2) AS INT) % 11 = 0").select(F.col("member").alias("req"), "key", "member")
+    return G.search_members(geo, asked, 700.0, "km").select("req", "key", "near", F.round("dist", 3).alias("dist"))
+
+
+def _geo_again(spark, d):
+    """Every third member, moved, and new members."""
+    n = F.col("n")
+    rows = C.places(spark, d).withColumn("n", F.substring("member", 2, 20).cast("int"))
+    return rows.where(n % 3 == 0).select("key", F.when(n % 2 == 0, F.col("member")).otherwise(F.concat(F.lit("x"), "member")).alias("member"), F.when(n % 4 == 0, F.col("lon")).otherwise(-F.col("lon")).alias("lon"), "lat", "n")
+
+
+_AGAIN = f"""a AS (SELECT key, CASE WHEN CAST(substring(member, 2) AS INT) % 2 = 0 THEN member ELSE 'x' || member END AS member, CASE WHEN CAST(substring(member, 2) AS INT) % 4 = 0 THEN lon ELSE -lon END AS lon, lat FROM geo WHERE CAST(substring(member, 2) AS INT) % 3 = 0 AND lat BETWEEN -{G.LATITUDE} AND {G.LATITUDE}),
+ac AS (SELECT key, member, CAST(least(greatest(floor((lon + 180.0) / 360.0 * 67108864), 0), 67108863) AS BIGINT) AS x, CAST(floor((lat + {G.LATITUDE}) / {2 * G.LATITUDE} * 67108864) AS BIGINT) AS y FROM a),
+ah AS (SELECT key, member, CAST(list_sum(list_transform(range(0, 26), lambda i: (((x >> CAST(i AS INT)) & 1) << CAST(2 * i + 1 AS INT)) + (((y >> CAST(i AS INT)) & 1) << CAST(2 * i AS INT)))) AS BIGINT) AS h FROM ac),
+b AS (SELECT coalesce(h.key, ah.key) AS key, coalesce(h.member, ah.member) AS member, h.h AS old, ah.h AS new FROM h FULL JOIN ah ON h.key = ah.key AND h.member = ah.member)"""
+
+
+def _geo_added(mode, cell, where="true"):
+    return Plan(lambda s, d: G.add_to(_geo(s, d), _geo_again(s, d), mode, "n"), sql(f", {GRID.strip()}, {_AGAIN} SELECT key, member, {cell} AS h, old IS NULL AS added, old IS NOT NULL AND {cell} <> old AS changed FROM b WHERE {where}", "geo"))
+
+
+_OPS = [("get", 12, 3, False), ("set", 8, 8, True, 77), ("incrby", 5, B.indexed(2, 5), False, 29, "sat"), ("incrby", 8, 8, True, 60, "fail"), ("get", 8, 8, True)]
+
+
+def _bitfield_ops(which):
+    get = lambda w, o, src="bits": f"(SELECT key, CAST(coalesce(sum(CASE WHEN off BETWEEN {o} AND {o + w - 1} THEN 1 << CAST({o + w - 1} - off AS INT) END), 0) AS BIGINT) AS v FROM {src} GROUP BY key)"
+    signed = "CASE WHEN v >= 128 THEN v - 256 ELSE v END"
+    body = f""", g AS {get(12, 3)}, o AS {get(8, 8)},
+k AS (SELECT DISTINCT key FROM bits),
+b1 AS (SELECT key, off FROM bits WHERE off NOT BETWEEN 8 AND 15 UNION ALL SELECT key, unnest([9, 12, 13, 15]) AS off FROM k),
+f AS {get(5, 10, 'b1')}, n AS (SELECT key, least(v + 29, 31) AS v FROM f),
+b2 AS (SELECT key, off FROM b1 WHERE off NOT BETWEEN 10 AND 14 UNION ALL SELECT key, 10 + i FROM (SELECT key, v, unnest(range(0, 5)) AS i FROM n) m WHERE (v >> CAST(4 - i AS INT)) & 1 = 1),
+s AS {get(8, 8, 'b2')}, t AS (SELECT key, {signed} AS v FROM s)"""
+    replies = f"SELECT key, 0 AS i, v AS value FROM g UNION ALL SELECT key, 1, {signed} FROM o UNION ALL SELECT key, 2, v FROM n UNION ALL SELECT key, 3, CASE WHEN v + 60 <= 127 THEN v + 60 END FROM t UNION ALL SELECT key, 4, CASE WHEN v + 60 <= 127 THEN v + 60 ELSE v END FROM t"
+    return Plan(lambda s, d: B.fields(C.bits(s, d), _OPS)[which], sql(f"{body} {replies}", "bits"))
+
+
 _LETTERS = "".join(f" || substring('{G.ALPHABET}', CAST(({f'h >> {47 - 5 * i}' if i < 10 else 'h << 3'}) & 31 AS INT) + 1, 1)" for i in range(11))
 
 PLANS = {
@@ -224,6 +271,9 @@ PLANS = {
     "zdiffstore": Plan(lambda s, d: Z.stored(Z.difference(C.zsets(s, d), C.pairs(s, d)), "out:"), sql(f", x AS ({_ZDIFF}) SELECT 'out:' || req AS key, member, score FROM x", "pairs", "zset")),
     "zrandmember": Plan(lambda s, d: Z.random_members(C.zsets(s, d), 2).groupBy("key").agg(F.count("*").alias("n")), sql("SELECT key, least(count(*), 2) AS n FROM zset GROUP BY key", "zset")),
     "zscan": Plan(lambda s, d: Z.scan(C.zsets(s, d), "?1"), sql("SELECT key, member, score FROM zset WHERE member GLOB '?1'", "zset")),
+    "zremrangebyrank": Plan(lambda s, d: Z.remove_by_rank(C.zsets(s, d), 2, -4), sql(f"SELECT key, member, score FROM (SELECT *, row_number() OVER ({UP}) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM zset) x WHERE NOT (pos BETWEEN 2 AND greatest(n - 4, 0))", "zset")),
+    "zremrangebylex": Plan(lambda s, d: Z.remove_range(C.zsets(s, d), Z.between(F.col("member"), "10", "3")), sql("SELECT key, member, score FROM zset WHERE NOT (member >= '10' AND member <= '3')", "zset")),
+    "zadd_replies": Plan(lambda s, d: Z.add_replies(Z.add(C.zsets(s, d), _zlog(s, d))), sql(f"{_ZLOG}, n AS (SELECT key, member, arg_max(score, seq) AS new FROM l GROUP BY 1, 2), b AS (SELECT coalesce(z.key, n.key) AS key, z.score AS old, new FROM zset z FULL JOIN n ON z.key = n.key AND z.member = n.member) SELECT key, count(*) FILTER (old IS NULL) AS added, count(*) FILTER (old IS NULL OR new IS NOT NULL AND abs(new - old) > {Z.EPSILON}) AS touched FROM b GROUP BY key", "zset")),
     "zremrangebyscore": Plan(lambda s, d: Z.remove_range(C.zsets(s, d), Z.between(F.col("score"), _LOW, _HIGH)), sql(f"SELECT key, member, score FROM zset WHERE NOT score BETWEEN {_LOW} AND {_HIGH}", "zset")),
     "setbit": Plan(lambda s, d: B.setbit(_bit_log(s, d)), _BIT_LOG + "SELECT key, off FROM l GROUP BY key, off HAVING arg_max(bit, seq) = 1"),
     "setbit_replies": Plan(lambda s, d: B.setbit_replies(_bit_log(s, d)), _BIT_LOG + "SELECT seq, key, off, lag(bit, 1, 0) OVER (PARTITION BY key, off ORDER BY seq) AS old FROM l"),
@@ -235,10 +285,11 @@ PLANS = {
     "bitop_not": Plan(lambda s, d: B.bitnot(C.bits(s, d)), sql(f"{_BYTES}, e AS (SELECT key, unnest(range(0, bytes * 8)) AS off FROM z) SELECT key, off FROM e EXCEPT SELECT key, off FROM bits", "bits")),
     "bitfield_get": Plan(lambda s, d: B.field(C.bits(s, d), 12, 3), sql(_FIELD, "bits")),
     "bitfield_get_signed": Plan(lambda s, d: B.field(C.bits(s, d), 12, 3, True), sql(f", f AS ({_FIELD}) SELECT key, CASE WHEN value >= 2048 THEN value - 4096 ELSE value END AS value FROM f", "bits")),
+    "bitfield_ops": _bitfield_ops(1),
     "bitfield_incrby_wrap": Plan(lambda s, d: _field_set(s, d, "wrap"), _field_sql("(value + 3000) % 4096")),
     "bitfield_incrby_sat": Plan(lambda s, d: _field_set(s, d, "sat"), _field_sql("least(value + 3000, 4095)")),
     "bitfield_incrby_fail": Plan(lambda s, d: _field_set(s, d, "fail"), _field_sql("CASE WHEN value + 3000 > 4095 THEN value ELSE value + 3000 END")),
-    "pfadd": Plan(lambda s, d: P.registers(_distinct(s, d)).groupBy("key").agg((F.count("*") > 0).alias("changed")), "SELECT o_orderpriority AS key, true AS changed FROM orders GROUP BY 1"),
+    "pfadd": Plan(_pfadd, "SELECT DISTINCT o_orderpriority AS key, CAST(substring(o_orderpriority, 1, 1) AS INT) > 3 AS changed FROM orders"),
     "pfcount": Plan(_pfcount, _PF),
     "pfmerge": Plan(_pfmerge, "SELECT 'all' AS key, count(DISTINCT o_custkey) AS exact, true AS close FROM orders"),
     "pfcount_union": Plan(_pf_sketch, "SELECT 'all' AS req, count(DISTINCT o_custkey) AS exact, true AS close FROM orders"),
@@ -247,6 +298,10 @@ PLANS = {
     "geodist": Plan(_near, _NEAR),
     "geohash": Plan(lambda s, d: _geo(s, d).select("key", "member", G.geohash(F.col("h")).alias("hash")), sql(f", {GRID.strip()} SELECT key, member, ''{_LETTERS} AS hash FROM h", "geo")),
     "geosearch": _searched(lambda lon, lat: "m <= 2500000", radius=2500.0),
+    "geosearch_antimeridian": _searched(lambda lon, lat: "m <= 1900000", lon=179.0, lat=60.0, radius=1900.0),
+    "geosearch_pole": _searched(lambda lon, lat: "m <= 800000", lon=10.0, lat=84.0, radius=800.0),
+    "geosearch_members": Plan(_from_members, sql(f", {GRID.strip()} SELECT a.member AS req, a.key, b.member AS near, round({_hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} / 1000, 3) AS dist FROM h a JOIN h b ON a.key = b.key AND {_hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 700000 WHERE CAST(substring(a.member, 2) AS INT) % 11 = 0", "geo")),
+    "geoadd_again": _geo_added("", "coalesce(new, old)"), "geoadd_nx": _geo_added("nx", "coalesce(old, new)"), "geoadd_xx": _geo_added("xx", "coalesce(new, old)", "old IS NOT NULL"),
     "geosearch_box": _searched(_boxed, box=(4000.0, 3000.0)),
     "geosearch_count": _searched(lambda lon, lat: "m <= 9000000", "DESC", 5, radius=9000.0),
     "geosearchstore": Plan(lambda s, d: G.stored(G.search(_geo(s, d), 15.0, 37.0, 2500.0, unit="km"), "near"), sql(f", {GRID.strip()} SELECT 'near' AS key, member, h FROM h WHERE {_hav(15.0, 37.0, 'lon', 'lat')} <= 2500000", "geo")),

@@ -36,6 +36,7 @@ def windowed_lengths(entries: DataFrame, time_col: str, delay: str, width: str)
 
 
 REPLIES = "key string, seq long, reply string"
+KNOWN = frozenset("set get getset incrby append strlen rpush lpush rpop lpop llen del".split())
 _STATE = "kind string, value string, items array<string>"
 
 
@@ -43,10 +44,19 @@ def fold(log: DataFrame, idle_ms: int = 0) -> DataFrame:
     """Applies a stream (key, seq, op, arg) to each key in order of seq within a batch: REPLIES.
 
     Operations: set, get, getset, incrby, append, strlen, rpush, lpush, rpop, lpop, llen and
-    del. A reply is null for a missing value, ``WRONGTYPE`` or ``NOTINT`` for an error. With
+    del. A reply is null for a missing value, ``WRONGTYPE``, ``NOTINT`` or ``OVERFLOW`` for an error that
+    leaves the value, and ``ERR`` for another operation or one without the argument that it needs. With
     ``idle_ms``, keys expire that long after they were last touched.
     """
 
+    def whole(found: str | None) -> int | None:
+        """A 64-bit integer in ASCII digits with an optional sign."""
+        digits = (found or "")[1:] if (found or "")[:1] in ("+", "-") else found or ""
+        if not digits.isascii() or not digits.isdigit() or len(digits.lstrip("0")) > 19:
+            return None
+        number = int(found)
+        return number if -(1 << 63) <= number < 1 << 63 else None
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -58,7 +68,9 @@ def fold(log: DataFrame, idle_ms: int = 0) -> DataFrame:
         for seq, op, arg in rows[["seq", "op", "arg"]].itertuples(index=False):
             reply = None
             text, listed = kind == "string", kind == "list"
-            if op == "del":
+            if op in ("set", "getset", "append", "rpush", "lpush") and not isinstance(arg, str) or op not in KNOWN:
+                reply = "ERR"
+            elif op == "del":
                 reply, kind, value, items = str(int(bool(kind))), "", "", []
             elif op in ("set", "getset"):
                 reply = (value if text else None) if op == "getset" else "OK"
@@ -84,12 +96,14 @@ def fold(log: DataFrame, idle_ms: int = 0) -> DataFrame:
                 kind, value = "string", value + arg
                 reply = str(len(value.encode()))
             elif op == "incrby":
-                held = value if text else "0"
-                if held.lstrip("+-").isdigit() and abs(int(held) + int(arg)) < 1 << 63:
-                    kind, value = "string", str(int(held) + int(arg))
+                held, by = whole(value if text else "0"), whole(arg)
+                if held is None or by is None:
+                    reply = "NOTINT"
+                elif -(1 << 63) <= held + by < 1 << 63:
+                    kind, value = "string", str(held + by)
                     reply = value
                 else:
-                    reply = "NOTINT"
+                    reply = "OVERFLOW"
             out.append((key[0], int(seq), reply))
         if kind:
             state.update((kind, value, items))

@@ -58,6 +58,15 @@ def test_fold_model(spark, tmp_path):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_fold_survives_malformed_requests(spark, tmp_path):
+    most = str((1 << 63) - 1)
+    log = [("a", "incrby", "x"), ("a", "incrby", "\u00b2"), ("a", "incrby", "+-5"), ("a", "incrby", None), ("a", "set", None), ("a", "nosuch", "1"), ("a", "set", most), ("a", "incrby", "1"), ("a", "incrby", "-7"),
+           ("a", "set", "9" * 5000), ("a", "incrby", "1"), ("a", "get", None), ("a", "set", "+4"), ("a", "incrby", "1")]
+    df = spark.createDataFrame([(k, i, op, arg) for i, (k, op, arg) in enumerate(log)], "key string, seq long, op string, arg string")
+    got = [r[2] for r in sorted(rows(run(live.fold(source(spark, tmp_path, df)))), key=lambda r: r[1])]
+    assert got == ["NOTINT", "NOTINT", "NOTINT", "NOTINT", "ERR", "ERR", "OK", "OVERFLOW", str((1 << 63) - 8), "OK", "NOTINT", "9" * 5000, "OK", "5"]
+
+
 def test_route_and_counters(spark, tmp_path):
     subs = spark.createDataFrame([("a", "exact", "ch"), ("a", "glob", "c*")], "subscriber string, kind string, pattern string")
     msgs = spark.createDataFrame([(1, "ch", "x"), (2, "cx", "y"), (3, "z", "z")], "msg long, channel string, payload string")
