@@ -16,9 +16,19 @@ def _numbered(rows: DataFrame, *order) -> DataFrame:
 
 
 def push(lists: DataFrame, log: DataFrame, left: bool = False) -> DataFrame:
-    """RPUSH, LPUSH of a log (seq, key, value): every push in turn, so the last left one is the head."""
-    side = log.select("key", F.lit(-1 if left else 1).alias("_side"), (-F.col("seq") if left else F.col("seq")).alias("_at"), "value")
-    return _numbered(lists.select("key", F.lit(0).alias("_side"), F.col("pos").alias("_at"), "value").unionByName(side), "_side", "_at")
+    """RPUSH, LPUSH of a log (seq, key, value): every push in turn, so the last left one is the head.
+
+    Only the log's rows are numbered. What is in a list keeps its place behind pushes to the
+    right, and moves up by the number of pushes to the left, so a long list is never sorted.
+    """
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.col("seq").desc() if left else F.col("seq"))) - 1
+    new = log.select("key", turn.cast("bigint").alias("pos"), "value")
+    if left:
+        moved = lists.join(log.groupBy("key").agg(F.count("*").alias("_more")), "key", "left")
+        return moved.select("key", (F.col("pos") + F.coalesce("_more", F.lit(0))).alias("pos"), "value").unionByName(new)
+    heads = lists.where("pos = 0").select("key", F.col("n").alias("_held"))
+    placed = new.join(heads, "key", "left").select("key", (F.col("pos") + F.coalesce("_held", F.lit(0))).alias("pos"), "value")
+    return lists.select("key", "pos", "value").unionByName(placed)
 
 
 def pop(lists: DataFrame, count: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -121,7 +121,8 @@ def retain(path: str, maxlen: int):
     """A ``foreachBatch`` sink that keeps the newest ``maxlen`` entries (key, ms, seq, ...) of each key.
 
     Each batch writes a new version beside the last one, so a batch that runs again
-    gives the same version, and readers of the old one aren't disturbed.
+    gives the same version, and readers of the old one aren't disturbed. Older versions than
+    those two are removed.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -131,5 +132,8 @@ def retain(path: str, maxlen: int):
         if number:
             batch = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}").unionByName(batch)
         trim(batch, maxlen).write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return sink

@@ -84,3 +84,8 @@ def test_log_and_retention(spark, tmp_path):
     out = str(tmp_path / "kept")
     stream.drop("ts").writeStream.foreachBatch(live.retain(out, 3)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(60)
     assert spark.read.parquet(f"{out}/0").count() == 3 == X.trim(df.drop("ts"), 3).count()
+    sink = live.retain(out, 3)
+    for number in (1, 2, 3):
+        sink(spark.createDataFrame([("s", 100 + number, 0)], "key string, ms long, seq long"), number)
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir() if p.is_dir()) == ["2", "3"]
+    assert [r.ms for r in spark.read.parquet(f"{out}/3").orderBy("ms").collect()] == [101, 102, 103]
