@@ -26,7 +26,7 @@ def push(lists: DataFrame, log: DataFrame, left: bool = False) -> DataFrame:
     if left:
         moved = lists.join(log.groupBy("key").agg(F.count("*").alias("_more")), "key", "left")
         return moved.select("key", (F.col("pos") + F.coalesce("_more", F.lit(0))).alias("pos"), "value").unionByName(new)
-    heads = lists.where("pos = 0").select("key", F.col("n").alias("_held"))
+    heads = lists.where("pos = 0").select("key", F.col("n").alias("_held")) if "n" in lists.columns else lists.groupBy("key").agg(F.count("*").alias("_held"))
     placed = new.join(heads, "key", "left").select("key", (F.col("pos") + F.coalesce("_held", F.lit(0))).alias("pos"), "value")
     return lists.select("key", "pos", "value").unionByName(placed)
 
