@@ -3,9 +3,11 @@
 Each text is searched for credentials of three kinds: assignments to a name like
 ``password``, access key ids, and long lowercase hex runs. The value of every
 match is hashed, and the hashes are aggregated over the whole corpus by distinct
-repositories and distinct owners. A value that several owners hold has been
-copied around (documentation, samples, fixtures) and is an ``example``; one that
-a single owner holds and that looks random is ``live``; the rest is ``weak``.
+repositories and distinct owners. A value that WIDE_OWNERS owners hold, or two owners
+in WIDE_REPOS repositories, has been copied around (documentation, samples,
+fixtures) and is an ``example``. Any other value that can be a credential is ``live``:
+an owner's own, in however many repositories, or shared by two in a few. Assigned
+placeholders, whoever holds them, are ``weak``.
 The scan keeps every match and adds one span over the value of each live or
 example credential (once, where two kinds match the same value), so readers get both the match and the verdict.
 
@@ -57,12 +59,10 @@ KINDS = (
     Kind("hex", "[0-9a-f]{32,}", 0, 32, "[0-9a-f]{32}"),
 )
 VERDICTS = ("live", "example")
-#: A value of at least so many owners is an example.
-WIDE_OWNERS = 3
-#: A live-looking value has at least so many characters, with letters and digits.
-LIVE_LENGTH = 16
+#: A value of at least so many owners is an example, and so is one of two owners in so many repositories.
+WIDE_OWNERS, WIDE_REPOS = 3, 6
 #: Assigned values that stand for a credential, in lower case; so do runs of one character.
-PLACEHOLDERS = r"^(?:(.)\1*|changeme|change[_-]me|change[_-]?this|(?:your|my|the|some|new|old|insert)[_-]?(?:password|passwd|secret|token|api[_-]?key|key)(?:[_-]?here)?|password|placeholder|redacted|undefined|required|optional)$"
+PLACEHOLDERS = r"^(?:changeme|change[_-]me|change[_-]?this|(?:your|my|the|some|new|old|insert)[_-]?(?:password|passwd|secret|token|api[_-]?key|key)(?:[_-]?here)?|password|placeholder|redacted|undefined|required|optional)$"
 
 
 def _found(text: Column, order: int, kind: Kind) -> Column:
@@ -80,7 +80,7 @@ def _found(text: Column, order: int, kind: Kind) -> Column:
 
 def scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner: Column | None = None, repo: Column | None = None, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """(rows, matches): rows has ``rid`` and the kept columns of every document; matches has
-    rid, kind, start, end, value_start, value_hash, random, likely and the owner and repository."""
+    rid, kind, start, end, value_start, value_hash, likely and the owner and repository."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.concat(*(_found(text, k, kind) for k, kind in enumerate(KINDS)))
     rows = docs.select(
@@ -100,9 +100,8 @@ def scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner: Colum
             "rid", "_owner", "_repo", "kind", (F.col("end") - F.col("len")).alias("start"), "end",
             (F.col("end") - F.length("value")).alias("value_start"),
             F.sha2("value", 256).alias("value_hash"),
-            ((F.length("value") >= LIVE_LENGTH) & F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[0-9]")).alias("random"),
             # an access id or hex run is live-looking as such
-            ((F.col("kind") > 0) | ~F.lower("value").rlike(PLACEHOLDERS)).alias("likely"),
+            ((F.col("kind") > 0) | ~(F.lower("value").rlike(PLACEHOLDERS) | (F.replace("value", F.substring("value", 1, 1), F.lit("")) == ""))).alias("likely"),
         )
     )
     return rows, scratch.cut(matches, "matches")
@@ -115,16 +114,14 @@ def ownership(matches: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("uses").alias("uses"))
 
 
-def judged(matches: DataFrame, scratch: Scratch, wide_owners: int = WIDE_OWNERS, every: bool = False) -> DataFrame:
+def judged(matches: DataFrame, scratch: Scratch, wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS) -> DataFrame:
     """The matches with owners, repos, uses and verdict (live, example or weak).
 
-    ``every``: all values but examples and placeholders are live, whoever else holds them; otherwise, as
-    in the query's SQL, only random ones of a single owner. Repositories don't make an example: one owner may use
-    a key in many.
+    Repositories alone make no example: a single owner may use a key of its own in many.
     """
     held = scratch.cut(ownership(matches), "ownership")
-    live = F.col("likely") if every else (F.col("owners") == 1) & F.col("random")
-    verdict = F.when(F.col("owners") >= wide_owners, "example").when(live, "live").otherwise("weak")
+    copied = (F.col("owners") >= wide_owners) | (F.col("owners") > 1) & (F.col("repos") >= wide_repos)
+    verdict = F.when(copied, "example").when(F.col("likely"), "live").otherwise("weak")
     return matches.join(held, "value_hash").withColumn("verdict", verdict)
 
 
@@ -133,13 +130,14 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner: Column | None = None, repo: Column | None = None, keep: tuple[str, ...] = ("doc_id",), wide_owners: int = WIDE_OWNERS, every: bool = False) -> DataFrame:
-    """Per input row: the kept columns, ``base`` and ``spans``, arrays of (start, kind, end) by start, then kind.
+def secret_scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner: Column | None = None, repo: Column | None = None, keep: tuple[str, ...] = ("doc_id",), wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS) -> DataFrame:
+    """Per input row: the kept columns, ``base`` and ``spans``, arrays of (start, kind, end) by start, then kind,
+    and for the report ``most_owners`` and ``most_repos`` of any of its values (0 without one).
 
-    Kinds 0 to 2 are KINDS; those from 3 are VERDICTS, spans over a value. ``every`` as in ``judged``.
+    Kinds 0 to 2 are KINDS; those from 3 are VERDICTS, spans over a value.
     """
     rows, matches = scan(docs, scratch, text_col, owner, repo, keep)
-    at = judged(matches, scratch, wide_owners, every)
+    at = judged(matches, scratch, wide_owners, wide_repos)
     order = F.when(F.col("verdict") == "live", len(KINDS)).when(F.col("verdict") == "example", len(KINDS) + 1)
     per_row = at.groupBy("rid").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("base"),
@@ -147,10 +145,11 @@ def secret_scan(docs: DataFrame, scratch: Scratch, text_col: str = "text", owner
             F.array(F.struct("start", "kind", "end"), F.struct(F.col("value_start").alias("start"), order.alias("kind"), F.col("end"))),
             lambda s: s["kind"].isNotNull(),
         ))))).alias("spans"),
+        F.max("owners").alias("most_owners"), F.max("repos").alias("most_repos"),
     )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return rows.select("rid", *keep).join(per_row, "rid", "left").select(
-        *keep, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans")
+        *keep, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("most_owners", "most_repos"))
     )
 
 
@@ -161,22 +160,22 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"),
+        F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), "most_owners", "most_repos",
     )
 
 
-def redacted(docs: DataFrame, scratch: Scratch, columns: list[str], owner: Column, repo: Column, mask: str = "[credential removed]", text_col: str = "text", wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """The documents with every live credential's value replaced by ``mask``; other texts pass unchanged. Here
-    every value of fewer than ``wide_owners`` owners that is no placeholder is live.
+def redacted(docs: DataFrame, scratch: Scratch, owner: Column, repo: Column, mask: str = "[credential removed]", text_col: str = "text") -> DataFrame:
+    """The documents with every live credential's value replaced by ``mask``; other texts and columns pass unchanged.
 
     Texts without any match go straight through. The rest are joined to their spans
     by a row id that is written with them, and rebuilt from the parts between the spans.
+    A row travels as one struct, so its columns may have any names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hit = text.rlike(KINDS[0].need) | text.rlike(KINDS[1].need) | text.rlike(KINDS[2].need)
-    suspects = scratch.cut(docs.where(hit).select(*columns).withColumn("_row", F.monotonically_increasing_id()), "suspects")
-    spans = secret_scan(suspects, scratch, text_col, owner, repo, keep=("_row",), wide_owners=wide_owners, every=True)
-    live = spans.select("_row", F.filter("spans", lambda s: s["kind"] == len(KINDS)).alias("live")).where(F.size("live") > 0)
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), owner.alias("owner"), repo.alias("repo"))
+    hit = F.col("text").rlike(KINDS[0].need) | F.col("text").rlike(KINDS[1].need) | F.col("text").rlike(KINDS[2].need)
+    suspects = scratch.cut(rows.where(hit).withColumn("row", F.monotonically_increasing_id()), "suspects")
+    spans = secret_scan(suspects, scratch, "text", F.col("owner"), F.col("repo"), keep=("row",))
+    live = spans.select("row", F.filter("spans", lambda s: s["kind"] == len(KINDS)).alias("live")).where(F.size("live") > 0)
     # overlapping spans: a span that starts inside what is already masked only extends it
     merged = F.aggregate(
         "live",
@@ -186,13 +185,13 @@ def redacted(docs: DataFrame, scratch: Scratch, columns: list[str], owner: Colum
             F.when(s["start"] >= acc["at"], F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("a"), s["start"].alias("b"))))).otherwise(acc["gaps"]).alias("gaps"),
         ),
     )
-    parts = live.select("_row", merged.alias("m"))
+    parts = live.select("row", merged.alias("m"))
     body = F.concat(
-        F.array_join(F.transform("m.gaps", lambda g: F.col(text_col).substr((g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int"))), mask),
-        F.lit(mask), F.col(text_col).substr((F.col("m.at") + 1).cast("int"), F.length(text_col)),
+        F.array_join(F.transform("m.gaps", lambda g: F.col("text").substr((g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int"))), mask),
+        F.lit(mask), F.col("text").substr((F.col("m.at") + 1).cast("int"), F.length("text")),
     )
-    rebuilt = suspects.join(parts, "_row", "left").withColumn(text_col, F.when(F.col("m").isNotNull(), body).otherwise(F.col(text_col)))
-    return docs.where(~hit).select(*columns).unionByName(rebuilt.select(*columns))
+    rebuilt = suspects.join(parts, "row", "left").select(F.col("doc").withField(text_col, F.when(F.col("m").isNotNull(), body).otherwise(F.col("text"))).alias("doc"))
+    return rows.where(~hit).select("doc").unionByName(rebuilt).select("doc.*")
 
 
 _SQL_ASSIGN = KINDS[0].pattern.replace("'", "''")
@@ -212,12 +211,13 @@ m AS (
          length(hits[i]) AS n
   FROM e WHERE length(vals[i]) >= CASE kind WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END
 ),
-f AS (SELECT value, count(DISTINCT owner) AS owners FROM m GROUP BY value),
+f AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM m GROUP BY value),
 j AS (
-  SELECT m.*, CASE WHEN owners >= {WIDE_OWNERS} THEN 4
-                   WHEN owners = 1 AND length(value) >= {LIVE_LENGTH} AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') THEN 3 END AS verdict
+  SELECT m.*, owners, repos, CASE WHEN owners >= {WIDE_OWNERS} OR owners = 2 AND repos >= {WIDE_REPOS} THEN 4
+                   WHEN kind > 0 OR NOT (regexp_matches(lower(value), '{PLACEHOLDERS}') OR replace(value, value[1], '') = '') THEN 3 END AS verdict
   FROM m JOIN f USING (value)
 ),
+r AS (SELECT doc_id, max(owners) AS most_owners, max(repos) AS most_repos FROM j GROUP BY doc_id),
 s AS (
   SELECT doc_id, kind, CAST(e - n AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM j
   UNION SELECT doc_id, verdict, CAST(e - length(value) AS BIGINT), CAST(e AS BIGINT) FROM j WHERE verdict IS NOT NULL
@@ -229,6 +229,6 @@ a AS (
   FROM w GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
+FROM d LEFT JOIN a ON d.doc_id = a.doc_id LEFT JOIN r ON d.doc_id = r.doc_id
 """

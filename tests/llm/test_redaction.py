@@ -5,7 +5,7 @@ from keyloom.llm import secret_scan
 
 def redacted(spark, scratch, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    return {r.doc_id: r.text for r in secret_scan.redacted(docs, scratch, docs.columns, F.col("source"), F.col("source"), mask="#").collect()}
+    return {r.doc_id: r.text for r in secret_scan.redacted(docs, scratch, F.col("source"), F.col("source"), mask="#").collect()}
 
 
 def test_values_of_two_owners_are_masked(spark, scratch):
