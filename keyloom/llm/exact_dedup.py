@@ -1,7 +1,8 @@
 """Exact dedup by deterministic block naming, in DataFrame operations only.
 
 Texts are cut into blocks of a fixed number of code points. The distinct blocks
-are sorted and each gets an integer name; then adjacent names are paired, the
+are sorted (by hash, then by content) and each gets its place as an integer name, which
+doesn't depend on how rows are partitioned; then adjacent names are paired, the
 distinct pairs are sorted and named in turn, and so on until every document has
 one name. Two documents end with the same name on the same level exactly when
 their texts are equal: names stand for contents, not for hashes of them.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .tables import Scratch, read
 
@@ -42,9 +44,26 @@ def _blocks(text: Column, block_chars: int) -> Column:
     return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(cut)
 
 
-def _named(distinct: DataFrame, *order: str) -> DataFrame:
-    """Sorts the rows of each partition and numbers them; ids are fixed once the frame is written."""
-    return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
+#: The 64-bit hashes are sorted in so many ranges (two to this power).
+RANGE_BITS = 12
+
+
+def _named(distinct: DataFrame, scratch: Scratch, name: str, weight: str | None = None) -> DataFrame:
+    """The distinct rows (h, ...) with ``name``, their place in the order of h and then of the other columns.
+
+    The order is global: each range of h is sorted by itself and its places go on from the
+    ranges before, so names are the same whatever the number of partitions. With a
+    ``weight`` a row takes as many places, of which ``name`` is the first.
+    """
+    order = ["h", *(c for c in distinct.columns if c not in ("h", weight))]
+    held = scratch.cut(distinct.withColumn("range", F.shiftright("h", 64 - RANGE_BITS)), f"{name}-distinct")
+    places = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    sizes = held.groupBy("range").agg(F.sum(places).alias("places"))
+    before = F.coalesce(F.sum("places").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = scratch.cut(sizes.select("range", before.alias("before")), f"{name}-ranges")  # at most 4096 rows
+    first = F.coalesce(F.sum(places).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    named = held.withColumn("first", first).join(F.broadcast(sizes), "range").withColumn("name", F.col("before") + F.col("first"))
+    return scratch.cut(named.drop("range", "first", "before"), name)
 
 
 def _folded(rows: DataFrame, copies: Column) -> DataFrame:
@@ -69,10 +88,13 @@ def identities(
     block_hash=F.xxhash64,
 ) -> DataFrame:
     """One row per distinct (id, text): doc_id, sha (binary), copies, and its identity (level, name)."""
+    before = scratch.written
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
     blocks = texts.select(F.explode(_blocks(F.col("t"), block_chars)).alias("block")).select(block_hash("block").alias("h"), "block")
-    names = scratch.cut(_named(blocks.distinct(), "block").select("h", "name"), "block-names")
-    shared = scratch.cut(names.groupBy("h").count().where("count > 1").select("h"), "shared-hashes")
+    # the blocks themselves are needed for the order only where they share a hash; else the hash is their place
+    counted = blocks.distinct().groupBy("h").agg(F.count("*").alias("blocks"))
+    names = _named(counted, scratch, "block-names", "blocks")
+    shared = scratch.cut(names.where("blocks > 1").select("h", "name"), "shared-hashes")
 
     rows = texts.select(
         "doc_id", F.unhex(F.sha2("t", 256)).alias("sha"),
@@ -83,24 +105,25 @@ def identities(
     if shared.isEmpty():
         level0 = rows.join(names, "h").select(*parts)
     else:
-        own = names.join(shared, "h", "left_anti")
-        by_text = _named(blocks.join(shared, "h", "left_semi").distinct(), "block")
-        by_text = scratch.cut(by_text.withColumn("name", -2 - F.col("name")), "shared-names")
+        own = names.where("blocks = 1")
+        by_text = blocks.join(shared, "h").distinct()
+        by_text = by_text.select("h", "block", (F.col("name") + F.row_number().over(Window.partitionBy("h").orderBy("block")) - 1).alias("name"))
+        by_text = scratch.cut(by_text, "shared-names")
         level0 = rows.join(own, "h").select(*parts).unionByName(rows.join(by_text, ["h", "block"]).select(*parts))
     current = scratch.cut(_folded(level0, F.count(F.when(F.col("pos") % 2 == 0, 1))), "level-0")
-    scratch.drop(names)
 
-    level, done = 0, []
+    level, done, levels = 0, [], [current]
     while True:
         done.append(current.where("n = 1").select("doc_id", "sha", "copies", F.lit(level).alias("level"), F.col("a").alias("name")))
         longer = current.where("n > 1")
         if longer.isEmpty():
             break
-        names = scratch.cut(_named(longer.select("a", "b").distinct(), "a", "b"), f"pair-names-{level}")
+        names = _named(longer.select("a", "b").distinct().withColumn("h", F.xxhash64("a", "b")), scratch, f"pair-names-{level}").drop("h")
         paired = longer.join(names, ["a", "b"]).select("doc_id", "sha", F.ceil(F.col("n") / 2).alias("n"), F.col("p").alias("pos"), "name", "copies")
         current = scratch.cut(_folded(paired, F.max("copies")), f"level-{level + 1}")
-        scratch.drop(names)
+        levels.append(current)
         level += 1
+    scratch.drop_since(before, *levels)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
