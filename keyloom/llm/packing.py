@@ -5,13 +5,14 @@ the binary digits of its length, largest first, so every piece is as long as a
 power of two, at most the window. Each piece is a sequence of its own: sequences
 of one length form a bucket, need no padding, and never cross documents.
 
-Tokens come from a public tokenizer file. It drops white space and looks at no
+Tokens come from a public tokenizer file. One of the form in ``CUTS`` drops white space and looks at no
 context beyond it, so texts are cut at ASCII white space (plain texts also where
 letters, digits and the rest meet) and the ids of each word are looked up in a
 bounded cache of the worker; words that it lacks are encoded together, batch by
-batch. That gives the ids of the whole text exactly.
+batch. That gives the ids of the whole text exactly. With a file of any other form whole
+texts are given to the tokenizer.
 
-Scale: one map over the rows, no shuffle; memory is bounded by the Arrow batch,
+Scale: one map over the rows, no shuffle, and the writing of the buckets; memory is bounded by the Arrow batch,
 the cache and one document's ids. Ids of sequences are partition and counter, so
 a task that runs again numbers its pieces as before.
 
@@ -22,17 +23,19 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from itertools import chain, repeat
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import map_arrow, read
+from .tables import Scratch, map_arrow, read
 
 WINDOW = 2048
 END_ID = 1
@@ -53,9 +56,40 @@ PART_CHARS = 1 << 20
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
+#: The normaliser and the splits of tokenizers that treat words apart.
+CUTS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
+
+
+def cuts(path: str) -> bool:
+    """Whether the file's tokenizer is of the form in CUTS."""
+    made = json.loads(Path(path).read_text(encoding="utf-8"))
+    splits = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and t["content"].startswith("<|") for t in made.get("added_tokens") or ())
+    return plain and (made.get("normalizer"), splits[0]) == CUTS and [s["type"] for s in splits[1:]] == ["ByteLevel"] and made["model"]["type"] == "BPE"
+
+
+class WholeEncoder:
+    """Little-endian 32-bit ids of texts, each given to the tokenizer whole."""
+
+    whole = True
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class WordEncoder:
     """Little-endian 32-bit ids of texts, by a tokenizer that treats words apart."""
 
+    whole = False
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -116,16 +150,16 @@ def pieces(n: int, window: int = WINDOW) -> Iterator[tuple[int, int]]:
             at += 1 << bit
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | WholeEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | WholeEncoder:
     """One per worker process and file."""
     if path not in _encoders:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path) if cuts(path) else WholeEncoder(path)
     return _encoders[path]
 
 
@@ -141,7 +175,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                if sum(map(len, texts)) <= PART_CHARS:
+                if encode.whole or sum(map(len, texts)) <= PART_CHARS:
                     ids = encode(texts)
                 else:
                     ids = [b"".join(encode([p])[0] for p in _parts(t)) for t in texts]
@@ -163,9 +197,12 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     return map_arrow(rows, pack, PIECES).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
 
 
-def write_buckets(sequences: DataFrame, path: str) -> None:
-    """Writes one folder per sequence length, so a reader's batches need no padding."""
-    sequences.write.partitionBy("length").parquet(path)
+def bucketed(pieces: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pieces, written as one folder for each length and read again: a reader of one folder needs no padding.
+
+    Ids of sequences are fixed by the writing.
+    """
+    return scratch.cut(pieces, "buckets", by="length").select(*pieces.columns)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -175,4 +212,4 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(read(spark, sf_dir, "documents"), tokenizer_path())
+    return bucketed(packed(read(spark, sf_dir, "documents"), tokenizer_path()), Scratch(spark, "op9"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import hashlib
 import io
 import os
@@ -23,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Only a local session, whose tasks run on this machine, may go without: it gets a temporary one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="keyloom-"))
     return _own_folder[0]
@@ -56,17 +59,17 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Rows of an Arrow batch: texts are long, and each task holds a batch twice in the JVM and in Python.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch: texts are long, and each task holds a batch twice in the JVM and in Python.
+BATCH_BYTES = 8 << 20
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package's modules at hand on the executors, in batches of at most
-    BATCH_ROWS rows (a larger limit of the session is lowered, for the frame runs later)."""
+    """``mapInArrow`` with this package's modules at hand on the executors, in batches of about
+    BATCH_BYTES (a larger limit of the session is lowered, for the frame runs later)."""
     ship(df.sparkSession)
-    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(limit)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(limit, str(BATCH_ROWS))
+    limit, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(limit)) > BATCH_BYTES:
+        conf.set(limit, str(BATCH_BYTES))
 
     def run(batches):
         yield from function(batches)
@@ -75,6 +78,13 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the files of finished jobs' shuffles removed now. Spark removes them when the driver's collector finds that
+    nothing refers to them any more, which may be long after; jobs that repeat a large shuffle ask for it in between."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables that one query writes to the shared folder.
 
@@ -91,10 +101,10 @@ class Scratch:
         self._paths: dict[int, str] = {}
         self._tables: list[DataFrame] = []
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = f"{self.root}/{len(self._tables) + 1:03d}-{name}"
-        df.write.parquet(path)
-        table = self.spark.read.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)  # no job to infer it, and empty folders have one too
         self._paths[id(table)] = path
         self._tables.append(table)
         return table
