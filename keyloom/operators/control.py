@@ -49,3 +49,14 @@ def transactions(log: DataFrame) -> DataFrame:
     inside = F.coalesce(F.col("_mark.verb") == "MULTI", F.lit(False))
     kept = rows.where(~inside | F.coalesce(F.col("_end") == "EXEC", F.lit(False)))
     return kept.withColumn("batch", F.when(inside, F.col("_mark.seq"))).drop("_mark", "_end")
+
+
+def executed(log: DataFrame) -> DataFrame:
+    """EXEC: the rows that take effect, with ``at``, when they do: queued ones at their EXEC, in the order in which they were
+    queued, all others at once. Folding by (at, seq) is what the log does."""
+    from pyspark.sql.window import Window
+
+    ahead = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    done = F.first(F.when(F.col("verb") == "EXEC", F.col("seq")), ignorenulls=True).over(ahead)
+    rows = transactions(log.withColumn("_done", done))
+    return rows.withColumn("at", F.when(F.col("batch").isNotNull(), F.col("_done")).otherwise(F.col("seq"))).drop("_done")

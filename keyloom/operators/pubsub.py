@@ -23,22 +23,28 @@ def _globs(subs: DataFrame) -> DataFrame:
     """Patterns as regular expressions: other characters than * and ? quoted, those made wild."""
     quoted = F.regexp_replace("pattern", r"([\\.\[\]{}()+^$|#&~-])", r"\\$1")
     wild = F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
-    fixed = F.regexp_extract("pattern", r"^([^*?]*)", 1)
+    head, tail = F.regexp_extract("pattern", r"^([^*?]*)", 1), F.regexp_extract("pattern", r"([^*?]*)$", 1)
+    fixed = F.when(head != "", F.concat(F.lit("<"), head)).when(tail != "", F.concat(F.lit(">"), tail)).otherwise("")
     return subs.where("kind = 'glob'").select("subscriber", "pattern", F.concat(F.lit("(?s)^"), wild, F.lit("$")).alias("_regex"), fixed.alias("_fixed"))
 
 
 def matched(rows: DataFrame, globs: DataFrame) -> DataFrame:
-    """Rows with a channel joined to the globs that match it: each glob meets one beginning of a channel at most."""
-    begins = F.transform(F.sequence(F.lit(0), F.length("channel")), lambda n: F.substring("channel", F.lit(1), n))
-    return rows.withColumn("_fixed", F.explode(begins)).join(globs, "_fixed").where(F.expr("channel RLIKE _regex"))
+    """Rows with a channel joined to the globs that match it: each glob meets one beginning or end of a channel at most.
+
+    A glob is met by what stands before its first wild character, or else by what stands after its
+    last one; only globs that are wild at both ends meet every channel.
+    """
+    lengths = F.sequence(F.lit(1), F.greatest(F.length("channel"), F.lit(1)))
+    begins = F.transform(lengths, lambda n: F.concat(F.lit("<"), F.substring("channel", F.lit(1), n)))
+    ends = F.transform(lengths, lambda n: F.concat(F.lit(">"), F.substring(F.col("channel"), -n, n)))
+    return rows.withColumn("_fixed", F.explode(F.concat(F.array(F.lit("")), begins, ends))).join(globs, "_fixed").where(F.expr("channel RLIKE _regex"))
 
 
 def publish(messages: DataFrame, subs: DataFrame) -> DataFrame:
     """Deliveries (msg, channel, payload, subscriber, kind, pattern); one for each subscription that matches.
 
     Exact names are an equi-join. Globs are matched once per distinct channel, not per
-    message, after an equi-join of the channel's beginnings with what stands before a
-    glob's first wild character.
+    message, after an equi-join by a beginning or an end of the channel.
     """
     exact = messages.join(subs.where("kind = 'exact'"), F.col("channel") == F.col("pattern")).select("msg", "channel", "payload", "subscriber", "kind", "pattern")
     globs = _globs(subs)

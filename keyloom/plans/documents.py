@@ -10,6 +10,7 @@ from ..operators import control
 from ..operators import json_docs as J
 from ..operators import pubsub as P
 from ..operators import streams as X
+from ..operators import strings
 from ..sources import collections as C
 from ..sources import oplog, snapshot
 from ..sources.collections import NOW, shared_folder, sql
@@ -256,11 +257,12 @@ def _requests(spark, d):
     return control.replies(spark, rows)
 
 
-def _quoted(text):
-    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
-
-
-_KNOWN = ", ".join(f"({_quoted(v)}, {_quoted(a)}, {_quoted(r)})" for (v, a), r in control.REPLIES.items())
+#: The answers, written out so that the operator's table is held against them.
+_KNOWN = """('PING', '', 'PONG'), ('QUIT', '', 'OK'), ('RESET', '', 'RESET'), ('AUTH', '', 'OK'), ('SELECT', '0', 'OK'), ('SELECT', '', 'ERR only database 0 exists'),
+('COMMAND', 'COUNT', '120'), ('COMMAND', '', ''), ('HELLO', '2', 'proto 2'), ('HELLO', '3', 'proto 3'), ('HELLO', '', 'proto 2'),
+('CLIENT', 'ID', '1'), ('CLIENT', 'GETNAME', NULL), ('CLIENT', '', 'OK'), ('CONFIG', 'GET', ''), ('CONFIG', '', 'OK'), ('SLOWLOG', 'LEN', '0'), ('SLOWLOG', 'GET', ''),
+('SLOWLOG', '', 'OK'), ('ACL', 'WHOAMI', 'default'), ('ACL', 'LIST', 'user default on ~* &* +@all'), ('ACL', '', 'OK'), ('MULTI', '', 'OK'), ('DISCARD', '', 'OK'),
+('WATCH', '', 'OK'), ('UNWATCH', '', 'OK'), ('BGSAVE', '', 'Background saving started'), ('SAVE', '', 'OK')"""
 _CONTROL = f"""
 WITH k AS (SELECT * FROM (VALUES {_KNOWN}) AS t(verb, a, r)),
 q AS (SELECT o_orderkey AS req, {list(_VERBS)}[CAST(o_orderkey % {len(_VERBS)} AS INT) + 1] AS verb, {list(_WORDS)}[CAST((o_orderkey // {len(_VERBS)}) % {len(_WORDS)} AS INT) + 1] AS arg FROM orders)
@@ -281,6 +283,25 @@ SELECT event_id AS seq, 's' || (event_id // 8) AS session, CASE event_id % 8 WHE
 FROM events e WHERE event_id % 8 IN (1, 2, 4) AND (event_id % 8 = 4 OR EXISTS (SELECT 1 FROM events x WHERE x.event_id = e.event_id // 8 * 8 + 3))
 """
 
-SERVER_PLANS |= {"control": Plan(_requests, _CONTROL), "multi_exec": Plan(_transactions, _TRANSACTIONS)}
+def _executed(spark, d):
+    """Sessions that overlap on a few keys: what each key holds once queued writes have taken effect."""
+    verbs = F.array(*(F.lit(x) for x in ("MULTI", "SET", "SET", "EXEC", "SET", "MULTI", "SET", "DISCARD")))
+    k = F.col("event_id")
+    rows = C.table(spark, d, "events").select(k.alias("seq"), F.concat(F.lit("s"), k % 3).alias("session"), F.get(verbs, (F.floor(k / 3) % 8).cast("int")).alias("verb"), F.concat(F.lit("k"), k % 7).alias("key"), k.cast("string").alias("v"))
+    done = control.executed(rows).where("verb = 'SET'")
+    return strings.last_write(done.select(F.struct("at", "seq").alias("seq"), "key", "v"))
+
+
+_EXECUTED = """
+WITH e AS (SELECT event_id AS seq, event_id % 3 AS session, (event_id // 3) % 8 AS turn, event_id // 24 AS round, event_id % 7 AS k, event_id FROM events),
+x AS (SELECT session, round, seq AS done FROM e WHERE turn = 3),
+w AS (
+  SELECT e.seq, e.k, e.event_id, CASE WHEN turn IN (1, 2) THEN x.done ELSE e.seq END AS effect
+  FROM e LEFT JOIN x ON e.session = x.session AND e.round = x.round WHERE turn IN (1, 2) AND x.done IS NOT NULL OR turn = 4
+)
+SELECT 'k' || k AS key, CAST(arg_max(event_id, (effect, seq)) AS VARCHAR) AS v FROM w GROUP BY k
+"""
+
+SERVER_PLANS |= {"exec": Plan(_executed, _EXECUTED), "flush": Plan(_flushed, _EMPTY), "control": Plan(_requests, _CONTROL), "multi_exec": Plan(_transactions, _TRANSACTIONS)}
 
 PLANS = JSON_PLANS | STREAM_PLANS | PUBSUB_PLANS | SERVER_PLANS

@@ -173,6 +173,10 @@ def test_pubsub(spark):
     subs = spark.createDataFrame([("a", "exact", "ch"), ("a", "glob", "c*"), ("b", "glob", "log.*"), ("c", "glob", "n[w")], "subscriber string, kind string, pattern string")
     msgs = spark.createDataFrame([(1, "ch", "x"), (2, "log.error", "y"), (3, "logXinfo", "z"), (4, "n[w", "q")], "msg int, channel string, payload string")
     assert [r[2] for r in rows(M.receivers(msgs, subs))] == [2, 1, 0, 1]
+    ends = spark.createDataFrame([("d", "glob", "*.error"), ("e", "glob", "?og.*r"), ("f", "glob", "*og*"), ("g", "glob", "*"), ("h", "glob", "?h"), ("i", "glob", "*error.")], subs.schema)
+    got = sorted((r.msg, r.subscriber) for r in M.publish(msgs, ends).collect())
+    assert got == [(1, "g"), (1, "h"), (2, "d"), (2, "e"), (2, "f"), (2, "g"), (3, "f"), (3, "g"), (4, "g")]
+    assert M.publish(msgs.withColumn("channel", F.lit("")), ends).select("subscriber").distinct().collect() == [("g",)]
     assert rows(M.channels(subs)) == [("ch",)] and M.patterns(subs).first()[0] == 3
     every = spark.createDataFrame([("a", "glob", None)], subs.schema)
     assert M.unsubscribe(subs, every).count() == 3
