@@ -1,7 +1,7 @@
 """HTML extraction by consensus host paths.
 
 A first pass parses each page, drops what is never article text (by element,
-role, or words in class and id), and scores the containers: a block of text gives
+role, or words in class and id, unless the element holds the article), and scores the containers: a block of text gives
 its unlinked characters to the container it stands in, half to the next one out,
 and so on. Containers are named by their generalised path of tags and classes
 (digits removed, ids ignored), and every page votes for its paths with their
@@ -13,16 +13,17 @@ its own best container.
 Scale: votes are summed within map tasks, so a host with a third of all pages
 costs one row per path and task. Winners meet the pages by a join on host, which
 Spark broadcasts only below its size threshold and AQE splits where one host is
-hot. Parsing is one linear scan of the page.
+hot. Parsing is one scan of the page, linear in its length at any nesting, and a path is a digest, as long at any depth.
 
 Defined results: null or empty html gives an empty text; a null url is no host. Repeated
 pages are extracted each (and vote each). Class words and forms drop no element that
-holds the article (``_spared``), and nothing if they would drop all text of a page.
-Extra columns are ignored.
+holds the article (``_left_out``). Tags that never end are text, as is what follows them;
+a tag whose quotes never close ends at its first ``>``. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,9 +35,12 @@ from pyspark.sql import functions as F
 
 from .tables import Scratch, map_arrow, read
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: A tag's rest with ends inside quotes passed over.
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_DIGITS = re.compile(r"\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -47,234 +51,294 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search al
 #: A class or id with one of these words names no article text.
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice alert popup modal overlay"
-    " newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead header footer comment comments reply replies"
-    " disqus share sharing social related recommended pagination pager toolbar hidden".split()
+    " newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments reply replies"
+    " disqus share sharing social pagination pager toolbar hidden".split()
 )
+#: These do so outside an article or main, or where most of the text is linked.
+DOUBTFUL_WORDS = frozenset("header related recommended".split())
+#: A class that begins with one of these tells what there is or isn't, and names nothing.
+TELLS = frozenset("has no not with without show hide".split())
 #: Never dropped for a class: they hold the article.
 KEPT = frozenset("html body article main".split())
 #: Elements that tell where the article is.
 TELLING = ("article", "main", "h1")
-#: An element that opens closes these, unless one of their holders opened since.
+#: An element that opens closes the last open one of the first names, unless one of the second opened since.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
 }
+_WATCHED = {name: [k for k, (closed, holders) in CLOSES.items() if name in closed or name in holders] for name in {n for pair in CLOSES.values() for names in pair for n in names}}
 
 
-@dataclass
+@dataclass(slots=True)
 class Container:
     path: str
     parent: int  # -1: none
-    name: str = ""
+    whole: int = -1  # the nearest article or main that it is or stands in; -1: none
     score: float = 0.0
 
 
-@dataclass
+@dataclass(slots=True)
 class Mark:
-    """An element that its class words, or being a form, would drop; the first stands for the page."""
+    """An element that its class words, or being a form or an article's header, would drop; the first stands for the page."""
 
-    start: int
     parent: int  # -1: none
     within: int  # so many articles and mains
+    doubtful: bool = False
     chars: int = 0  # unlinked
+    linked: int = 0
     holds: list[int] = field(default_factory=lambda: [0] * len(TELLING))
 
 
-@dataclass
+@dataclass(slots=True)
 class Page:
     containers: list[Container] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # container, text, linked characters
-    marks: list[Mark] = field(default_factory=lambda: [Mark(-1, -1, 0)])
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _drops(name: str, attributes: dict[str, str], by_class: bool) -> bool:
-    if name in DROPPED:
-        return True
-    if name == "form" and by_class:
-        return True
+def _hidden(name: str, attributes: dict[str, str]) -> bool:
     if name in KEPT or not attributes:
         return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
-    words = {w.lower() for key in ("class", "id") for w in _WORD.findall(attributes.get(key, ""))}
-    return by_class and not words.isdisjoint(DROPPED_WORDS)
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in DROPPED_ROLES
+
+
+def _class_words(name: str, attributes: dict[str, str]) -> set[str]:
+    if name in KEPT or not attributes:
+        return set()
+    out = set()
+    for key in ("class", "id"):
+        for one in attributes.get(key, "").split():
+            words = [w.lower() for w in _WORD.findall(one)]
+            if words and (len(words) == 1 or words[0] not in TELLS):
+                out.update(words)
+    return out
 
 
 def _step(name: str, attributes: dict[str, str]) -> str:
-    classes = sorted({re.sub(r"\d+", "", c).lower() for c in attributes.get("class", "").split()} - {""})
+    classes = sorted({_DIGITS.sub("", c).lower() for c in attributes.get("class", "").split()} - {""})
     return ".".join([name, *classes])
 
 
-@dataclass
+def _under(path: str, step: str) -> str:
+    """A container's path as a digest of the path above and its own step, followed by the step: as long at any depth."""
+    return f"{hashlib.blake2b(f'{path}>{step}'.encode('utf-8', 'replace'), digest_size=12).hexdigest()}:{step}"
+
+
+@dataclass(slots=True)
 class _Open:
     name: str
     dropped: bool
     linked: bool
     container: int
-    mark: int = 0
-
-
-def parse(html: str, by_class: bool = True, spared: frozenset[int] = frozenset()) -> Page:
-    """The page's containers and kept blocks of text, in page order. ``spared``: starts of marks to keep."""
-    page = Page([Container("", -1)])
-    stack = [_Open("", False, False, 0)]
-    buffer: list[str] = []
-    linked = 0
-
-    def flush(container: int) -> None:
-        nonlocal linked
-        if buffer:
-            if text := " ".join("".join(buffer).split()):
-                page.blocks.append((container, text, min(linked, len(text))))
-            buffer.clear()
-            linked = 0
-
-    def close_to(at: int) -> None:
+    mark: int
+    block: int  # the place of the innermost open block, itself included
+    within: int  # open articles and mains, itself included
+    inline: dict[str, int] | None  # of a block: the open elements right in it that are none, by name
+
+
+class _Parser:
+    """One scan of a page. What is open is found by counts and by the places of watched names, never by a search, so
+    the work grows with the page's length at any nesting."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.containers = [Container("", -1)]
+        self.marks = [Mark(-1, 0)]
+        self.blocks: list[tuple[int, list[tuple[str, int, bool]]]] = []
+        self.stack = [_Open("", False, False, 0, 0, 0, 0, {})]
+        self.opened: dict[str, int] = {}  # open blocks by name
+        self.watched: dict[str, list[int]] = {k: [] for k in CLOSES}
+        self.buffer: list[tuple[str, int, bool]] = []  # text, mark, whether linked
+        self.quotes_end = True  # no tag so far whose quotes are open to the end
+        self.scan()
+        self.close_to(1)
+        self.flush(0)
+
+    def flush(self, container: int) -> None:
+        if self.buffer:
+            self.blocks.append((container, self.buffer))
+            self.buffer = []
+
+    def close_to(self, at: int) -> None:
+        stack = self.stack
         while len(stack) > at:
-            if stack[-1].name in BLOCKS:
-                flush(stack[-1].container)
-            stack.pop()
-
-    pos, end = 0, len(html)
-    while pos < end:
-        token = _TOKEN.match(html, pos)
-        pos = token.end()
-        name = token[2] or token[5]
-        if name is None:
-            top = stack[-1]
-            if not top.dropped and not token[0].startswith(("<!", "<?")):
-                text = unescape(token[0])
-                buffer.append(text)
-                if top.linked:
-                    linked += len(text)
+            top = stack.pop()
+            if top.inline is not None:
+                self.flush(top.container)
+                self.opened[top.name] -= 1
+                for k in _WATCHED.get(top.name, ()):
+                    self.watched[k].pop()
+            else:
+                stack[top.block].inline[top.name] -= 1
+
+    def scan(self) -> None:
+        html, pos, end, last = self.html, 0, len(self.html), self.html.rfind(">")
+        while pos < end:
+            at = html.find("<", pos)
+            if at < 0 or at > last:  # no tag ends from here on
+                self.text(html[pos:])
+                return
+            if at > pos:
+                self.text(html[pos:at])
+            if html.startswith("<!--", at):
+                stop = html.find("-->", at + 4)
+                pos = end if stop < 0 else stop + 3
+            elif html.startswith(("<!", "<?"), at):
+                pos = html.find(">", at) + 1
+            elif (name := _NAME.match(html, at + 1)) is None:
+                self.text("<")
+                pos = at + 1
+            else:
+                stop = _QUOTED.match(html, name.end()) if self.quotes_end else None
+                self.quotes_end = self.quotes_end and stop is not None
+                pos = stop.end() if stop else html.find(">", at) + 1
+                if name[1]:
+                    self.closing(name[2].lower())
                 else:
-                    page.marks[top.mark].chars += len("".join(text.split()))
-            continue
-        name = name.lower()
-        if token[1] or token[4]:  # an end tag
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].name == name:
-                    close_to(at)
-                    break
-                if name not in BLOCKS and stack[at].name in BLOCKS:  # strayed from its block
-                    break
-            continue
+                    pos = self.opening(name[2].lower(), html[name.end() : pos - 1], pos)
+
+    def text(self, raw: str) -> None:
+        top = self.stack[-1]
+        if not top.dropped:
+            text = unescape(raw) if "&" in raw else raw
+            self.buffer.append((text, top.mark, top.linked))
+            size = len("".join(text.split()))
+            mark = self.marks[top.mark]
+            if top.linked:
+                mark.linked += size
+            else:
+                mark.chars += size
+
+    def closing(self, name: str) -> None:
+        stack = self.stack
+        if name in BLOCKS:
+            if not self.opened.get(name):
+                return
+        elif not stack[stack[-1].block].inline.get(name):  # strayed from its block
+            return
+        at = len(stack) - 1
+        while stack[at].name != name:  # all on the way are closed too
+            at -= 1
+        self.close_to(at)
+
+    def opening(self, name: str, rest: str, pos: int) -> int:
+        stack, block = self.stack, name in BLOCKS
         if name in VOID:
-            if name in ("br", "wbr", "img", "hr") and not stack[-1].dropped:
-                buffer.append(" " if name != "wbr" else "")
+            top = stack[-1]
+            if name in ("br", "wbr", "img", "hr") and not top.dropped:
+                self.buffer.append((" " if name != "wbr" else "", top.mark, False))
                 if name == "hr":
-                    flush(stack[-1].container)
-            continue
-        if name in BLOCKS:
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].name == "p":
-                    close_to(at)
-                    break
-                if stack[at].name in BLOCKS:
-                    break
-        if name in CLOSES:
-            closed, holders = CLOSES[name]
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].name in closed:
-                    close_to(at)
-                    break
-                if stack[at].name in holders:
-                    break
+                    self.flush(top.container)
+            return pos
+        if block and stack[stack[-1].block].name == "p":
+            self.close_to(stack[-1].block)
+        if name in CLOSES and self.watched[name] and stack[self.watched[name][-1]].name in CLOSES[name][0]:
+            self.close_to(self.watched[name][-1])
         top = stack[-1]
-        rest = token[3] if token[3] is not None else token[6]
-        if rest.endswith("/") and name not in BLOCKS:
-            continue
+        if rest.endswith("/") and not block and (len(rest) == 1 or rest[-2] in " \t\r\n\"'"):  # else the end of a bare value
+            return pos
         attributes = _attributes(rest) if rest.strip(" /") else {}
-        dropped, mark = top.dropped or _drops(name, attributes, False), top.mark
-        if not dropped and _drops(name, attributes, True):
-            page.marks.append(Mark(pos, mark, sum(o.name in ("article", "main") for o in stack)))
-            mark = len(page.marks) - 1
-            dropped = by_class and pos not in spared
-        if name in TELLING and not dropped:
-            page.marks[mark].holds[TELLING.index(name)] += 1
+        mark, inner = top.mark, top.within + (name in ("article", "main"))
+        own_header = name == "header" and top.within > 0
+        dropped = top.dropped or name in DROPPED and not own_header or _hidden(name, attributes)
+        if not dropped:
+            words = _class_words(name, attributes)
+            named = own_header or name == "form" or not words.isdisjoint(DROPPED_WORDS)
+            if named or not words.isdisjoint(DOUBTFUL_WORDS):
+                self.marks.append(Mark(mark, top.within, not named))
+                mark = len(self.marks) - 1
+            if name in TELLING:
+                self.marks[mark].holds[TELLING.index(name)] += 1
         container = top.container
-        if name in BLOCKS:
-            flush(top.container)
+        if block:
+            self.flush(container)
             if name in CONTAINERS and not dropped:
-                page.containers.append(Container(f"{page.containers[container].path}>{_step(name, attributes)}", container, name))
-                container = len(page.containers) - 1
+                above = self.containers[container]
+                here = len(self.containers)
+                self.containers.append(Container(_under(above.path, _step(name, attributes)), container, here if name in ("article", "main") else above.whole))
+                container = here
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
-            pos = stop.end() if stop else end
-            continue
-        stack.append(_Open(name, dropped, top.linked or name == "a", container, mark))
-    close_to(1)
-    flush(0)
-    return page
-
-
-def score(page: Page) -> None:
-    for at, text, linked in page.blocks:
-        worth = float(max(0, len(text) - 2 * linked))
-        while at >= 0 and worth:
-            page.containers[at].score += worth
-            worth /= 2
-            at = page.containers[at].parent
-
-
-def _spared(marks: list[Mark]) -> frozenset[int]:
-    """Starts of the marks that hold the article: all the page's h1; outside of any article or main, all of
-    those; or more than half of the unlinked text, with no article or main elsewhere on the page."""
+            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.html, pos)
+            close = self.html.find(">", stop.end()) if stop else -1
+            return close + 1 if close >= 0 else len(self.html)
+        stack.append(_Open(name, dropped, top.linked or name == "a", container, mark, len(stack) if block else top.block, inner, {} if block else None))
+        if block:
+            self.opened[name] = self.opened.get(name, 0) + 1
+            for k in _WATCHED.get(name, ()):
+                self.watched[k].append(len(stack) - 1)
+        else:
+            inline = stack[top.block].inline
+            inline[name] = inline.get(name, 0) + 1
+        return pos
+
+
+def _left_out(marks: list[Mark]) -> list[bool]:
+    """Which marks are dropped: all but those that hold the article, which hold the page's every h1; outside of any
+    article or main, all of those; or more than half of the unlinked text, with no article or main elsewhere. A
+    doubtful mark inside an article or main is dropped only if most of its text is linked."""
     for mark in reversed(marks[1:]):  # parents come first
         above = marks[mark.parent]
         above.chars += mark.chars
+        above.linked += mark.linked
         above.holds = [a + b for a, b in zip(above.holds, mark.holds, strict=True)]
     page = marks[0]
 
     def keeps(mark: Mark) -> bool:
         every = [n > 0 and n == of for n, of in zip(mark.holds, page.holds, strict=True)]
         alone = sum(page.holds[:2]) == sum(mark.holds[:2]) + mark.within
+        if mark.doubtful and mark.within and mark.chars > mark.linked:
+            return True
         return alone and 2 * mark.chars > page.chars or every[2] or not mark.within and any(every)
 
-    return frozenset(m.start for m in marks[1:] if keeps(m))
-
-
-def _parsed(html: str) -> Page:
-    page = parse(html)
-    if len(page.marks) > 1 and (spared := _spared(parse(html, by_class=False).marks)):
-        page = parse(html, spared=spared)
-    if not page.blocks:
-        page = parse(html, by_class=False)
-    score(page)
+    out = [False]
+    for mark in marks[1:]:
+        out.append(out[mark.parent] or not keeps(mark))
+    return out
+
+
+def parse(html: str) -> Page:
+    """The page's containers with their scores, and its kept blocks of text, in page order.
+
+    White space is what Python's ``str.split`` takes for it: ASCII blanks, U+001C to U+001F, U+0085, no-break and other spaces.
+    """
+    found = _Parser(html)
+    out, page = _left_out(found.marks), Page(found.containers)
+    for container, parts in found.blocks:
+        kept = [(text, linked) for text, mark, linked in parts if not out[mark]]
+        if text := " ".join("".join(t for t, _ in kept).split()):
+            linked = min(sum(len(t) for t, is_linked in kept if is_linked), len(text))
+            page.blocks.append((container, text, linked))
+            worth, at = float(max(0, len(text) - 2 * linked)), container
+            while at >= 0 and worth >= 0.5:
+                page.containers[at].score += worth
+                worth, at = worth / 2, page.containers[at].parent
     return page
 
 
 def votes(html: str) -> list[tuple[str, float]]:
     """(path, share of the page's score) of every container with a score."""
     found: dict[str, float] = {}
-    for c in _parsed(html).containers:
+    for c in parse(html).containers:
         if c.score:
             found[c.path] = found.get(c.path, 0.0) + c.score
     total = sum(found.values())
     return [(path, value / total) for path, value in found.items()]
 
 
-def _whole(page: Page, at: int) -> int:
-    """The nearest article or main that the container is or stands in, or else the container."""
-    up = at
-    while up >= 0 and page.containers[up].name not in ("article", "main"):
-        up = page.containers[up].parent
-    return up if up >= 0 else at
-
-
 def extract(html: str, path: str | None) -> str:
     """The text of the containers on the path, or else of the page's best container, each widened to its article or main."""
-    page = _parsed(html)
+    page = parse(html)
     inside = [path is not None and c.path == path for c in page.containers]
     if not any(inside):
         best = max(range(len(page.containers)), key=lambda i: (page.containers[i].score, -i))
         inside = [i == best for i in range(len(page.containers))]
-    for i in [i for i, chosen in enumerate(inside) if chosen]:
-        inside[_whole(page, i)] = True
+    for i in [page.containers[i].whole for i, chosen in enumerate(inside) if chosen]:
+        if i >= 0:
+            inside[i] = True
     for i, c in enumerate(page.containers):  # parents come first
         inside[i] = inside[i] or c.parent >= 0 and inside[c.parent]
     return " ".join(text for at, text, _ in page.blocks if inside[at])

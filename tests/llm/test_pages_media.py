@@ -155,3 +155,106 @@ def test_hostile_images(spark):
     assert all(r.npy is None and r.height is None for r in M.tiles(df).collect())
     # a palette shorter than its colours: those it lacks are black
     assert M.decode(bmp(8, b"\0\1\0\0", 2, 1, b"\7\7\7\0", colours=200)[:-4] + b"\0\5\0\0").shape[:2] == (1, 2)
+
+
+# ---- extraction against a model: pages are made as trees, and their text is read off the tree
+
+def made_page(rng):
+    """(html, text): a random page and the text of its article."""
+    from html import escape
+
+    def words(n):
+        return " ".join(rng.choice(("one", "two &", "três", "<four>", "5%", "six six", "seven")) for _ in range(n))
+
+    def inline(depth):
+        """(html, text) of running text; text keeps its blanks."""
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.5 or depth > 2:
+                text = words(rng.randint(1, 6)) + rng.choice((" ", "\n\t", ""))
+                raw = escape(text, quote=False).replace("ê", rng.choice(("ê", "&ecirc;", "&#234;", "&#xEA;"))).replace(" ", rng.choice((" ", "&nbsp;")))
+                out.append((raw, text))
+            elif kind < 0.6:
+                out.append((rng.choice(("<br>", "<br/>", "<img src='a>b.png' alt=x>")), " "))
+            elif kind < 0.7:
+                out.append((rng.choice(("<!-- no > text -->", "<script>if (a<b) x('</p>')</script>", "<style>p{}</style>", '<span class="ad">buy</span>', "<button>press</button>", '<i hidden>unseen</i>')), ""))
+            else:
+                tag = rng.choice(("b", "i", "em", "span", "code"))
+                raw, text = inline(depth + 1)
+                out.append((f'<{tag} title="x > y" class="c{rng.randint(0, 9)}">{raw}</{tag}>', text))
+        return "".join(r for r, _ in out), "".join(t for _, t in out)
+
+    def blocks(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.5 or depth > 3:
+                raw, text = inline(0)
+                tag = rng.choice(("p", "h2", "pre", "blockquote"))
+                out.append((f"<{tag}>{raw}" + ("" if tag == "p" and rng.random() < 0.5 else f"</{tag}>"), [text]))
+            elif kind < 0.65:
+                items = [inline(1) for _ in range(rng.randint(1, 3))]
+                out.append(("<ul>" + "".join(f"<li>{r}" for r, _ in items) + "</ul>", [t for _, t in items]))
+            elif kind < 0.8:
+                noise = rng.choice(('<div class="ad">buy this</div>', "<nav><a href=/>menu</a></nav>", '<div class="reader comments"><p>first</p></div>', "<aside>side</aside>", "<form><input><p>mail</p></form>", '<ul class="related"><li><a href=/x>more stories</a></ul>', "<footer>end</footer>"))
+                out.append((noise, []))
+            else:
+                tag = rng.choice(("div", "section", "div class='part7 related-work'"))
+                raw, texts = blocks(depth + 1)
+                out.append((f"<{tag}>{raw}</{tag.split()[0]}>", texts))
+        return "".join(r for r, _ in out), [t for _, ts in out for t in ts]
+
+    raw, texts = blocks(0)
+    title, long = words(4), "the long first paragraph of this article " * 12
+    head = f"<h1>{escape(title)}</h1>"
+    if rng.random() < 0.5:
+        head = f"<header>{head}</header>"
+    page = f"<!DOCTYPE html><html><head><title>t</title></head><body class='has-sidebar'><header><a href=/>site</a></header><div class='cookie-notice'>cookies</div><div class='layout with-menu'><article>{head}<p>{long}</p>{raw}</article></div><div class=sidebar><p>aside</p></div><footer>foot</footer></body></html>"
+    kept = (" ".join(t.split()) for t in (title, long, *texts))
+    return page, " ".join(t for t in kept if t)
+
+
+def test_extraction_against_trees():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(400):
+        page, text = made_page(rng)
+        assert H.extract(page, None) == text, page
+
+
+def test_class_words_do_not_remove_an_article():
+    long = "<p>" + "a long line of text " * 20 + "</p>"
+    text = " ".join(["a long line of text"] * 20)
+    assert H.extract(f'<div class="page has-sidebar"><article>{long}</article></div><p>tiny</p>', None) == text
+    assert H.extract(f'<div class="page sidebar"><article>{long}</article></div><p>tiny</p>', None) == text
+    assert H.extract(f'<article><header><h1>Title</h1></header>{long}<div class="related-work">{long}</div></article>', None) == f"Title {text} {text}"
+    assert H.extract(f'<article>{long}<div class="related"><a href=/>some other story</a></div><div class=comments>{long}</div></article>', None) == text
+    assert H.extract(f"<form>{long}</form><p>tiny</p>", None) == f"{text} tiny"
+    assert H.extract("<div class=ad>one</div><div class=share>two</div>", None) == ""
+    assert H.extract("<header><h1>Site</h1></header><main>text</main>", None) == "text"
+    assert H.extract("a\u0085b\u001cc&nbsp;d e", None) == "a b c d e"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 20_000
+    pages = [
+        "<a " * n, "<b>" * n + "</i>" * n, "<div>" * n + "x", '<a "x>y" ' * n, "<div>" * n + "<li></li>" * n, "<li><ul>" + "<div>" * n + "<li></li>" * n, "<title></title " * n, "<table>" + "<td>" * n,
+        "<div>" + "<b>" * n + "<div></div>" * n, "<!--" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<form class=ad>" * n, "&" * n, "<a href='" * n + ">", "<p>" * n + "</p>" * n, "<" * n, "<script>" * n, "</div>" * n,
+    ]
+    for page in pages:
+        began = time.time()
+        H.votes(page)
+        assert time.time() - began < 5, page[:40]
+    deep = H.parse("<div class=x>" * 30_000 + "end")
+    assert max(len(c.path) for c in deep.containers) < 40 and H.extract("<div>" * 30_000 + "end", None) == "end"
+
+
+def test_long_and_repeated_pages(spark, scratch):
+    long = "<article>" + "<p>word &amp; <b>more</b></p>" * 40_000 + "</article>"
+    df = spark.createDataFrame([(1, "http://x.example/1", long), (1, "http://x.example/1", long), (2, "http://x.example/2", ""), (3, "", "<p>ok")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.n_chars, r.text[:20]) for r in H.extracted(df, scratch).collect())
+    assert got == [(1, 12 * 40_000 - 1, "word & more word & m")] * 2 + [(2, 0, ""), (3, 2, "ok")]
