@@ -1,13 +1,22 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three transducers are compiled from a BPE model with byte fallback: the normaliser
-(a word-boundary mark before the text, spaces to marks), the lexicon (a trie from
-characters to pieces, with an arc to byte ids for characters that are no piece),
-and the grammar, whose states are the piece read last and whose arcs weigh 0 when
-the two pieces are what BPE makes of their joint text and infinity otherwise. Of all
-segmentations BPE's is the only one whose neighbours all agree in that sense, so
-the shortest path of input, lexicon and grammar in the tropical semiring is the
-model's own encoding. Grammar weights are found when first needed and kept.
+Three machines are compiled from the model file, each with states, arcs and weights:
+
+* the normaliser reads characters and writes them in the model's form: a word-boundary mark
+  before the text, blanks to marks, and, where the model says so, no blanks at either end
+  or in a row;
+* the lexicon is a trie that reads characters and writes pieces. Where a character is no piece,
+  byte arcs write the ids of its bytes;
+* the grammar reads pieces. Of a unigram model it has one state, and the pieces' weights are
+  their negative scores. Of a BPE model its states are the piece read last, and it has an
+  arc exactly where two pieces are what BPE makes of their joint text: of all segmentations
+  BPE's is the only one whose neighbours all agree in that sense. An arc costs one; missing arcs
+  weigh infinity. Which arcs there are is found out when they are first asked for, and kept.
+
+Each input is composed with the machines place by place, without building the product, and
+the shortest path is taken in the tropical semiring: weights along a path are added, and of
+the paths to one place and state the least stays. Models that need anything else (a
+character map, pieces of the user, marks as suffixes, no byte fallback) are refused.
 
 Inputs are composed segment by segment: where no piece holds two neighbouring
 characters side by side, no path depends on what lies across, and the path of the
@@ -46,41 +55,92 @@ _PLAIN = re.compile(rf"[\x00-\x7f{MARK}{_LETTERS}]*")
 _RUNS = re.compile(rf"{MARK}*[{_LETTERS}]+|[0-9]|{MARK}*[^{MARK}{_LETTERS}0-9]+|{MARK}+")
 
 
-class Transducer:
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        model = SentencePieceProcessor(model_file=path)
-        every = range(model.vocab_size())
-        self.byte_ids = {int(model.id_to_piece(i)[1:-1], 16): i for i in every if model.is_byte(i)}
-        special = {i for i in every if model.is_byte(i) or model.is_control(i) or model.is_unknown(i)}
-        self.pieces = {model.id_to_piece(i): i for i in every if i not in special}
-        self.scores = {piece: model.get_score(i) for piece, i in self.pieces.items()}
-        self.bytes = [b"" if i in special else model.id_to_piece(i).encode() for i in every]
-        for byte, i in self.byte_ids.items():
-            self.bytes[i] = bytes([byte])
-        self.joined = {piece[k : k + 2] for piece in self.pieces for k in range(len(piece) - 1)}
-        # the lexicon: state 0 is its start; ends has the piece that ends in a state
-        self.lexicon: list[dict[str, int]] = [{}]
-        self.ends: list[str | None] = [None]
-        for piece in self.pieces:
+#: How much less than the least score an unknown character scores, and the kinds of model and of pieces.
+UNKNOWN_PENALTY = 10.0
+UNIGRAM, BPE = 1, 2
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+
+
+class Normaliser:
+    """``arcs[state]`` has (next state, output) by character; "" stands for all others, and an output of None for a copy."""
+
+    START, BODY, BLANK = range(3)
+
+    def __init__(self, spec):
+        if spec.precompiled_charsmap or spec.normalization_rule_tsv or not spec.escape_whitespaces:
+            raise ValueError("a normaliser with a character map, or that keeps blanks, is not supported")
+        first = MARK if spec.add_dummy_prefix else ""
+        if spec.remove_extra_whitespaces:  # a blank is written with the character after it, if there is one
+            self.arcs = [
+                {" ": (self.START, ""), "": (self.BODY, None)},
+                {" ": (self.BLANK, ""), "": (self.BODY, None)},
+                {" ": (self.BLANK, ""), "": (self.BODY, None)},
+            ]
+            self.before = [first, "", MARK]  # written before a copy
+        else:
+            self.arcs = [{" ": (self.BODY, first + MARK), "": (self.BODY, None)}, {" ": (self.BODY, MARK), "": (self.BODY, None)}]
+            self.before = [first, ""]
+        # states that all arcs lead back to: the rest of an input is rewritten at once, for no output is read again
+        self.rest = [
+            [(c, out) for c, (_, out) in arcs.items() if c] if all(to == state for to, _ in arcs.values()) and not self.before[state] else None
+            for state, arcs in enumerate(self.arcs)
+        ]
+
+    def __call__(self, text: str) -> str:
+        state, out = self.START, []
+        for at, char in enumerate(text):
+            if (pairs := self.rest[state]) is not None:
+                rest = text[at:]
+                for read, written in pairs:
+                    rest = rest.replace(read, written)
+                out.append(rest)
+                break
+            arcs = self.arcs[state]
+            to, written = arcs.get(char) or arcs[""]
+            out.append(self.before[state] + char if written is None else written)
+            state = to
+        return "".join(out)
+
+
+class Lexicon:
+    """A trie: ``arcs[state]`` has the next state by character, ``ends[state]`` the (piece, weight) that ends there."""
+
+    def __init__(self, weights: dict[str, float], unknown: float):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[str, float] | None] = [None]
+        self.unknown = unknown  # the weight of a character's byte arcs
+        for piece, weight in weights.items():
             state = 0
             for char in piece:
-                if char not in self.lexicon[state]:
-                    self.lexicon[state][char] = len(self.lexicon)
-                    self.lexicon.append({})
+                if char not in self.arcs[state]:
+                    self.arcs[state][char] = len(self.arcs)
+                    self.arcs.append({})
                     self.ends.append(None)
-                state = self.lexicon[state][char]
-            self.ends[state] = piece
-        # runs may be cut by character class only if no piece spans two classes
-        kind = lambda c: "_" if c == MARK else "L" if re.fullmatch(f"[{_LETTERS}]", c) else "N" if c in "0123456789" else "P"
-        plain = [pair for pair in self.joined if _PLAIN.fullmatch(pair)]
-        self.by_class = all(a == b and a != "N" or a == "_" and b in "LP" for a, b in ((kind(p[0]), kind(p[1])) for p in plain))
+                state = self.arcs[state][char]
+            self.ends[state] = (piece, weight)
+
+
+class OneState:
+    """The grammar of a unigram model: any piece may follow any other."""
+
+    unique = False
+
+    def __init__(self):
         self.weights: dict[tuple[str, str], float] = {}
-        self.cache: dict[str, bytes] = {}
 
-    def normalised(self, text: str) -> str:
-        return MARK + text.replace(" ", MARK) if text else ""
+    def weight(self, state: str, piece: str) -> float:
+        return 0.0
+
+
+class Agreement:
+    """The grammar of a BPE model: states are the piece read last, "" at a segment's start."""
+
+    #: No place has two finite paths.
+    unique = True
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores = scores
+        self.weights: dict[tuple[str, str], float] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that BPE leaves of a short text: the best-scored pair first, the leftmost of equals."""
@@ -96,46 +156,89 @@ class Transducer:
                 pairs[at] = score(symbols[at] + symbols[at + 1], -_INFINITE)
         return symbols
 
-    def weight(self, last: str, piece: str) -> float:
-        """The grammar's arc from the state ``last`` ('' at a segment's start) by ``piece``."""
-        found = self.weights.get((last, piece))
+    def weight(self, state: str, piece: str) -> float:
+        found = self.weights.get((state, piece))
         if found is None:
-            wanted = [last, piece] if last else [piece]
-            found = 0.0 if self.merged(last + piece) == wanted else _INFINITE
+            wanted = [state, piece] if state else [piece]
+            found = 0.0 if self.merged(state + piece) == wanted else _INFINITE
             if len(self.weights) >= CACHED_PAIRS:
                 self.weights.clear()
-            self.weights[last, piece] = found
+            self.weights[state, piece] = found
         return found
 
+
+class Transducer:
+    def __init__(self, path: str):
+        from sentencepiece import sentencepiece_model_pb2
+
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as file:
+            model.ParseFromString(file.read())
+        kinds, trainer = [p.type for p in model.pieces], model.trainer_spec
+        if trainer.model_type not in (UNIGRAM, BPE) or set(kinds) - {NORMAL, UNKNOWN, CONTROL, BYTE} or kinds.count(BYTE) != 256:
+            raise ValueError("only unigram and BPE models with byte fallback and no pieces of the user are supported")
+        if trainer.treat_whitespace_as_suffix or model.denormalizer_spec.precompiled_charsmap:
+            raise ValueError("marks as suffixes and denormalisers are not supported")
+        self.normaliser = Normaliser(model.normalizer_spec)
+        self.prefixed = model.normalizer_spec.add_dummy_prefix
+        self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
+        self.pieces = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
+        self.bytes = [p.piece.encode() if p.type == NORMAL else b"" for p in model.pieces]
+        for byte, i in self.byte_ids.items():
+            self.bytes[i] = bytes([byte])
+        self.joined = {piece[k : k + 2] for piece in self.pieces for k in range(len(piece) - 1)}
+        if trainer.model_type == BPE:
+            self.lexicon, self.grammar = Lexicon(dict.fromkeys(scores, 1.0), 1.0), Agreement(scores)
+        else:
+            worst = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
+            self.lexicon, self.grammar = Lexicon({p: -score for p, score in scores.items()}, -worst), OneState()
+        # runs may be cut by character class only if no piece spans two classes
+        kind = lambda c: "_" if c == MARK else "L" if re.fullmatch(f"[{_LETTERS}]", c) else "N" if c in "0123456789" else "P"
+        plain = [pair for pair in self.joined if _PLAIN.fullmatch(pair)]
+        self.by_class = all(a == b and a != "N" or a == "_" and b in "LP" for a, b in ((kind(p[0]), kind(p[1])) for p in plain))
+        self.cache: dict[str, bytes] = {}
+
+    def normalised(self, text: str) -> str:
+        return self.normaliser(text)
+
     def shortest(self, text: str) -> list[str]:
-        """The pieces on the shortest path for one segment.
-
-        A finite path to a place is the encoding of the text before it, so each place
-        has one: it is relaxed once, and arcs to a place that was reached are skipped.
-        """
-        n, lexicon, ends, weights = len(text), self.lexicon, self.ends, self.weights
-        reached: list[str | None] = [None] * (n + 1)  # the last piece on the path to each place
-        reached[0] = ""
+        """The pieces on the shortest path of one segment through lexicon and grammar."""
+        n, lexicon, grammar, pieces = len(text), self.lexicon, self.grammar, self.pieces
+        arcs, ends, known, unique = lexicon.arcs, lexicon.ends, grammar.weights, grammar.unique
+        # by place: grammar state to (weight so far, state before, piece read)
+        best: list[dict[str, tuple[float, str, str]] | None] = [None] * (n + 1)
+        best[0] = {"": (0.0, "", "")}
         for at in range(n):
-            last = reached[at]
-            if last is None:
-                continue
-            if text[at] not in self.pieces and reached[at + 1] is None and self.weight(last, text[at]) == 0.0:
-                reached[at + 1] = text[at]  # an unknown character, to be read by the byte arcs
-            state = 0
-            for end in range(at, n):
-                state = lexicon[state].get(text[end])
-                if state is None:
-                    break
-                piece = ends[state]
-                if piece is not None and reached[end + 1] is None:
-                    weight = weights.get((last, piece))
-                    if (self.weight(last, piece) if weight is None else weight) == 0.0:
-                        reached[end + 1] = piece
+            for state, (so_far, _, _) in (best[at] or {}).items():
+                found = [] if text[at] in pieces else [(at + 1, text[at], lexicon.unknown)]
+                node = 0
+                for end in range(at, n):
+                    node = arcs[node].get(text[end])
+                    if node is None:
+                        break
+                    if ends[node] is not None and not (unique and best[end + 1]):
+                        found.append((end + 1, *ends[node]))
+                for place, piece, weight in found:
+                    to = best[place]
+                    if unique and to:
+                        continue
+                    more = known.get((state, piece))
+                    if more is None:
+                        more = grammar.weight(state, piece)
+                    if more == _INFINITE:
+                        continue
+                    total, after = so_far + weight + more, piece if unique else ""
+                    if to is None:
+                        best[place] = {after: (total, state, piece)}
+                    elif after not in to or total < to[after][0]:
+                        to[after] = (total, state, piece)
         path, at = [], n
+        state = min(best[n], key=lambda s: best[n][s][0])
         while at:
-            path.append(reached[at])
-            at -= len(path[-1])
+            _, before, piece = best[at][state]
+            path.append(piece)
+            at, state = at - len(piece), before
         return path[::-1]
 
     def segments(self, text: str) -> list[str]:
@@ -164,14 +267,14 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if not text:
+        if not (text := self.normalised(text)):
             return b""
         known, ids = self.cache.get, self._ids
-        return b"".join([known(s) or ids(s) for s in self.segments(self.normalised(text))])
+        return b"".join([known(s) or ids(s) for s in self.segments(text)])
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.prefixed and text.startswith(" ") else text
 
 
 _transducers: dict[str, Transducer] = {}
