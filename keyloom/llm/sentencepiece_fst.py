@@ -125,12 +125,12 @@ class OneState:
 
     unique = False
 
-    def __init__(self):
-        self.weights: dict[tuple[str, str], float] = {}
-
     def weight(self, state: str, piece: str) -> float:
         return 0.0
 
+    def after(self, state: str, piece: str) -> str:
+        return state
+
 
 class Agreement:
     """The grammar of a BPE model: states are the piece read last, "" at a segment's start."""
@@ -166,6 +166,9 @@ class Agreement:
             self.weights[state, piece] = found
         return found
 
+    def after(self, state: str, piece: str) -> str:
+        return piece
+
 
 class Transducer:
     def __init__(self, path: str):
@@ -204,34 +207,58 @@ class Transducer:
 
     def shortest(self, text: str) -> list[str]:
         """The pieces on the shortest path of one segment through lexicon and grammar."""
-        n, lexicon, grammar, pieces = len(text), self.lexicon, self.grammar, self.pieces
-        arcs, ends, known, unique = lexicon.arcs, lexicon.ends, grammar.weights, grammar.unique
+        return self._only(text) if self.grammar.unique else self._least(text)
+
+    def _only(self, text: str) -> list[str]:
+        """As ``_least`` for a grammar that gives each place one finite path: the first that comes is the least."""
+        n, lexicon, grammar = len(text), self.lexicon, self.grammar
+        arcs, ends, known, pieces = lexicon.arcs, lexicon.ends, grammar.weights, self.pieces
+        states: list[str | None] = [None] * (n + 1)  # the grammar's, which is the piece read last
+        weights = [0.0] * (n + 1)
+        states[0] = ""
+        for at in range(n):
+            state = states[at]
+            if state is None:
+                continue
+            char = text[at]
+            if char not in pieces and states[at + 1] is None and (more := grammar.weight(state, char)) < _INFINITE:
+                states[at + 1], weights[at + 1] = char, weights[at] + lexicon.unknown + more
+            node = 0
+            for end in range(at, n):
+                node = arcs[node].get(text[end])
+                if node is None:
+                    break
+                if states[end + 1] is None and (arc := ends[node]) is not None:
+                    more = known.get((state, arc[0]))
+                    if more is None:
+                        more = grammar.weight(state, arc[0])
+                    if more < _INFINITE:
+                        states[end + 1], weights[end + 1] = arc[0], weights[at] + arc[1] + more
+        path, at = [], n
+        while at:
+            path.append(states[at])
+            at -= len(path[-1])
+        return path[::-1]
+
+    def _least(self, text: str) -> list[str]:
+        n, lexicon, grammar = len(text), self.lexicon, self.grammar
         # by place: grammar state to (weight so far, state before, piece read)
-        best: list[dict[str, tuple[float, str, str]] | None] = [None] * (n + 1)
-        best[0] = {"": (0.0, "", "")}
+        best: list[dict[str, tuple[float, str, str]]] = [{} for _ in range(n + 1)]
+        best[0][""] = (0.0, "", "")
         for at in range(n):
-            for state, (so_far, _, _) in (best[at] or {}).items():
-                found = [] if text[at] in pieces else [(at + 1, text[at], lexicon.unknown)]
+            for state, (so_far, _, _) in best[at].items():
+                found = [] if text[at] in self.pieces else [(at + 1, text[at], lexicon.unknown)]
                 node = 0
                 for end in range(at, n):
-                    node = arcs[node].get(text[end])
+                    node = lexicon.arcs[node].get(text[end])
                     if node is None:
                         break
-                    if ends[node] is not None and not (unique and best[end + 1]):
-                        found.append((end + 1, *ends[node]))
+                    if lexicon.ends[node] is not None:
+                        found.append((end + 1, *lexicon.ends[node]))
                 for place, piece, weight in found:
-                    to = best[place]
-                    if unique and to:
-                        continue
-                    more = known.get((state, piece))
-                    if more is None:
-                        more = grammar.weight(state, piece)
-                    if more == _INFINITE:
-                        continue
-                    total, after = so_far + weight + more, piece if unique else ""
-                    if to is None:
-                        best[place] = {after: (total, state, piece)}
-                    elif after not in to or total < to[after][0]:
+                    total = so_far + weight + grammar.weight(state, piece)
+                    after, to = grammar.after(state, piece), best[place]
+                    if total < (to[after][0] if after in to else _INFINITE):
                         to[after] = (total, state, piece)
         path, at = [], n
         state = min(best[n], key=lambda s: best[n][s][0])
