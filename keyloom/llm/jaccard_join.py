@@ -30,8 +30,10 @@ links, exactly. The join works in a metric space, from coarse to fine:
    by more than two thresholds; so sets near a boundary are replicated to the shells
    they can reach, and to no others. The shells are regions again and join
    recursively, with new pivots, as long as that halves the pairs left to look at.
-   Regions that distance doesn't divide (all sets alike far from all) are joined in
-   blocks of core sets against blocks of all.
+   A region that distance doesn't divide (all sets alike far from all, say documents
+   that have one passage in common) is divided by its rarest shared shingles, which
+   leaves out the sets that have too few shingles in common with any other. What
+   neither divides is joined in blocks of core sets against blocks of all.
 4. Each part is joined exactly by an inverted index in one task, which returns a
    spanning forest of its links; components of all forests are the result.
 
@@ -40,10 +42,10 @@ Equal sets are one class from the start, so copies cost nothing. Shingles are
 64-bit hashes within a pair of documents. A word's hash is a sum of random values of
 its bytes and places, so no text is made to collide by its form.
 
-Scale: the text is read twice and moves only to fetch the sets of step 3; regions
-are counted with map-side partial aggregation; hot regions, classes and pivots
+Scale: the text is read three times and moves only to fetch the sets of step 3; regions
+are shuffled once, as pairs of integers that tasks combine before; hot regions, classes and pivots
 are joined as written tables, which AQE splits. No task holds more than a region,
-and no step lists the pairs of a group. Only regions that distance doesn't divide copy
+and no step lists the pairs of a group. Only regions that nothing divides copy
 their sets in proportion to their size. Tables that no result reads are removed.
 
 Defined results: null or word-free text is an empty set, linked with nothing, its
@@ -64,14 +66,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from .components import components, roots
-from .tables import Scratch, map_arrow, read, ship
+from .tables import Scratch, free_shuffles, map_arrow, read, ship
 
 REGION_SETS, REGION_SHINGLES = 512, 2_000_000
 #: A divided region draws four pivots for each REGION_SETS sets, and at most so many.
 PIVOTS = 30
 GROWTH = 1.4
+#: Keys that a task combines at a time (48 MB), and rows of one key that it lets stand.
+CHUNK_KEYS, LOCAL = 2_000_000, 4
 
 U = np.uint64
 _ODD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -95,6 +100,8 @@ class Rule:
     #: Only for speed: how far a band reaches, and hundredths of the differing shingles by which cells are spared.
     growth: float = GROWTH
     spare: int = 2
+    #: Also for speed: the regions are found in so many phases, each with its share of the keys on disk.
+    phases: int = 1
 
     @property
     def threshold(self) -> float:
@@ -226,26 +233,70 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, c1, c2 (the class of equal sets) and the keys of the regions, per row (doc_id, text)."""
+    """doc_id, n, c1, c2 (the class of equal sets) per row (doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = _bands(1 << 20, rule.growth)
         for batch in batches:
             for part, texts in _slices(batch, 1):
                 sets = shingle_sets(texts, rule.words)
-                while max(map(len, sets)) >= bands[-2]:
-                    bands = _bands(int(bands[-1]) * 4, rule.growth)
                 classes = [set_identity(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), _lists([region_keys(s, rule, bands) for s in sets])],
-                    ["doc_id", "n", "c1", "c2", "keys"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64())],
+                    ["doc_id", "n", "c1", "c2"],
                 )
 
     rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = rows.select("doc_id").schema.add("n", "long").add("c1", "long").add("c2", "long").add("keys", T.ArrayType(T.LongType()))
+    schema = rows.select("doc_id").schema.add("n", "long").add("c1", "long").add("c2", "long")
     return map_arrow(rows, make, schema)
 
 
+def _spread(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, node) rows that connect the same nodes, with at most LOCAL rows a key: the others of a
+    larger group are each connected to its first node by a key of their own."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
+    fresh = new_key | np.concatenate([[True], nodes[1:] != nodes[:-1]])
+    keys, nodes, new_key = keys[fresh], nodes[fresh], new_key[fresh]
+    start = np.flatnonzero(new_key)
+    sizes = np.diff(np.append(start, len(keys)))
+    first = np.repeat(nodes[start], sizes)
+    beyond = np.arange(len(keys)) - np.repeat(start, sizes) >= LOCAL
+    own = _mixed(keys[beyond] + _mixed(nodes[beyond], 701), 702)
+    return np.concatenate([keys[~beyond], own, own]), np.concatenate([nodes[~beyond], first[beyond], nodes[beyond]])
+
+
+def region_rows(docs: DataFrame, rule: Rule, phase: int = 0) -> DataFrame:
+    """(key, node): the regions that each text's set enters; a node is the first half of the set's identity.
+
+    Every key belongs to one of the rule's phases. Rows go straight into a shuffle and are written nowhere. Each task combines CHUNK_KEYS of
+    them at a time, so a region of a third of all sets has a few rows a chunk.
+    """
+
+    def combined(keys: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        if any(map(len, keys)):
+            found = _spread(np.concatenate(keys), np.repeat(np.array(nodes, np.int64).view(U), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], ["key", "node"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, keys, nodes, held = _bands(1 << 20, rule.growth), [], [], 0
+        for batch in batches:
+            for _, texts in _slices(batch, 0):
+                for found in shingle_sets(texts, rule.words):
+                    while len(found) >= bands[-2]:
+                        bands = _bands(int(bands[-1]) * 4, rule.growth)
+                    own = region_keys(found, rule, bands)
+                    keys.append(own[own % U(rule.phases) == phase] if rule.phases > 1 else own)
+                    nodes.append(set_identity(found)[0])
+                    held += len(keys[-1])
+                    if held >= CHUNK_KEYS:
+                        yield from combined(keys, nodes)
+                        keys, nodes, held = [], [], 0
+        yield from combined(keys, nodes)
+
+    return map_arrow(docs.select(F.col("text").cast("binary").alias("text")), make, "key bigint, node bigint")
+
+
 def _with_sets(rows: DataFrame, rule: Rule) -> DataFrame:
     """Rows (node, n, c1, c2, text) as (node, shingles), where the text has that class."""
 
@@ -400,13 +451,13 @@ def _main_sets(measured: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def _divided(members: DataFrame, large: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch, level: int, most_sets: int, most_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Large regions of the members: (members of the next level's regions, parts of those that distance doesn't divide, edges)."""
+    """Large regions of the members: (members of the next level's regions, parts of those that nothing divides, edges)."""
     fill = f"greatest(sets / {most_sets}, weight / {most_shingles})"
-    large = large.select("region", "sets", "others", F.expr(f"CAST(greatest(1, ceil({fill})) AS bigint)").alias("buckets"), F.expr(f"CAST(greatest(2, least({PIVOTS}, ceil(4 * {fill}), floor({most_shingles} * sets / weight))) AS bigint)").alias("pivots"))
-    drawn = members.where(F.col("role") == CORE).join(large, "region").groupBy("region", "buckets", F.pmod(F.xxhash64("node", F.lit(level)), F.col("pivots")).alias("slot")).agg(F.min("node").alias("node"))
+    large = large.select("region", "sets", "others", "tried", F.expr(f"CAST(greatest(1, ceil({fill})) AS bigint)").alias("buckets"), F.expr(f"CAST(greatest(2, least({PIVOTS}, ceil(4 * {fill}), floor({most_shingles} * sets / weight))) AS bigint)").alias("pivots"))
+    drawn = members.drop("tried").where(F.col("role") == CORE).join(large, "region").groupBy("region", "buckets", F.pmod(F.xxhash64("node", F.lit(level)), F.col("pivots")).alias("slot")).agg(F.min("node").alias("node"))
     drawn = drawn.select("region", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("buckets") - 1)).alias("bucket"))
     bucket = F.pmod(F.xxhash64("node", F.lit(7)), F.col("buckets")).alias("bucket")
-    every = members.join(large, "region").select("region", bucket, "node", "weight", "role", "label")
+    every = members.drop("tried").join(large, "region").select("region", bucket, "node", "weight", "role", "label")
     measured = scratch.cut(_against_pivots(every.join(sets, "node"), drawn.join(sets, "node"), rule), "measured")
     edges = measured.select(F.explode("ties").alias("a"), F.col("node").alias("b"))
 
@@ -425,12 +476,15 @@ def _divided(members: DataFrame, large: DataFrame, sets: DataFrame, rule: Rule,
     work = reached.groupBy("region", "cell").agg(F.count("*").alias("sets"), F.sum((F.col("role") == CORE).cast("bigint")).alias("cores"))
     work = work.groupBy("region").agg(F.sum("cores").alias("cores"), F.sum(F.col("cores").cast("double") * F.col("sets")).alias("work"))
     # a region goes on only if the pairs left to look at are halved, so levels end
-    plan = scratch.cut(work.join(large.select("region", "sets"), "region").select("region", "cores", (2 * F.col("work") <= F.col("cores").cast("double") * F.col("sets")).alias("divides")), "divides")
-    onward = reached.join(plan.where("divides").select("region"), "region").select(F.xxhash64("region", "cell").alias("region"), "node", "weight", "role", "label")
+    plan = scratch.cut(work.join(large.select("region", "sets", "tried"), "region").select("region", "tried", (2 * F.col("work") <= F.col("cores").cast("double") * F.col("sets")).alias("divides")), "divides")
+    onward = reached.join(plan.where("divides").select("region", "tried"), "region").select(F.xxhash64("region", "cell").alias("region"), "node", "weight", "role", "label", "tried")
+    if plan.where("NOT divides AND NOT tried").head(1):
+        rest = state.join(plan.where("NOT divides AND NOT tried").select("region"), "region").select("region", "node", "weight", "role", "label")
+        onward = onward.unionByName(_by_rare(rest, sets, rule, scratch).withColumn("tried", F.lit(True)))
 
     half = max(1, most_sets // 2)
     blocks = lambda n, w: F.greatest(F.lit(1).cast("bigint"), F.ceil(n / half), F.least(n, F.ceil(2 * w / most_shingles)))
-    whole = state.join(plan.where("NOT divides").select("region"), "region")
+    whole = state.join(plan.where("NOT divides AND tried").select("region"), "region")
     is_core = F.col("role") == CORE
     sized = whole.groupBy("region").agg(*(x.alias(a) for x, a in ((F.count("*"), "n"), (F.sum("weight"), "w"), (F.sum(is_core.cast("bigint")), "cn"), (F.sum(F.when(is_core, F.col("weight")).otherwise(0)), "cw"))))
     sized = sized.select("region", blocks(F.col("cn"), F.col("cw")).alias("xs"), blocks(F.col("n"), F.col("w")).alias("ys"))
@@ -442,6 +496,29 @@ def _divided(members: DataFrame, large: DataFrame, sets: DataFrame, rule: Rule,
     return onward, seek.unionByName(rest).groupBy("region", "node", "label").agg(F.max("core").alias("core")), edges
 
 
+def _by_rare(whole: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Members (region, node, weight, role, label) of regions that distance doesn't divide, as members of smaller regions.
+
+    Linked sets have at least ``num / den`` of either's shingles in common. So a set of which fewer occur in other sets of
+    the region has no link here, and of the others' such shingles, in the order of (sets of the region that hold
+    them, shingle), the first few must hold one that the two share: the first common one comes before all the rest.
+    Sets that share one of those are connected, and each component is a region.
+    """
+    tokens = whole.select("region", "node", "weight").join(sets, "node").select("region", "node", "weight", F.explode("shingles").alias("shingle"))
+    counts = tokens.groupBy("region", "shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    counts = scratch.cut(counts, "shared-shingles")
+    needed = F.ceil(F.col("weight") * rule.num / rule.den)
+    held = tokens.join(counts, ["region", "shingle"]).groupBy("region", "node", "weight").agg(F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("held"))
+    held = held.withColumn("first", (F.size("held") - needed + 1).cast("int")).where("first > 0")
+    keys = held.select("region", F.xxhash64("region", "node").alias("member"), "node", F.explode(F.slice("held", 1, F.col("first"))).alias("one"))
+    keys = scratch.cut(keys.select("region", "member", "node", F.col("one.shingle").alias("shingle")), "rare-shingles")
+    star = keys.groupBy("region", "shingle").agg(F.min("member").alias("a"))
+    edges = keys.join(star, ["region", "shingle"]).select("a", F.col("member").alias("b"))
+    found = components(edges, scratch, "rare").select(F.col("node").alias("member"), "component")
+    placed = whole.withColumn("member", F.xxhash64("region", "node")).join(found, "member")
+    return placed.select(F.xxhash64("region", "component").alias("region"), "node", "weight", "role", "label")
+
+
 def region_links(sets: DataFrame, rule: Rule, scratch: Scratch, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Edges (a, b) that span the links within each region of the written table sets (region, node, shingles; a node in one region)."""
 
@@ -451,12 +528,11 @@ def region_links(sets: DataFrame, rule: Rule, scratch: Scratch, region_sets: int
         return pa.table({"a": pa.array([int(nodes[x]) for x, _ in forest], pa.int64()), "b": pa.array([int(nodes[y]) for _, y in forest], pa.int64())})
 
     ship(sets.sparkSession)
-    shingles = sets.select("node", "shingles")
-    members = sets.select("region", "node", F.size("shingles").cast("bigint").alias("weight"), F.lit(CORE).alias("role"), F.col("node").alias("label"))
+    members = sets.select("region", "node", F.size("shingles").cast("bigint").alias("weight"), F.lit(CORE).alias("role"), F.col("node").alias("label"), F.lit(False).alias("tried"))
     edges, parts, level = [], [], 0
     while True:
         core, other = ((F.col("role") == r).cast("bigint") for r in (CORE, OTHER))
-        sizes = members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("weight").alias("weight"), F.sum(core).alias("cores"), F.sum(other).alias("others")).where("sets > 1 AND cores > 0")
+        sizes = members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("weight").alias("weight"), F.sum(core).alias("cores"), F.sum(other).alias("others"), F.max("tried").alias("tried")).where("sets > 1 AND cores > 0")
         large = F.expr(f"sets > 2 AND (sets > {region_sets} OR weight > {region_shingles})")
         sizes = scratch.cut(sizes.withColumn("large", large), "region-sizes")
         small = sizes.where("NOT large").select("region")
@@ -467,6 +543,8 @@ def region_links(sets: DataFrame, rule: Rule, scratch: Scratch, region_sets: int
             parts.append(members.join(small, "region").select("region", "node", "label", (F.col("role") == CORE).alias("core")))
         if not sizes.where("large").head(1):
             break
+        if level == 0:  # all that follows is about these sets
+            shingles = scratch.cut(sets.join(sizes.where("large").select("region"), "region").select("node", "shingles"), "large-sets")
         onward, blocks, found = _divided(members, sizes.where("large"), shingles, rule, scratch, level, region_sets, region_shingles)
         members = scratch.cut(onward, "members")
         edges.append(found)
@@ -487,22 +565,26 @@ def near_components(docs: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_c
     """Per row: doc_id, n_shingles and component_id. See the module for defined results."""
     docs, before = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scratch.written
     rows = scratch.cut(features(docs, rule).withColumn("rid", F.monotonically_increasing_id()), "features")
-    classes = rows.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least_id"))
+    classes = rows.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("rid").alias("node"), F.min_by("doc_id", "rid").alias("own_id"), F.min("doc_id").alias("least_id"))
     classes = scratch.cut(classes, "classes")
 
-    entered = rows.select("rid", F.col("doc_id").alias("own_id"), "n", "c1", "c2", "keys").join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi")
-    entered = entered.select(F.col("rid").alias("node"), F.explode("keys").alias("key"))
-    shared = entered.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first")
-    shared = scratch.cut(shared, "shared-regions")
-    stars = entered.join(shared, "key").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first = F.min("node").over(Window.partitionBy("key"))
+    stars = None
+    for phase in range(rule.phases):
+        found = region_rows(docs, rule, phase).withColumn("first", first).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        if rule.phases > 1:
+            found = scratch.cut(found.distinct(), "stars")
+            free_shuffles(docs.sparkSession)
+        stars = found if stars is None else stars.unionByName(found)
     near = components(stars, scratch, "neighbourhoods")
 
-    wanted = rows.select("rid", F.col("doc_id").alias("own_id"), "n", "c1", "c2").join(near, F.col("rid") == F.col("node"))
-    wanted = scratch.cut(wanted.select("own_id", "node", "n", "c1", "c2"), "wanted-sets")
+    # two sets with one first half would share a neighbourhood, which is no link yet
+    wanted = classes.join(near.select(F.col("node").alias("c1"), "component"), "c1")
+    wanted = scratch.cut(wanted.select("own_id", "node", "n", "c1", "c2", "component"), "wanted-sets")
     # as many rows as there are sets with a neighbour: no bound, so never a broadcast
     texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["own_id"])).select("node", "n", "c1", "c2", F.col("text").cast("binary").alias("text"))
     sets = _with_sets(texts, rule).dropDuplicates(["node"])
-    sets = scratch.cut(sets.join(near, "node").select(F.col("component").alias("region"), "node", "shingles"), "sets")
+    sets = scratch.cut(sets.join(wanted.select("node", "component"), "node").select(F.col("component").alias("region"), "node", "shingles"), "sets")
 
     found = components(region_links(sets, rule, scratch, **limits), scratch, "links")
     linked = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

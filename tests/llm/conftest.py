@@ -2,7 +2,7 @@ import pytest
 
 from keyloom.llm.tables import Scratch
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, name string, node long, region long, pos int, kept boolean, h long"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, name string, node long, region long, pos int, kept boolean, h long, m string, _row long, _toxicity double, row string, doc int, gone long, rid long, id long, `a.b` string, live string"
 
 
 @pytest.fixture(scope="session")
@@ -21,7 +21,7 @@ def documents(spark):
         (13, "0123456789abcdef" * 3), (14, "token: short"), (2, "an id that occurs again"), (15, "Released under the MIT License.\nmore"), (16, "don't <|endoftext|> ½ 漢字 😀"),
         (17, " ".join(f"t{i}" for i in range(40))), (18, " ".join(f"t{i}" for i in range(41))), (19, " ".join(f"T{i}" for i in range(1, 41))), (20, "a b c a b c a b c"),
     ]
-    rows = [(i, t, None if i == 9 else "en", None if i == 10 else f"src{(i or 0) % 3}", None if t is None else len(t), 0.5, "n", 1, 2, 3, False, 4) for i, t in texts]
+    rows = [(i, t, None if i == 9 else "en", None if i == 10 else f"src{(i or 0) % 3}", None if t is None else len(t), 0.5, "n", 1, 2, 3, False, 4, "m", 5, 0.1, "r", 6, 7, 8, 9, "dot", "l") for i, t in texts]
     return spark.createDataFrame(rows, ODD).repartition(3)
 
 

@@ -150,6 +150,36 @@ def test_region_that_distance_does_not_divide(spark, scratch):
     assert all(100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y]) for x, y in found)
 
 
+def test_region_of_a_shared_passage(spark, scratch):
+    """Unrelated sets with one passage in common, and a few near copies among them: divided by rare shingles, not joined in blocks."""
+    import random
+
+    rng, n = random.Random(6), 600
+    passage = set(range(40))
+    sets = [passage | set(rng.sample(range(1000, 10**7), 150)) for _ in range(n)]
+    for x in range(0, n, 60):
+        sets[x + 1] = set(sorted(sets[x])[3:]) | set(rng.sample(range(10**7, 2 * 10**7), 5))
+    df = scratch.cut(spark.createDataFrame([(1, x, sorted(s)) for x, s in enumerate(sets)], "region long, node long, shingles array<long>"), "passage")
+    for rule in (J.Rule(), J.Rule(words=5, num=80)):
+        before = scratch.written
+        found = {tuple(sorted(r)) for r in J.region_links(df, rule, scratch, region_sets=40).collect()}
+        assert found == {(x, x + 1) for x in range(0, n, 60)} == {(y, x) for x, y in links(sets, rule)}
+        kept = [t for t in scratch._tables[before:] if id(t) in scratch._paths and "members" in scratch.path(t)]
+        assert kept[0].count() <= 40
+
+
+@pytest.mark.parametrize("phases", [1, 3])
+def test_phases(spark, scratch, phases):
+    import random
+
+    docs = clusters(random.Random(3), 5, 12, 60, (0, 1, 2, 4, 9))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rule = J.Rule(words=5, num=80, growth=1.1, spare=64, phases=phases)
+    sets = [shingles(t, 5) for _, t in docs]
+    want = partition(len(docs), links(sets, rule))
+    assert {r.doc_id: r.component_id for r in J.near_components(df, scratch, rule).collect()} == dict(enumerate(want))
+
+
 def test_words_made_to_collide(spark, scratch):
     """A Thue-Morse word and its complement have equal hashes under any polynomial modulo 2^64."""
     word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
@@ -214,3 +244,21 @@ def test_components(spark, scratch):
         by_found[c].add(x)
         by_want[find(x)].add(x)
     assert sorted(map(sorted, by_found.values())) == sorted(map(sorted, by_want.values()))
+
+
+def test_block_names_do_not_depend_on_partitions(documents, scratch, spark):
+    """The same names whatever the partitions: places in one order of all distinct blocks and pairs."""
+    def names(df, parts, **how):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            return collections.Counter((r.doc_id, bytes(r.sha), r.level, r.name) for r in E.identities(df.repartition(parts), scratch, block_chars=40, **how).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+    some = documents.where("length(text) < 1000 OR text IS NULL")
+    one = names(some, 1)
+    assert one == names(some, 5)
+    shared = {"block_hash": lambda c: F.pmod(F.xxhash64(c), F.lit(3))}
+    assert names(some, 1, **shared) == names(some, 3, **shared)
+    level0 = sorted({n for _, _, level, n in one if level == 0})
+    assert level0 and level0[0] >= 0 and level0[-1] < sum(-(-max(1, len(t or "")) // 40) for _, t in pairs(some))

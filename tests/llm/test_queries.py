@@ -38,13 +38,14 @@ def test_stages(spark, documents, none, tmp_path):
         docs = start
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
             before = collections.Counter(r.doc_id for r in docs.select("doc_id").collect())
+            others = {(r.doc_id, *r[5:]) for r in docs.collect()} if name != "packing" else set()
             out = stage(spark, docs, DATA)
             out.write.parquet(path := f"file://{tmp_path}/{start is none}-{k}")
             columns, docs = docs.columns, spark.read.parquet(path)
             after = collections.Counter(r.doc_id for r in docs.select("doc_id").collect())
             assert set(after) <= set(before)
             if name != "packing":
-                assert docs.columns == columns
+                assert docs.columns == columns and {(r.doc_id, *r[5:]) for r in docs.collect()} <= others
             if start is none:
                 assert not after
             elif name == "exact_dedup":

@@ -47,6 +47,28 @@ def test_packing_windows(none):
         packing.packed(none, packing.tokenizer_path(), window=1000)
 
 
+def test_packing_buckets(documents, scratch):
+    """Written by length and read again: the same pieces, a folder for each power of two."""
+    pieces = packing.packed(documents, packing.tokenizer_path())
+    back = packing.bucketed(pieces, scratch)
+    same = [c for c in pieces.columns if c != "sequence_id"]
+    assert back.dtypes == pieces.dtypes and count(back.select(*same)) == count(pieces.select(*same))
+    assert len({r[0] for r in back.select("sequence_id").collect()}) == pieces.count()
+    path = scratch.path(scratch._tables[-1]).removeprefix("file://")
+    assert {p for p in __import__("os").listdir(path) if p.startswith("length=")} == {f"length={r[0]}" for r in pieces.select("length").distinct().collect()}
+
+
+def test_other_tokenizers_get_whole_texts(documents):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    assert packing.cuts(packing.tokenizer_path()) and not packing.cuts(path)
+    tokenizer = Tokenizer.from_file(path)
+    want = collections.Counter((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in set(pairs(documents)))
+    got = collections.Counter({(r.doc_id, r.doc_tokens) for r in packing.packed(documents, path).collect()})
+    assert got == want
+
+
 def test_packing_parts(monkeypatch):
     monkeypatch.setattr(packing, "PART_CHARS", 10)
     text = "one two  three\nfour five-and-more six"
@@ -85,6 +107,86 @@ def test_sentencepiece_agrees_on_random_text():
         assert ids.tolist() == model.encode(text), text
         assert fst.decode(ids) == text
     assert fst.shortest("▁hello") == model.encode("hello", out_type=str)
+    for text in ("▁hello", "▁unrelated", "▁xyzzy", "漢é", "▁▁▁", "abcabcabc"):  # the general search finds the only path too
+        assert fst._least(text) == fst._only(text) == fst.shortest(text)
+
+
+def made_model(path, kind, scores, change=lambda m: None):
+    """A model file with the given pieces, bytes and special pieces; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    for text, score, type_ in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{b:02X}>", 0, 6) for b in range(256)), *((p, s, 1) for p, s in scores.items())]:
+        m.pieces.add(piece=text, score=score, type=type_)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = kind, True, len(m.pieces)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, False
+    change(m)
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+MADE = ["▁", *"abcdé", "▁a", "ab", "abc", "bc", "cd", "▁ab", "de", "▁▁", "éa", "bcd", "aa", "aaa"]
+
+
+@pytest.mark.parametrize("kind", [sentencepiece_fst.UNIGRAM, sentencepiece_fst.BPE])
+@pytest.mark.parametrize(("prefix", "remove"), [(True, False), (True, True), (False, False), (False, True)])
+def test_machines_of_other_models(tmp_path, kind, prefix, remove):
+    """Ids of BPE models equal the library's; those of unigram models do up to paths of equal weight."""
+    import random
+
+    from sentencepiece import SentencePieceProcessor
+
+    rng = random.Random(4)
+    scores = {p: -rng.uniform(1, 9) for p in MADE}
+
+    def change(m):
+        m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = prefix, remove
+
+    path = made_model(tmp_path / "m.model", kind, scores, change)
+    model, fst = SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducer(path)
+    weight = lambda ids: round(sum(model.get_score(int(i)) for i in ids), 3)
+    different = 0
+    for _ in range(1500):
+        text = "".join(rng.choice("aabbccddé x漢  ") for _ in range(rng.randint(0, 14)))
+        ids, want = np.frombuffer(fst.encode(text), "<i4").tolist(), model.encode(text)
+        different += ids != want
+        assert ids == want or kind == sentencepiece_fst.UNIGRAM and weight(ids) == weight(want), text
+        assert fst.decode(np.array(ids, np.int64)) == model.decode(ids)
+    assert different < 30
+
+
+def test_least_of_all_paths(tmp_path):
+    """The shortest path of a unigram model against all segmentations."""
+    import random
+
+    rng = random.Random(5)
+    scores = {p: -rng.uniform(1, 9) for p in MADE}
+    fst = sentencepiece_fst.Transducer(made_model(tmp_path / "u.model", sentencepiece_fst.UNIGRAM, scores))
+
+    def least(text):
+        return min((least(text[len(p) :]) - scores[p] for p in scores if text.startswith(p)), default=0.0 if not text else float("inf"))
+
+    for _ in range(300):
+        text = "".join(rng.choice("aabbccdé▁") for _ in range(rng.randint(1, 9)))
+        assert abs(sum(-scores[p] for p in fst.shortest(text)) - least(text)) < 1e-4
+
+
+def test_models_that_need_more_are_refused(tmp_path):
+    def spec(**values):
+        return lambda m: [setattr(m.normalizer_spec, k, v) for k, v in values.items()]
+
+    def user(m):
+        m.pieces.add(piece="<mine>", score=0, type=4)
+
+    def suffix(m):
+        m.trainer_spec.treat_whitespace_as_suffix = True
+
+    scores = dict.fromkeys(MADE, -1.0)
+    for change in (spec(precompiled_charsmap=b"x"), spec(escape_whitespaces=False), user, suffix, lambda m: m.pieces.pop(3)):
+        with pytest.raises(ValueError):
+            sentencepiece_fst.Transducer(made_model(tmp_path / "r.model", sentencepiece_fst.BPE, scores, change))
+    with pytest.raises(ValueError):
+        sentencepiece_fst.Transducer(made_model(tmp_path / "r.model", 3, scores))
 
 
 # ---- classifiers
@@ -168,26 +270,58 @@ def test_secret_spans(documents, none, scratch, spark):
 
 def test_secret_verdicts(spark, scratch):
     shared, own = "abcdefgh12345678", "zyxwvuts87654321"
-    docs = spark.createDataFrame([(i, f"token = {shared}", f"o{i}") for i in range(4)] + [(9, f"x token={own} {own}", "o9"), (10, "token=weakword", "o9")], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(i, f"token = {shared}", f"o{i}") for i in range(4)] + [(9, f"x token={own} {own}", "o9"), (10, "token=weakword", "o9"), (11, "token=changeme", "o9"), (12, "token=%%%%, token=zzzzzzzzz", "o9")], "doc_id long, text string, source string")
     got = {r.doc_id: r.spans for r in secret_scan.secret_scan(docs, scratch, owner=F.col("source")).select("doc_id", secret_scan._written(F.col("spans")).alias("spans")).collect()}
-    assert got[0] == "assign:0:24,example:8:24" and got[9] == "assign:2:24,live:8:24" and got[10] == "assign:0:14"
-    clean = {r.doc_id: r.text for r in secret_scan.redacted(docs, scratch, docs.columns, F.col("source"), F.lit("r"), mask="#").collect()}
-    assert clean[9] == f"x token=# {own}" and clean[0] == f"token = {shared}" and len(clean) == 6
+    assert got[0] == "assign:0:24,example:8:24" and got[9] == "assign:2:24,live:8:24"
+    assert got[10] == "assign:0:14,live:6:14" and got[11] == "assign:0:14" and got[12] == "assign:12:27"
+    clean = {r.doc_id: r.text for r in secret_scan.redacted(docs, scratch, F.col("source"), F.lit("r"), mask="#").collect()}
+    assert clean[9] == f"x token=# {own}" and clean[0] == f"token = {shared}" and len(clean) == 8
+
+
+def test_secrets_of_two_owners_count_repositories(spark, scratch):
+    """Two owners in six repositories make an example; in five, or one owner in any number, they don't."""
+    wide, few, own = "a1" * 10, "b2" * 10, "c3" * 10
+    rows = [(i, f"token={wide} token={own}", f"o{i % 2}", f"r{i}") for i in range(6)]
+    rows = [(i, t if o == "o0" else t.replace(own, few), o, r) for i, t, o, r in rows] + [(9, f"token={few}", "o0", "r0"), (10, f"token={few}", "o0", "r0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs, scratch, owner=F.col("owner"), repo=F.col("repo")).select("*", secret_scan._written(F.col("spans")).alias("written")).collect()}
+    assert all(got[i].written == "assign:0:26,example:6:26,assign:27:53,live:33:53" for i in range(6))
+    assert got[9].written == "assign:0:26,live:6:26" and (got[9].most_owners, got[9].most_repos) == (2, 4) and (got[0].most_owners, got[0].most_repos) == (2, 6)
 
 
 # ---- licences
 
-def test_licenses(documents, none, spark):
+def test_licenses(documents, none, spark, scratch):
     known = license_scan.known(spark)
-    got = {r.doc_id: r for r in license_scan.license_scan(documents, known).collect()}
+    got = {r.doc_id: r for r in license_scan.license_scan(documents, known, scratch).collect()}
     assert got[15].licenses == "MIT" and got[15].n_notices == 1 and got[15].whole_license is None and got[3].licenses == ""
-    assert license_scan.license_scan(none, known).collect() == []
+    assert license_scan.license_scan(documents, known, scratch).count() == documents.count()
+    assert license_scan.license_scan(none, known, scratch).collect() == []
     text = "The MIT Licence (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + license_scan._MIT.upper().replace(", ", " ,\t")
     one = spark.createDataFrame([(1, text), (2, "licensed under the Apache Licence, Version 2.0!"), (3, text + " not")], "doc_id long, text string")
-    got = {r.doc_id: r.whole_license for r in license_scan.license_scan(one, known).collect()}
+    got = {r.doc_id: r.whole_license for r in license_scan.license_scan(one, known, scratch).collect()}
     assert got == {1: "MIT", 2: "Apache-2.0", 3: None}
 
 
+def test_wrapped_licenses(spark, scratch):
+    """Every built-in text, wrapped at any width, commented out, under several kinds of copyright lines."""
+    import textwrap
+
+    heads = ("Copyright (c) 2020 Somebody", "copyright 2019, 2020 by A and B. All rights reserved.", "(C) 2021 X", "© Y", "Copyright <year> <holder>", "Copyright: Z")
+    docs = []
+    for name, text in license_scan.TEXTS:
+        for k, width in enumerate((40, 60, 66, 70, 72, 76, 78, 79, 80, 81, 100, 10_000)):
+            paragraphs = ["\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in text.split("\n\n")]
+            body = "\n\n".join([heads[k % len(heads)], *paragraphs])
+            docs.append((name, body if k % 2 else "\n".join(f" * {line}" for line in body.split("\n"))))
+    df = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(docs)], "doc_id int, name string, text string")
+    got = license_scan.license_scan(df, license_scan.known(spark), scratch, keep=("doc_id", "name")).collect()
+    wrong = [(r.name, docs[r.doc_id][1][:200]) for r in got if r.whole_license != r.name]
+    assert not wrong, wrong[:3]
+    near = spark.createDataFrame([(1, docs[5][1] + " not"), (2, docs[5][1].replace("software", "hardware"))], "doc_id int, text string")
+    assert [r.whole_license for r in license_scan.license_scan(near, license_scan.known(spark), scratch).collect()] == [None, None]
+
+
 # ---- brute force of the classifiers
 
 def quality_by_loops(model, text):
