@@ -41,4 +41,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, usable: Colum
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", spread(F.col("text"), max_chars).alias("text"))
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
+    found = rows.select("doc_id", "text", "label").toArrow().sort_by("doc_id")
+    return list(zip(found.column("text").to_pylist(), found.column("label").to_pylist(), strict=True))

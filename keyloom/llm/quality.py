@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .labelled import fold, training_rows
-from .tables import map_arrow, read
+from .tables import give_back, map_arrow, read
 
 WIDTH, FILTERS, BLOCK = 4, 16, 256  # a chunk is two neighbouring blocks of places
 TRAIN_ROWS = {0: 1500, 1: 2500}
@@ -201,7 +201,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def trained(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "quality", limits: dict[int, int] = TRAIN_ROWS) -> Model:
-    return fit(training_rows(docs, labels, target, usable, limits, TRAIN_CHARS))
+    model = fit(training_rows(docs, labels, target, usable, limits, TRAIN_CHARS))
+    give_back()
+    return model
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,8 +52,8 @@ def ship(spark: SparkSession) -> None:
     context._keyloom_shipped = True
 
 
-def _give_back() -> None:
-    """Returns freed memory of this worker process, which later stages use again, to the system."""
+def give_back() -> None:
+    """Returns freed memory of this process, a worker that later stages use again or the driver, to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
         ctypes.CDLL(None).malloc_trim(0)
@@ -73,7 +73,7 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
 
     def run(batches):
         yield from function(batches)
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -99,7 +99,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
-        self._tables: list[DataFrame] = []
+        self._tables: list[DataFrame | None] = []  # dropped ones are let go of
 
     def cut(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = f"{self.root}/{len(self._tables) + 1:03d}-{name}"
@@ -115,14 +115,15 @@ class Scratch:
     def drop_since(self, number: int, *kept: DataFrame) -> None:
         """Removes what was written after the table of that number (see ``written``), but for the kept."""
         stay = {id(t) for t in kept}
-        self.drop(*(t for t in self._tables[number:] if id(t) in self._paths and id(t) not in stay))
+        self.drop(*(t for t in self._tables[number:] if t is not None and id(t) in self._paths and id(t) not in stay))
 
     @property
     def written(self) -> int:
         return len(self._tables)
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
+        jvm, gone = self.spark._jvm, {id(t) for t in tables}
+        self._tables = [None if id(t) in gone else t for t in self._tables]
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(table)))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .labelled import fold, training_rows
-from .tables import map_arrow, read
+from .tables import give_back, map_arrow, read
 
 LENGTHS = (3, 4, 5, 6)
 BUCKET_BITS = 22
@@ -78,10 +78,9 @@ def fit(rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.1, decay:
     if not 0 < ones < n:
         share = ones / (n + 1)
         return Model(nothing.astype(np.uint32), nothing, float(np.log(share / (1 - share))) if share else -30.0)
-    sets = [buckets(text) for text, _ in rows]
     counts = np.zeros((2, 1 << BUCKET_BITS), np.float32)
-    for found, label in zip(sets, y.astype(int), strict=True):
-        counts[label, found] += 1
+    for text, label in rows:
+        counts[label, buckets(text)] += 1
     ratio = np.log((counts[1] + 1) / (ones + 2)) - np.log((counts[0] + 1) / (n - ones + 2))
     kept = np.flatnonzero((np.abs(ratio) >= LEAST_RATIO) & (counts.sum(0) >= LEAST_TEXTS)).astype(np.uint32)
     scale = ratio[kept].astype(np.float64)
@@ -89,7 +88,9 @@ def fit(rows: list[tuple[str, int]], steps: int = 300, rate: float = 0.1, decay:
         return Model(kept, scale, float(np.log(ones / (n - ones))))
     place = np.full(1 << BUCKET_BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    columns = [c[c >= 0] for c in (place[s] for s in sets)]
+    # hashed again rather than kept: of all buckets of the sample only a few are
+    columns = [c[c >= 0] for c in (place[buckets(text)] for text, _ in rows)]
+    del counts, ratio, place
     row = np.repeat(np.arange(n), [len(c) for c in columns])
     column = np.concatenate(columns)
     value = scale[column]
@@ -166,7 +167,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def trained(docs: DataFrame, labels: DataFrame, usable: Column, target: str = "toxic", limits: dict[int, int] = TRAIN_ROWS) -> Model:
-    return fit(training_rows(docs, labels, target, usable, limits, TRAIN_CHARS))
+    model = fit(training_rows(docs, labels, target, usable, limits, TRAIN_CHARS))
+    give_back()
+    return model
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
