@@ -16,18 +16,22 @@ from keyloom.llm.labelled import fold
 from keyloom.llm.tables import Scratch, read
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, so that whatever its columns are called, none of them clashes with a stage's own."""
+    return docs.select(F.struct("*").alias("row"))
+
 
 def _without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents whose doc_id isn't among the ids."""
-    gone = scratch.cut(ids.select(F.col("doc_id").alias("_gone")).distinct(), "dropped-ids")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(*docs.columns)
+    gone = scratch.cut(ids.select(F.col("doc_id").alias("gone")).distinct(), "dropped-ids")
+    return _rows(docs).join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold. Rows pass through the scorer whole, without a join."""
     model = toxicity.trained(docs, read(spark, sf_dir, "labels"), fold(F.col("doc_id"), toxicity.FOLDS) != toxicity.HELD_OUT)
-    scored = toxicity.scored(docs, model, keep=tuple(docs.columns), score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.scored(_rows(docs).withColumn("text", F.col("row.text")), model, keep=("row",))
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +48,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     single = _without(docs, by_id.where("rows > 1 OR NOT kept"), scratch)
     if again.isEmpty():
         return single
-    kept = scratch.cut(verdict.where("kept").join(again.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), "repeated-ids")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (digest == kept["_sha"])).dropDuplicates(["_id", "_sha"])
-    return single.unionByName(rows.select(*docs.columns))
+    kept = scratch.cut(verdict.where("kept").join(again.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), "repeated-ids")
+    kept = kept.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    digest = F.sha2(exact_dedup.normalised(F.col("row.text")), 256)
+    rows = _rows(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & (digest == F.col("sha"))).dropDuplicates(["id", "sha"])
+    return single.unionByName(rows.select("row.*"))
 
 
 #: Near copies of the corpus; the query op5_jaccard_join has a contract of its own (three words, 0.9).
-#: With few shingles a cell, many cells are weak: more spare ones and narrow bands keep keys in proportion to shingles.
-NEAR = jaccard_join.Rule(words=5, num=80, den=100, growth=1.1, spare=64)
+#: With few shingles a cell, many cells are weak: more spare ones and narrow bands keep keys in proportion to shingles,
+#: of which there is still one a shingle; three phases keep a third of them on disk at a time.
+NEAR = jaccard_join.Rule(words=5, num=80, den=100, growth=1.1, spare=64, phases=3)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,13 +73,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the values of live credentials replaced; n_chars follows the text."""
-    clean = secret_scan.redacted(docs, Scratch(spark, "pipeline-secrets"), docs.columns, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    clean = secret_scan.redacted(docs, Scratch(spark, "pipeline-secrets"), owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*(_named(c) for c in docs.columns))
+
+
+def _named(column: str):
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document, each a sequence of its own."""
-    return packing.packed(docs, packing.tokenizer_path())
+    """The pieces of every document, each a sequence of its own, in buckets of one length."""
+    return packing.bucketed(packing.packed(docs, packing.tokenizer_path()), Scratch(spark, "pipeline-buckets"))
 
 
 STAGES = [
