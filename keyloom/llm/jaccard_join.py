@@ -16,7 +16,9 @@ links, exactly. The join works in a metric space, from coarse to fine:
    weak in both or in neither. Weak cells of a set that has more of them are divided
    again by a second, independent division.
 2. Neighbourhoods. Sets that share a region are joined to its first member (a
-   star, never all pairs); components of the stars are neighbourhoods. Every linked
+   star, never all pairs); components of the stars are neighbourhoods. With ``Rule.sift``,
+   regions of fewer than LOCAL rows join only those of their sets that can be linked by their
+   signatures, so that a passage in common doesn't make neighbours. Every linked
    pair lies within one neighbourhood, and Jaccard distances within one are spread
    out, where those between unrelated documents are all 1.
 3. Voronoi regions. A neighbourhood above REGION_SETS sets or REGION_SHINGLES
@@ -76,7 +78,9 @@ REGION_SETS, REGION_SHINGLES = 512, 2_000_000
 PIVOTS = 30
 GROWTH = 1.4
 #: Keys that a task combines at a time (48 MB), and rows of one key that it lets stand.
-CHUNK_KEYS, LOCAL = 2_000_000, 4
+CHUNK_KEYS, LOCAL = 2_000_000, 32
+#: Bits of a signature, and rows of small regions that one task sifts.
+SIGNATURE_BITS, SIFTED_ROWS = 512, 50_000
 
 U = np.uint64
 _ODD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -102,6 +106,8 @@ class Rule:
     spare: int = 2
     #: Also for speed: the regions are found in so many phases, each with its share of the keys on disk.
     phases: int = 1
+    #: And whether pairs of small regions are sifted by signatures before they make neighbourhoods.
+    sift: bool = False
 
     @property
     def threshold(self) -> float:
@@ -180,6 +186,13 @@ def set_identity(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.sum(_mixed(shingles, salt), dtype=U).view(np.int64)) for salt in (101, 102))
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """For each of SIGNATURE_BITS parts of the hash space whether the set has an odd number of shingles in it: sets
+    whose signatures differ in some number of bits differ by that many shingles at least."""
+    part = (_mixed(shingles, 801) >> U(64 - (SIGNATURE_BITS - 1).bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=SIGNATURE_BITS) & 1).tobytes()
+
+
 def _cell_contents(ordered: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     """(sum of mixed shingles, number of shingles) in each of the cells; ``ordered`` ascends."""
     edges = (np.arange(1, cells, dtype=object) * (1 << 64) // cells).astype(U)
@@ -233,7 +246,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, c1, c2 (the class of equal sets) per row (doc_id, text)."""
+    """doc_id, n, c1, c2 (the class of equal sets) and the signature (null if the rule doesn't sift) per row (doc_id, text)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,18 +254,18 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
                 sets = shingle_sets(texts, rule.words)
                 classes = [set_identity(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64())],
-                    ["doc_id", "n", "c1", "c2"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([c[0] for c in classes], pa.int64()), pa.array([c[1] for c in classes], pa.int64()), pa.array([signature(s) if rule.sift else None for s in sets], pa.binary())],
+                    ["doc_id", "n", "c1", "c2", "signature"],
                 )
 
     rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"))
-    schema = rows.select("doc_id").schema.add("n", "long").add("c1", "long").add("c2", "long")
+    schema = rows.select("doc_id").schema.add("n", "long").add("c1", "long").add("c2", "long").add("signature", "binary")
     return map_arrow(rows, make, schema)
 
 
 def _spread(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (key, node) rows that connect the same nodes, with at most LOCAL rows a key: the others of a
-    larger group are each connected to its first node by a key of their own."""
+    larger group are each connected to its first node by a key of their own. Only those keys are odd."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
@@ -262,8 +275,8 @@ def _spread(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sizes = np.diff(np.append(start, len(keys)))
     first = np.repeat(nodes[start], sizes)
     beyond = np.arange(len(keys)) - np.repeat(start, sizes) >= LOCAL
-    own = _mixed(keys[beyond] + _mixed(nodes[beyond], 701), 702)
-    return np.concatenate([keys[~beyond], own, own]), np.concatenate([nodes[~beyond], first[beyond], nodes[beyond]])
+    own = _mixed(keys[beyond] + _mixed(nodes[beyond], 701), 702) | U(1)
+    return np.concatenate([keys[~beyond] & ~U(1), own, own]), np.concatenate([nodes[~beyond], first[beyond], nodes[beyond]])
 
 
 def region_rows(docs: DataFrame, rule: Rule, phase: int = 0) -> DataFrame:
@@ -297,6 +310,35 @@ def region_rows(docs: DataFrame, rule: Rule, phase: int = 0) -> DataFrame:
     return map_arrow(docs.select(F.col("text").cast("binary").alias("text")), make, "key bigint, node bigint")
 
 
+def _sifted(rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) of the rows (key, node, n, signature) of one key that can be linked.
+
+    Sets link only if they differ by few shingles for their sizes; signatures say by how many they differ at least.
+    Regions here have fewer than LOCAL rows, and a task looks at many of them at once.
+    """
+
+    def make(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        keys, nodes, sizes = (table.column(c).to_numpy() for c in ("key", "node", "n"))
+        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), U).reshape(len(keys), -1)
+        a, b = [], []
+        for lag in range(1, LOCAL * 2):
+            x = np.flatnonzero(keys[lag:] == keys[:-lag]) if lag < len(keys) else np.zeros(0, np.int64)
+            if not len(x):
+                break
+            y = x + lag
+            both = sizes[x] + sizes[y]
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            can = (differ * (rule.den + rule.num) <= both * (rule.den - rule.num)) & (rule.den * np.minimum(sizes[x], sizes[y]) >= rule.num * np.maximum(sizes[x], sizes[y])) & (nodes[x] != nodes[y])
+            a.append(nodes[x[can]])
+            b.append(nodes[y[can]])
+        return pa.table({"a": np.concatenate([np.zeros(0, np.int64), *a]), "b": np.concatenate([np.zeros(0, np.int64), *b])})
+
+    ship(rows.sparkSession)
+    parts = max(1, rows.count() // SIFTED_ROWS)
+    return rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts))).groupBy("part").applyInArrow(make, "a bigint, b bigint").distinct()
+
+
 def _with_sets(rows: DataFrame, rule: Rule) -> DataFrame:
     """Rows (node, n, c1, c2, text) as (node, shingles), where the text has that class."""
 
@@ -565,17 +607,23 @@ def near_components(docs: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_c
     """Per row: doc_id, n_shingles and component_id. See the module for defined results."""
     docs, before = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), scratch.written
     rows = scratch.cut(features(docs, rule).withColumn("rid", F.monotonically_increasing_id()), "features")
-    classes = rows.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("rid").alias("node"), F.min_by("doc_id", "rid").alias("own_id"), F.min("doc_id").alias("least_id"))
+    classes = rows.where("n > 0").groupBy("n", "c1", "c2").agg(F.min("rid").alias("node"), F.min_by("doc_id", "rid").alias("own_id"), F.min("doc_id").alias("least_id"), F.min("signature").alias("signature"))
     classes = scratch.cut(classes, "classes")
 
-    first = F.min("node").over(Window.partitionBy("key"))
+    same = Window.partitionBy("key")
     stars = None
     for phase in range(rule.phases):
-        found = region_rows(docs, rule, phase).withColumn("first", first).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        if rule.phases > 1:
-            found = scratch.cut(found.distinct(), "stars")
+        found = region_rows(docs, rule, phase).withColumns({"first": F.min("node").over(same), "last": F.max("node").over(same), "size": F.count("*").over(same)}).where("first <> last")
+        if rule.phases > 1 or rule.sift:
+            found = scratch.cut(found, "shared-regions")
+            free_shuffles(docs.sparkSession)
+        # a region of LOCAL rows may be one that a task has cut short, and odd keys stand for others: they stay as they are
+        star = found.where(f"node <> first AND (size >= {LOCAL} OR key & 1 = 1)" if rule.sift else "node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        if rule.sift:
+            small = found.where(f"size < {LOCAL} AND key & 1 = 0").select("key", "node").join(classes.select(F.col("c1").alias("node"), "n", "signature"), "node")
+            star = scratch.cut(star.unionByName(_sifted(scratch.cut(small, "small-regions"), rule, scratch)).distinct(), "stars")
             free_shuffles(docs.sparkSession)
-        stars = found if stars is None else stars.unionByName(found)
+        stars = star if stars is None else stars.unionByName(star)
     near = components(stars, scratch, "neighbourhoods")
 
     # two sets with one first half would share a neighbourhood, which is no link yet

@@ -168,13 +168,27 @@ def test_region_of_a_shared_passage(spark, scratch):
         assert kept[0].count() <= 40
 
 
-@pytest.mark.parametrize("phases", [1, 3])
-def test_phases(spark, scratch, phases):
+def test_signatures_bound_differences():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    for _ in range(200):
+        a = set(rng.sample(range(1 << 40), rng.randint(0, 600)))
+        b = set(rng.sample(sorted(a), len(a) // 2)) | set(rng.sample(range(1 << 40), rng.randint(0, 300)))
+        one, two = (np.frombuffer(J.signature(np.array(sorted(x), np.uint64)), np.uint8) for x in (a, b))
+        assert np.bitwise_count(one ^ two).sum() <= len(a ^ b)
+
+
+@pytest.mark.parametrize(("phases", "sift", "local"), [(1, False, 32), (3, False, 32), (1, True, 32), (2, True, 3)])
+def test_phases(spark, scratch, phases, sift, local, monkeypatch):
     import random
 
     docs = clusters(random.Random(3), 5, 12, 60, (0, 1, 2, 4, 9))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rule = J.Rule(words=5, num=80, growth=1.1, spare=64, phases=phases)
+    rule = J.Rule(words=5, num=80, growth=1.1, spare=64, phases=phases, sift=sift)
+    monkeypatch.setattr(J, "LOCAL", local)
     sets = [shingles(t, 5) for _, t in docs]
     want = partition(len(docs), links(sets, rule))
     assert {r.doc_id: r.component_id for r in J.near_components(df, scratch, rule).collect()} == dict(enumerate(want))
