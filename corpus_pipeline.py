@@ -57,8 +57,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 #: Near copies of the corpus; the query op5_jaccard_join has a contract of its own (three words, 0.9).
 #: With few shingles a cell, many cells are weak: more spare ones and narrow bands keep keys in proportion to shingles,
-#: of which there is still one a shingle; three phases keep a third of them on disk at a time.
-NEAR = jaccard_join.Rule(words=5, num=80, den=100, growth=1.1, spare=64, phases=3)
+#: of which there is still one a shingle; three phases keep a third of them on disk at a time. Cells of two or three shingles
+#: may hold nothing but a passage that many documents have, so signatures sift the small regions.
+NEAR = jaccard_join.Rule(words=5, num=80, den=100, growth=1.1, spare=64, phases=3, sift=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
