@@ -28,16 +28,26 @@ def _globs(subs: DataFrame) -> DataFrame:
     return subs.where("kind = 'glob'").select("subscriber", "pattern", F.concat(F.lit("(?s)^"), wild, F.lit("$")).alias("_regex"), fixed.alias("_fixed"))
 
 
+def lookups(rows: DataFrame, globs: DataFrame) -> DataFrame:
+    """Rows with a channel, once for each beginning or end of it (``_fixed``) that is as long as that of some glob.
+
+    The lengths that globs have come as one row, which is no longer than the longest glob.
+    """
+    lengths = F.collect_set(F.struct(F.left("_fixed", F.lit(1)).alias("side"), (F.length("_fixed") - 1).alias("n")))
+    row = globs.agg(lengths.alias("_lengths")).withColumn("_one", F.lit(0))
+    begin, end = (lambda n: F.substring("channel", F.lit(1), n)), (lambda n: F.substring(F.col("channel"), -n, n))
+    part = lambda x: F.when(x["side"] == "<", F.concat(F.lit("<"), begin(x["n"]))).when(x["side"] == ">", F.concat(F.lit(">"), end(x["n"]))).otherwise("")
+    fixed = F.transform(F.filter("_lengths", lambda x: x["n"] <= F.length("channel")), part)
+    return rows.withColumn("_one", F.lit(0)).join(F.broadcast(row), "_one").withColumn("_fixed", F.explode(fixed)).drop("_one", "_lengths")
+
+
 def matched(rows: DataFrame, globs: DataFrame) -> DataFrame:
     """Rows with a channel joined to the globs that match it: each glob meets one beginning or end of a channel at most.
 
     A glob is met by what stands before its first wild character, or else by what stands after its
     last one; only globs that are wild at both ends meet every channel.
     """
-    lengths = F.sequence(F.lit(1), F.greatest(F.length("channel"), F.lit(1)))
-    begins = F.transform(lengths, lambda n: F.concat(F.lit("<"), F.substring("channel", F.lit(1), n)))
-    ends = F.transform(lengths, lambda n: F.concat(F.lit(">"), F.substring(F.col("channel"), -n, n)))
-    return rows.withColumn("_fixed", F.explode(F.concat(F.array(F.lit("")), begins, ends))).join(globs, "_fixed").where(F.expr("channel RLIKE _regex"))
+    return lookups(rows, globs).join(globs, "_fixed").where(F.expr("channel RLIKE _regex"))
 
 
 def publish(messages: DataFrame, subs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def finished(stream: DataFrame, name: str) -> DataFrame:
 
 def _publish(spark, d):
     messages = _events(spark, d).select(F.col("event_id").alias("msg"), F.concat_ws(":", "event_type", "user_id").alias("channel"), F.col("props").alias("payload"))
-    return finished(live.route(messages, C.subscriptions(spark, d)), "live-publish")
+    return finished(live.route(messages, F.broadcast(C.subscriptions(spark, d))), "live-publish")  # a constant table
 
 
 def _entries(spark, d):

@@ -1,9 +1,12 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 from helpers import rows
+from pyspark.sql import functions as F
 
 from keyloom.operators import streams as X
+from keyloom.operators.pubsub import _globs, lookups, publish
 from keyloom.streaming import live
 
 
@@ -76,6 +79,18 @@ def test_route_and_counters(spark, tmp_path):
     assert rows(run(live.counters(source(spark, tmp_path / "c", log)), "complete")) == [("a", 3), ("b", 5)]
 
 
+def test_route_looks_up_no_more_parts_than_globs_have(spark, tmp_path):
+    patterns = ["ab*", "abc?z", "*yz", "?b*yz", "*", "?", "x?", "", "long" + "g" * 3000 + "*"]
+    subs = spark.createDataFrame([("s", "glob", p) for p in patterns], "subscriber string, kind string, pattern string")
+    channels = ["abcyz", "abcdyz", "ab", "b", "", "xy", "yz", None, "\u00e9byz", "long" + "g" * 5000]
+    msgs = spark.createDataFrame(list(enumerate(channels)), "msg long, channel string").withColumn("payload", F.lit("p"))
+    globs = [re.compile("".join({"*": ".*", "?": "."}.get(c, c) for c in p)) for p in patterns]
+    want = sorted((i, p) for i, c in enumerate(channels) if c is not None for p, g in zip(patterns, globs, strict=True) if g.fullmatch(c))
+    assert rows(run(live.route(source(spark, tmp_path, msgs), subs)), "msg", "pattern") == want == rows(publish(msgs, subs), "msg", "pattern")
+    found = run(lookups(source(spark, tmp_path / "l", msgs), _globs(subs)).groupBy("msg").agg(F.count("*").alias("n")), "complete")
+    assert max(r.n for r in found.collect()) == 6  # not one for each of the 5004 characters, twice
+
+
 def test_log_and_retention(spark, tmp_path):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([("s", i % 6, 0, t + timedelta(seconds=i)) for i in range(8)], "key string, ms long, seq long, ts timestamp")
