@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Fixed values: (verb, argument) to reply; null is a missing value, an empty argument any other form.
 REPLIES = {
@@ -33,30 +34,44 @@ def replies(spark: SparkSession, log: DataFrame) -> DataFrame:
     return found.select("req", "verb", "arg", reply.alias("reply"))
 
 
-def transactions(log: DataFrame) -> DataFrame:
+#: Sequence numbers that one task looks at together; a session with a long log is as many of these as it needs.
+CHUNK = 1 << 16
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _placed(log: DataFrame, chunk: int) -> DataFrame:
+    """The rows that aren't left out, with ``batch`` and ``_end``, the (verb, seq) of the EXEC or DISCARD after them.
+
+    The marks before and after a row are found within ranges of ``chunk`` sequence numbers; where a range has none, the
+    nearest range of the session that has one gives it. A seq that is no whole number has one range. Frames
+    only ever grow from the first row on, as those that shrink are gone through again for each row.
+    """
+    whole = dict(log.dtypes)["seq"] in _WHOLE
+    rows = log.withColumn("_chunk", F.expr(f"seq DIV {chunk}") if whole else F.lit(0).cast("bigint"))
+    placed = F.struct("verb", "seq")
+    mark, end = (F.when(F.col("verb").isin(*verbs), placed) for verbs in (("MULTI", "EXEC", "DISCARD"), ("EXEC", "DISCARD")))
+    newest = lambda c, w, stop: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, stop))
+    part, each = Window.partitionBy("session", "_chunk"), Window.partitionBy("_session")
+    found = rows.withColumns({"_mark": newest(mark, part.orderBy("seq"), 0), "_end": newest(end, part.orderBy(F.desc("seq")), 0)})
+    chunks = rows.groupBy(F.col("session").alias("_session"), F.col("_chunk").alias("_at")).agg(F.max_by(mark, F.when(mark.isNotNull(), F.col("seq"))).alias("_last"), F.min_by(end, F.when(end.isNotNull(), F.col("seq"))).alias("_first"))
+    chunks = chunks.withColumns({"_before": newest(F.col("_last"), each.orderBy("_at"), -1), "_after": newest(F.col("_first"), each.orderBy(F.desc("_at")), -1)})
+    near = found.where(~F.col("verb").isin("MULTI", "EXEC", "DISCARD")).join(chunks, F.col("session").eqNullSafe(F.col("_session")) & F.col("_chunk").eqNullSafe(F.col("_at")))
+    near = near.select(*log.columns, F.coalesce("_mark", "_before").alias("_mark"), F.coalesce("_end", "_after").alias("_end"))
+    inside = F.coalesce(F.col("_mark.verb") == "MULTI", F.lit(False))
+    kept = near.where(~inside | F.coalesce(F.col("_end.verb") == "EXEC", F.lit(False)))
+    return kept.withColumn("batch", F.when(inside, F.col("_mark.seq"))).drop("_mark")
+
+
+def transactions(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """MULTI/EXEC as batches: rows (seq, session, verb, ...) with ``batch``, the seq of the MULTI that they belong to.
 
     Rows outside a transaction have no batch, those of a discarded one are left out;
     folding a log by (batch, seq) applies each transaction as a whole.
     """
-    from pyspark.sql.window import Window
+    return _placed(log, chunk).drop("_end")
 
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.last(F.when(F.col("verb").isin("MULTI", "EXEC", "DISCARD"), F.struct("verb", "seq")), ignorenulls=True).over(w)
-    ahead = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    end = F.first(F.when(F.col("verb").isin("EXEC", "DISCARD"), F.col("verb")), ignorenulls=True).over(ahead)
-    rows = log.withColumns({"_mark": mark, "_end": end}).where(~F.col("verb").isin("MULTI", "EXEC", "DISCARD"))
-    inside = F.coalesce(F.col("_mark.verb") == "MULTI", F.lit(False))
-    kept = rows.where(~inside | F.coalesce(F.col("_end") == "EXEC", F.lit(False)))
-    return kept.withColumn("batch", F.when(inside, F.col("_mark.seq"))).drop("_mark", "_end")
 
-
-def executed(log: DataFrame) -> DataFrame:
+def executed(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """EXEC: the rows that take effect, with ``at``, when they do: queued ones at their EXEC, in the order in which they were
     queued, all others at once. Folding by (at, seq) is what the log does."""
-    from pyspark.sql.window import Window
-
-    ahead = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    done = F.first(F.when(F.col("verb") == "EXEC", F.col("seq")), ignorenulls=True).over(ahead)
-    rows = transactions(log.withColumn("_done", done))
-    return rows.withColumn("at", F.when(F.col("batch").isNotNull(), F.col("_done")).otherwise(F.col("seq"))).drop("_done")
+    return _placed(log, chunk).withColumn("at", F.when(F.col("batch").isNotNull(), F.col("_end.seq")).otherwise(F.col("seq"))).drop("_end")

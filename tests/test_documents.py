@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
 from keyloom.operators import bitmaps as B
+from keyloom.operators import control
 from keyloom.operators import geo as G
 from keyloom.operators import hll as P
 from keyloom.operators import json_docs as J
@@ -220,3 +222,36 @@ def test_explicit_entry_ids(spark):
     assert rows(X.add_at(held, new, "at")) == [("s", 2, 3, "last"), ("s", 5, 0, "over"), ("s", 7, 0, "kept")]
     waiting = spark.createDataFrame([("s", "g", 5, 0)], "key string, grp string, ms long, seq long")
     assert rows(X.group_info(X.create_groups(held, "g").unionByName(X.create_groups(held, "h")), waiting)) == [("s", "g", 1, "7-0"), ("s", "h", 0, "7-0")]
+
+
+def _model(log):
+    """(seq, batch, at) of each row that takes effect, by going through the log."""
+    out, queued, opened = [], {}, {}
+    for seq, session, verb in sorted(log, key=lambda r: r[0]):
+        if verb == "MULTI":
+            opened[session] = seq
+        elif verb in ("EXEC", "DISCARD"):
+            out += [(s, b, seq) for s, b in queued.pop(session, []) if verb == "EXEC"]
+            opened.pop(session, None)
+        elif session in opened:
+            queued.setdefault(session, []).append((seq, opened[session]))
+        else:
+            out.append((seq, None, seq))
+    return sorted(out)
+
+
+def test_exec_by_ranges(spark):
+    """What is queued meets its EXEC across ranges of the log, and no window is gone through again for each row."""
+    rng = random.Random(7)
+    log = [(i, rng.choice(["a", "b", None]), rng.choice(["MULTI", "EXEC", "DISCARD", *["SET"] * 6])) for i in range(-40, 400)]
+    log += [(400 + i, "long", "MULTI" if i == 1 else "EXEC" if i == 80 else "SET") for i in range(90)]
+    log += [(500 + i, "open", "MULTI" if i == 5 else "SET") for i in range(50)]
+    want = _model(log)
+    df = spark.createDataFrame(log, "seq long, session string, verb string").repartition(3)
+    for chunk in (1, 7, 1 << 16):
+        found = control.executed(df, chunk)
+        assert rows(found, "seq", "batch", "at") == want
+        assert rows(control.transactions(df, chunk), "seq", "batch") == [r[:2] for r in want]
+    assert "unboundedfollowing" not in control.executed(df)._jdf.queryExecution().toString().lower()
+    named = df.withColumn("seq", F.struct(F.lit("file").alias("path"), F.col("seq").alias("n")))
+    assert rows(control.executed(named).select("seq.n", "batch.n", "at.n").toDF("seq", "batch", "at")) == want
