@@ -104,6 +104,18 @@ def test_hll(spark):
     assert rows(after.select("key", "changed")) == [("a", False), ("b", True), ("c", True)] and rows(P.count(after)) == [("a", 4), ("b", 5), ("c", 1)]
 
 
+@pytest.mark.parametrize("many", [20, 1536, 1537, 5000, 40_000])
+def test_hll_add_again(spark, many):
+    """Members that are there change nothing, whether a sketch was made in one piece or of several."""
+    ids = lambda a, b: spark.range(a, b).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("member"))
+    for n, m in ((1, 1), (1, 3), (3, 1), (3, 3)):
+        held, again = P.sketches(ids(0, many).repartition(n)), ids(0, many).repartition(m)
+        for rows_, changed in ((again, False), (ids(many // 2, many), False), (ids(many // 2, many + 1 + many // 10), True)):
+            after = P.add(held, rows_)
+            assert rows(after.select("key", "changed")) == [("k", changed)]
+            assert rows(P.add(after, again).select("key", "changed")) == [("k", False)]
+
+
 PLACES = [("it", "Palermo", 13.361389, 38.115556), ("it", "Catania", 15.087269, 37.502669), ("it", "Paris", 2.349014, 48.864716)]
 
 
