@@ -33,7 +33,8 @@ def finished(stream: DataFrame, name: str) -> DataFrame:
 
 def _publish(spark, d):
     messages = _events(spark, d).select(F.col("event_id").alias("msg"), F.concat_ws(":", "event_type", "user_id").alias("channel"), F.col("props").alias("payload"))
-    return finished(live.route(messages, F.broadcast(C.subscriptions(spark, d))), "live-publish")  # a constant table
+    subs = F.broadcast(C.subscriptions(spark, d))  # a constant table; its size isn't known to Spark, which would broadcast the messages of a small file
+    return finished(live.route(messages, subs), "live-publish")
 
 
 def _entries(spark, d):

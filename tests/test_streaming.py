@@ -2,11 +2,12 @@ import random
 import re
 from datetime import datetime, timedelta
 
-from helpers import rows
+from helpers import DATA, rows
 from pyspark.sql import functions as F
 
 from keyloom.operators import streams as X
 from keyloom.operators.pubsub import _globs, lookups, publish
+from keyloom.plans import live as plans
 from keyloom.streaming import live
 
 
@@ -91,6 +92,13 @@ def test_route_looks_up_no_more_parts_than_globs_have(spark, tmp_path):
     assert max(r.n for r in found.collect()) == 6  # not one for each of the 5004 characters, twice
 
 
+def test_publish_never_broadcasts_the_messages(spark, monkeypatch):
+    monkeypatch.setattr(plans, "finished", lambda rows, name: rows)
+    monkeypatch.setattr(plans, "_events", lambda spark, d: spark.read.parquet(f"{d}/events.parquet"))  # plans of a stream can't be asked for
+    plan = plans.PLANS["live_publish"].run(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == plan.count("rightHint=(strategy=broadcast)") == 3 and "leftHint" not in plan
+
+
 def test_log_and_retention(spark, tmp_path):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([("s", i % 6, 0, t + timedelta(seconds=i)) for i in range(8)], "key string, ms long, seq long, ts timestamp")
